@@ -136,48 +136,73 @@ def build(model: Model) -> Tokenizer:
 
 
 class Codec:
-    """Encodes batches of whole texts.
+    """Encodes batches of whole texts and checks them.
 
-    Where words are independent (Model.splittable) and nothing is normalised away, each distinct word of a batch is encoded
-    once, on several threads, and the texts' ids are put together from those of their words.
+    Where words are independent (Model.splittable) and nothing is normalised away, each new word is encoded, decoded and
+    held against the library once, on several threads, and is remembered; texts are put together from their words.
     """
 
-    def __init__(self, data: bytes, parity: bool = True) -> None:
+    def __init__(self, data: bytes, parity: bool = True, most: int = 150_000) -> None:
         self.model = Model.parse(data)
         self.whole = build(self.model)
         self.by_word = self.model.splittable and self.model.lossless and USER not in self.model.types
         self.word = build(self.model)
         self.word.normalizer = self.word.pre_tokenizer = None
         self.find = re.compile(WORD).findall
+        self.most = most
+        self._forget()
         self.library = None
         if parity:
             import sentencepiece
 
             self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool | None]]:
-        """Ids of all texts in a row, where each text ends (from 0), and whether the library gives the same."""
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.unlike, self.lost = np.zeros(0, bool), np.zeros(0, bool)
+
+    def _learn(self, new: list[str]) -> None:
+        ids = [e.ids for e in self.word.encode_batch_fast(new, add_special_tokens=False)]
+        plain = [w[1:].replace(SPACE, " ") for w in new]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(size) - size))
+        self.size, self.flat = np.concatenate((self.size, size)), np.concatenate((self.flat, _flat(ids)))
+        lost = [b != p for b, p in zip(self.decode(ids), plain, strict=True)]
+        self.lost = np.concatenate((self.lost, np.array(lost, bool)))
+        unlike = [False] * len(new)
+        if self.library:
+            lone = [self.library.piece_to_id(SPACE)]
+            unlike = [i != (lone if w == SPACE else t) for i, w, t in zip(ids, new, self.library.encode(plain, num_threads=1), strict=True)]
+        self.unlike = np.concatenate((self.unlike, np.array(unlike, bool)))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool], list[bool | None]]:
+        """Ids of all texts in a row, where each text ends (from 0), whether decoding gives the text, and whether the library agrees."""
         if not self.by_word:
             ids = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
             same = [i == self.library.encode(t) for i, t in zip(ids, texts, strict=True)] if self.library else [None] * len(ids)
-            return _flat(ids), np.cumsum([0, *map(len, ids)]), same
+            return _flat(ids), np.cumsum([0, *map(len, ids)]), [b == t for b, t in zip(self.decode(ids), texts, strict=True)], same
         split = [self.find(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         words = pa.array([w for ws in split for w in ws], pa.string()).dictionary_encode()
-        codes, distinct = words.indices.to_numpy(), words.dictionary.to_pylist()
-        ids = [e.ids for e in self.word.encode_batch_fast(distinct, add_special_tokens=False)]
-        size, flat = np.fromiter(map(len, ids), np.int64, len(ids)), _flat(ids)
-        start, n = np.cumsum(size) - size, size[codes]
+        distinct = words.dictionary.to_pylist()
+        if len(self.known) + len(distinct) > self.most:
+            self._forget()
+        if new := [w for w in distinct if w not in self.known]:
+            self._learn(new)
+        codes = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[words.indices.to_numpy()] if distinct else np.zeros(0, np.int64)
+        n = self.size[codes]
         every = np.concatenate(([0], np.cumsum(n)))
-        out = flat[np.repeat(start[codes] - every[:-1], n) + np.arange(every[-1])]
+        out = self.flat[np.repeat(self.start[codes] - every[:-1], n) + np.arange(every[-1])]
         ends = np.cumsum([0, *map(len, split)])
-        same: list[bool | None] = [None] * len(texts)
-        if self.library:
-            lone = self.library.piece_to_id(SPACE)
-            theirs = self.library.encode([w[1:].replace(SPACE, " ") for w in distinct], num_threads=1) if distinct else []
-            bad = np.array([i != ([lone] if w == SPACE else t) for i, w, t in zip(ids, distinct, theirs, strict=True)], bool)
-            wrong = np.concatenate(([0], np.cumsum(bad[codes]))) if len(codes) else np.zeros(1, np.int64)
-            same = (wrong[ends[1:]] == wrong[ends[:-1]]).tolist()
-        return out, every[ends], same
+
+        def none(flags: np.ndarray) -> list[bool]:
+            at = np.concatenate(([0], np.cumsum(flags[codes])))[ends]
+            return (at[1:] == at[:-1]).tolist()
+
+        # A marker that stands in the text itself is read back as a space.
+        back = [ok and SPACE not in t for ok, t in zip(none(self.lost), texts, strict=True)]
+        return out, every[ends], back, none(self.unlike) if self.library else [None] * len(texts)
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.whole.decode_batch(ids, skip_special_tokens=False)
@@ -206,15 +231,13 @@ def encoded(docs: DataFrame, model: str = DEFAULT_MODEL, threads: int = 2, parit
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         codec = Codec(sent.value, parity)
-        for part in pieces(batches, "text", 6 << 20):
+        for part in pieces(batches, "text", 3 << 20):
             texts = [t or "" for t in part.column("text").to_pylist()]
-            flat, ends, same = codec.encode(texts)
-            cuts = ends.tolist()
-            back = codec.decode([flat[a:b].tolist() for a, b in zip(cuts, cuts[1:], strict=False)])
+            flat, ends, back, same = codec.encode(texts)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)), pa.array(np.diff(ends).astype(np.int64)),
-                    pa.array([b == t for b, t in zip(back, texts, strict=True)]), pa.array(same, pa.bool_()),
+                    pa.array(back, pa.bool_()), pa.array(same, pa.bool_()),
                 ],
                 ["doc_id", "ids", "n_tokens", "same_text", "parity"],
             )
