@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, coded, pieces, prepared, texts
+from .common import ALNUM, coded, pieces, prepared, settled, texts
 
 CLASSES, WITHIN, HIDDEN = 32, 32, 16
 VOCABULARY = CLASSES * WITHIN
@@ -69,9 +69,9 @@ class Network:
         return order, c, np.arange(len(c)) - (np.cumsum(n) - n)[c], most
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        h = self.embed[0][context[0]]
+        h = np.take(self.embed[0], context[0], axis=0)
         for k in range(1, len(SIDES)):
-            h = h + self.embed[k][context[k]]
+            h += np.take(self.embed[k], context[k], axis=0)
         return np.concatenate((np.tanh(h), np.ones((len(h), 1), np.float32)), 1)
 
     def pass_(self, tokens: np.ndarray, context: np.ndarray, learn: bool = False):
@@ -111,21 +111,18 @@ class Network:
             by = np.argsort(context[k].astype(np.int16), kind="stable")
             ids = context[k][by]
             first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-            g_embed[k][ids[first]] = np.add.reduceat(d[by], first, axis=0)
+            g_embed[k][ids[first]] = np.add.reduceat(np.take(d, by, axis=0), first, axis=0)
         return log_p, Network(g_embed, (h.T @ p_top) / n, g_low)
 
 
 def contexts(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """For each token those at SIDES, VOCABULARY where that is outside the document."""
     doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    at = np.arange(len(tokens))
-    out = np.full((len(SIDES), len(tokens)), VOCABULARY, np.int64)
-    for k, side in enumerate(SIDES):
-        j = at + side
-        ok = (j >= 0) & (j < len(tokens))
-        ok[ok] = doc[j[ok]] == doc[at[ok]]
-        out[k, ok] = tokens[j[ok]]
-    return out
+    pad = max(map(abs, SIDES))
+    at = np.arange(pad, len(tokens) + pad) + doc * pad
+    padded = np.full(len(tokens) + pad * (len(starts) + 1), VOCABULARY, np.int64)
+    padded[at] = tokens
+    return np.stack([padded[at + side] for side in SIDES])
 
 
 def tokenised(part: list[bytes], ids: dict[bytes, int], other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,6 +150,7 @@ def vocabulary(docs: DataFrame) -> tuple[dict[bytes, int], np.ndarray, np.ndarra
         yield give()
 
     counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = settled(counts, "words")
     top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - BUCKETS).collect()
     total = counts.agg(F.sum("n")).first()[0] or 0
     place = np.arange(VOCABULARY).reshape(WITHIN, CLASSES).T.ravel()  # place[id] = rank

@@ -142,7 +142,7 @@ class Codec:
     held against the library once, on several threads, and is remembered; texts are put together from their words.
     """
 
-    def __init__(self, data: bytes, parity: bool = True, most: int = 150_000) -> None:
+    def __init__(self, data: bytes, parity: bool = True, most: int = 400_000) -> None:
         self.model = Model.parse(data)
         self.whole = build(self.model)
         self.by_word = self.model.splittable and self.model.lossless and USER not in self.model.types
