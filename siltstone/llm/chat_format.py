@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import AddedToken, Tokenizer
 
-from .common import prepared
+from .common import lean, prepared
 
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -186,7 +186,7 @@ def format_conversations(conversations: DataFrame, template: Template = Template
         if done:
             yield made(done)
 
-    return rows.select("conv_id", "role", "text").mapInArrow(run, schema)
+    return rows.select("conv_id", "role", "text").mapInArrow(lean(run), schema)
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long"

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, coded, pieces, prepared, settled, texts
+from .common import ALNUM, coded, lean, pieces, prepared, settled, texts
 
 GAP = 64
 SEGMENT_WORDS = 1 << 20
@@ -93,7 +93,7 @@ def build_index(docs: DataFrame, vocabulary: set[bytes] | None = None) -> DataFr
         if held:
             yield segment(f"{me}-{made}", ids, keys, held)
 
-    return settled(docs.select("doc_id", "doc_key", "text").mapInArrow(run, INDEX), "postings")
+    return settled(docs.select("doc_id", "doc_key", "text").mapInArrow(lean(run), INDEX), "postings")
 
 
 def term_counts(index: DataFrame) -> dict[bytes, int]:
@@ -175,7 +175,7 @@ def match(index: DataFrame, items: list[tuple[str, bytes]], counts: dict[bytes,
                     ["doc_id", "doc_key", "n_words", "starts", "ends", "items", "near"],
                 )
 
-    return index.mapInArrow(run, FOUND)
+    return index.mapInArrow(lean(run), FOUND)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, near_terms: int = 4, slop: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:

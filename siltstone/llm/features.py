@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, coded, pieces, prepared, texts
+from .common import LOWER, coded, lean, pieces, prepared, texts
 
 
 @dataclass
@@ -67,7 +67,7 @@ def sampled(docs: DataFrame, labels: DataFrame, columns: list[str], most: int, f
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     with_text = text.join(F.broadcast(chosen), "doc_id").select("doc_id", *columns, "text")
     schema = ", ".join(["doc_id long", *[f"{c} int" for c in columns], "index array<int>", "value array<float>"])
-    table = with_text.mapInArrow(run, schema).toArrow().sort_by("doc_id").combine_chunks()
+    table = with_text.mapInArrow(lean(run), schema).toArrow().sort_by("doc_id").combine_chunks()
     index, value = (table.column(c).combine_chunks() for c in ("index", "value"))
     starts = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(index).to_numpy(zero_copy_only=False)))).astype(np.int64)
     return Sparse(index.flatten().to_numpy(), value.flatten().to_numpy().astype(np.float64), starts), {c: table.column(c).to_numpy() for c in columns}

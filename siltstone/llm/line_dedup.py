@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepared, settled
+from .common import lean, prepared, settled
 
 BLANK = " \t\r\f\x0b"
 #: Lines of fewer characters are compared exactly only: one edit of a short line is another line.
@@ -117,7 +117,7 @@ def kept_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS)
                 yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(place.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(own), batch.column("h").take(rows), batch.column("at").take(rows)], ["k1", "k2", "place", "size", "own", "h", "at"])
 
     schema = "k1 long, k2 long, place int, size int, own boolean, h binary, at struct<d:bigint,k:bigint,i:int>"
-    variants = texts.mapInArrow(run, schema)
+    variants = texts.mapInArrow(lean(run), schema)
     w = Window.partitionBy("k1", "k2", "place", "size")
     line = F.struct("at", "h")
     partner = F.when(F.col("place") >= 0, F.min(line).over(w)).when(F.col("own"), F.min(F.when(~F.col("own"), line)).over(w)).otherwise(F.min(F.when(F.col("own"), line)).over(w))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, coded, pieces, prepared, settled, texts
+from .common import ALNUM, coded, lean, pieces, prepared, settled, texts
 
 CLASSES, WITHIN, HIDDEN = 32, 32, 16
 VOCABULARY = CLASSES * WITHIN
@@ -149,7 +149,7 @@ def vocabulary(docs: DataFrame) -> tuple[dict[bytes, int], np.ndarray, np.ndarra
                 seen.clear()
         yield give()
 
-    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = settled(counts, "words")
     top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - BUCKETS).collect()
     total = counts.agg(F.sum("n")).first()[0] or 0
@@ -186,7 +186,7 @@ def train(docs: DataFrame, ids: dict[bytes, int], other: np.ndarray, first: Netw
             n = len(flat) + 1
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(np.append(flat.astype(np.float64), 1.0) * done)], ["k", "v"])
 
-    sums = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow().sort_by("k")
+    sums = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow().sort_by("k")
     v = sums.column("v").to_numpy()
     return Network.of(v[:-1] / v[-1]) if len(v) else first
 
@@ -215,4 +215,4 @@ def pseudo_likelihood(docs: DataFrame, rate: float = 0.1) -> DataFrame:
             mean = pa.array(np.round(score / np.maximum(n, 1), 6), mask=n == 0)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(np.round(score, 4)), mean], ["doc_id", "n_tokens", "log_likelihood", "per_token"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, per_token double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, n_tokens long, log_likelihood double, per_token double")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import LOWER, pieces, prepared, settled, texts
+from .common import LOWER, lean, pieces, prepared, settled, texts
 from .features import Sparse, bucket, counted, sampled, words_of
 
 BITS = 15
@@ -108,7 +108,7 @@ def evidence(docs: DataFrame, model: Logistic, carry: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carry], pa.array(own, pa.float64())], [*carry, "__own"])
 
     source = docs.select(*dict.fromkeys([*carry, "text"]))
-    return source.mapInArrow(run, StructType([*source.select(*carry).schema.fields, StructField("__own", DoubleType())]))
+    return source.mapInArrow(lean(run), StructType([*source.select(*carry).schema.fields, StructField("__own", DoubleType())]))
 
 
 def posteriors(rows: DataFrame) -> tuple[DataFrame, float]:

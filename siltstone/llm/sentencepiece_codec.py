@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
-from .common import pieces, prepared
+from .common import lean, pieces, prepared
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -242,7 +242,7 @@ def encoded(docs: DataFrame, model: str = DEFAULT_MODEL, threads: int = 2, parit
                 ["doc_id", "ids", "n_tokens", "same_text", "parity"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ENCODED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), ENCODED)
 
 
 def decoded(rows: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
@@ -257,4 +257,4 @@ def decoded(rows: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
             ids = [[i for i in x or [] if i is not None and i >= 0] for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tokenizer.decode_batch(ids, skip_special_tokens=False), pa.string())], ["doc_id", "text"])
 
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(lean(run), "doc_id long, text string")

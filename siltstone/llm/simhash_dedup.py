@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, pieces, prepared, settled, texts
+from .common import LOWER, cut, lean, pieces, prepared, settled, texts
 from .components import connected_components, roots
 
 WIDTHS = (11, 11, 11, 11, 10, 10)
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             fps = np.array([fingerprint(t, shingle) for t in texts(part)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def _expand(a0, a1, b0, b1):
@@ -172,7 +172,7 @@ def links(fps: DataFrame, budget: int = 4, unit: int = UNIT) -> DataFrame:
         .select("perm", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "fp")
     )
     dealt = cells.repartition("perm", "key", "i", "j").sortWithinPartitions("perm", "key", "i", "j")
-    return dealt.mapInArrow(lambda b: _walk(b, budget), "a long, b long")
+    return dealt.mapInArrow(lean(lambda b: _walk(b, budget)), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, budget: int = 4, shingle: int = 4) -> DataFrame:

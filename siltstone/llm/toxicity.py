@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, pieces, prepared, texts
+from .common import ALNUM, lean, pieces, prepared, texts
 from .features import Sparse, bucket, counted, sampled, words_of
 
 BITS = 18
@@ -137,4 +137,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, levels: int = 2, max_labelled:
             cols = [np.round(above.sum(1), 6), np.round(above[:, 0], 6), (above >= 0.5).sum(1).astype(np.int64), above[:, 0] >= threshold]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, cols)], ["doc_id", "expected_severity", "p_toxic", "severity", "toxic"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, expected_severity double, p_toxic double, severity long, toxic boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, expected_severity double, p_toxic double, severity long, toxic boolean")
