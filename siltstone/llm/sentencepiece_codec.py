@@ -151,6 +151,9 @@ class Codec:
         self.find = re.compile(WORD).findall
         self.most = most
         self._forget()
+        raw = [bytes([int(p[3:5], 16)]) if t == BYTE else p.encode() for p, t in zip(self.model.pieces, self.model.types, strict=True)]
+        self.piece_size = np.array([len(p) for p in raw], np.int64)
+        self.piece_start, self.piece_bytes = np.cumsum(self.piece_size) - self.piece_size, np.frombuffer(b"".join(raw), np.uint8)
         self.library = None
         if parity:
             import sentencepiece
@@ -169,14 +172,25 @@ class Codec:
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(size) - size))
         self.size, self.flat = np.concatenate((self.size, size)), np.concatenate((self.flat, _flat(ids)))
-        lost = [b != p for b, p in zip(self.decode(ids), plain, strict=True)]
-        self.lost = np.concatenate((self.lost, np.array(lost, bool)))
+        self.lost = np.concatenate((self.lost, self._lost(ids, new, plain, size)))
         unlike = [False] * len(new)
         if self.library:
             lone = [self.library.piece_to_id(SPACE)]
             unlike = [i != (lone if w == SPACE else t) for i, w, t in zip(ids, new, self.library.encode(plain, num_threads=1), strict=True)]
         self.unlike = np.concatenate((self.unlike, np.array(unlike, bool)))
 
+    def _lost(self, ids: list[list[int]], words: list[str], plain: list[str], size: np.ndarray) -> np.ndarray:
+        """Words that decoding doesn't give back: the bytes of all pieces in a row are compared with those of the words."""
+        flat = _flat(ids)
+        n = self.piece_size[flat]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        got = self.piece_bytes[np.repeat(self.piece_start[flat] - ends[:-1], n) + np.arange(ends[-1])]
+        raw = [w.encode() for w in words]
+        per_word = np.diff(ends[np.concatenate(([0], np.cumsum(size)))])
+        if np.array_equal(per_word, np.fromiter(map(len, raw), np.int64, len(raw))) and got.tobytes() == b"".join(raw):
+            return np.zeros(len(words), bool)
+        return np.array([b != p for b, p in zip(self.decode(ids), plain, strict=True)], bool)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool], list[bool | None]]:
         """Ids of all texts in a row, where each text ends (from 0), whether decoding gives the text, and whether the library agrees."""
         if not self.by_word:
