@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import any_of, boilerplate_line, clean_answer, folded, pretty_table, rewritten, sentences, squeezed, token_set, without_boilerplate
@@ -98,19 +98,8 @@ def _storage(norm: Column) -> Column:
     return F.nullif(unit_string(F.concat_ws("; ", shelf, warm, damp)), F.lit(""))
 
 
-def presentable(question: Column, text: Column) -> Column:
-    """The text without boilerplate, or its best span where half of its sentences or more are boilerplate."""
-    cleaned = without_boilerplate(text)["text"]
-    candidate = F.when(squeezed(cleaned) != "", cleaned).otherwise(text)
-    parts = sentences(candidate)
-    noisy = F.size(F.filter(parts, lambda p: boilerplate_line(p)))
-    heavy = (F.size(parts) > 0) & (noisy * 2 >= F.size(parts))
-    return F.when(heavy, best_span(question, text)).otherwise(clean_answer(candidate))
-
-
-def best_span(question: Column, text: Column) -> Column:
+def best_span(asked: Column, parts: Column, fallback: Column) -> Column:
     """The first sentence of the largest share of question tokens, 0.2 more with a unit, passing over boilerplate."""
-    asked, parts = token_set(question, 1), sentences(text)
 
     def score(p: Column) -> Column:
         own = token_set(p, 1)
@@ -118,28 +107,44 @@ def best_span(question: Column, text: Column) -> Column:
         return F.when(boilerplate_line(p), F.lit(-1.0)).otherwise(F.size(F.array_intersect(asked, own)) / F.greatest(F.size(asked), F.lit(1)) + F.when(has, 0.2).otherwise(0.0))
 
     scores = F.transform(parts, score)
-    best = F.get(parts, (F.array_position(scores, F.array_max(scores)) - 1).cast("int"))
-    return clean_answer(F.coalesce(best, text))
+    return F.coalesce(F.get(parts, (F.array_position(scores, F.array_max(scores)) - 1).cast("int")), fallback)
+
+
+def with_presentable(rows: DataFrame, question: str, text: str, to: str) -> DataFrame:
+    """Adds the text without boilerplate, or its best span where half of its sentences or more are boilerplate.
+
+    Each step is a column of its own: what several steps read is worked out once.
+    """
+    t, q = F.col(text), F.col(question)
+    step = rows.withColumn("__c", without_boilerplate(t)).withColumn("__c", F.when(squeezed(F.col("__c.text")) != "", F.col("__c.text")).otherwise(t))
+    step = step.withColumn("__parts", sentences(F.col("__c"))).withColumn("__noisy", F.size(F.filter("__parts", lambda p: boilerplate_line(p))))
+    heavy = (F.size("__parts") > 0) & (F.col("__noisy") * 2 >= F.size("__parts"))
+    step = step.withColumn("__heavy", heavy).withColumn("__asked", F.when(F.col("__heavy"), token_set(q, 1))).withColumn("__all", F.when(F.col("__heavy"), sentences(t)))
+    step = step.withColumn("__c", F.when(F.col("__heavy"), best_span(F.col("__asked"), F.col("__all"), t)).otherwise(F.col("__c")))
+    return step.withColumn(to, clean_answer(F.col("__c"))).drop("__c", "__parts", "__noisy", "__heavy", "__asked", "__all")
 
 
-def structured(question: Column, passage: Column) -> Column:
-    """struct(answer, confidence) for the question's intent; the presentable passage at 0.6 where nothing is found."""
-    text = pretty_table(passage)
-    norm, kind = answer_norm(text), intent(question)
+def with_structured(rows: DataFrame, question: str, passage: str, answer: str = "answer", confidence: str = "confidence") -> DataFrame:
+    """Adds the answer and its confidence for the question's intent; the presentable passage at 0.6 where nothing is found."""
+    step = rows.withColumn("__t", pretty_table(F.col(passage))).withColumn("__q", F.col(question)).withColumn("__kind", intent(F.col("__q"))).withColumn("__n", answer_norm(F.col("__t")))
+    norm, kind = F.col("__n"), F.col("__kind")
+    step = step.withColumn("__list", F.when(kind == "metals", metal_limits(norm)).when(kind == "allergen", allergens(norm)))
     state = F.when(norm.rlike(r"\bfree from\b|\ballergen[-\s]*free\b|\bdoes not contain\b"), "free_from").otherwise("contains")
-    listed = allergens(norm)
-    rules = F.get(F.filter(sentences(text), lambda s: any_of(answer_norm(s), REGULATIONS)), F.lit(0))
-    limits = metal_limits(norm)
-    found = {
-        "dosage": (_dosage(norm), 0.95), "activity": (_activity(norm), 0.95), "metals": (F.when(F.size(limits) > 0, F.array_join(limits, "; ")), 0.95),
-        "allergen": (F.when(F.size(listed) > 0, F.concat(F.lit("allergens "), state, F.lit(": "), F.array_join(listed, ", "))), 0.90),
-        "storage": (_storage(norm), 0.90), "regulatory": (unit_string(rules), 0.85),
-    }
-    options = [F.when((kind == k) & c.isNotNull(), F.struct(c.alias("answer"), F.lit(p).alias("confidence"))) for k, (c, p) in found.items()]
-    return F.coalesce(*options, F.struct(presentable(question, text).alias("answer"), F.lit(0.6).alias("confidence")))
-
-
-def numeric_atoms(text: Column) -> Column:
-    raw = F.regexp_extract_all(answer_norm(text), F.lit(r"(?<![a-z0-9])\d[\d\s]*(?:[.,]\d+)?(?![a-z0-9])"), 0)
+    some = F.size("__list") > 0
+    rule = F.get(F.filter(sentences(F.col("__t")), lambda s: any_of(answer_norm(s), REGULATIONS)), F.lit(0))
+    found = (
+        F.when(kind == "dosage", _dosage(norm)).when(kind == "activity", _activity(norm)).when((kind == "metals") & some, F.array_join("__list", "; "))
+        .when((kind == "allergen") & some, F.concat(F.lit("allergens "), state, F.lit(": "), F.array_join("__list", ", ")))
+        .when(kind == "storage", _storage(norm)).when(kind == "regulatory", unit_string(rule))
+    )
+    step = step.withColumn("__found", found)
+    sure = F.when(F.col("__found").isNull(), 0.6).when(kind.isin("dosage", "activity", "metals"), 0.95).when(kind == "regulatory", 0.85).otherwise(0.90)
+    plain = with_presentable(step.withColumn(confidence, sure).withColumn("__open", F.when(F.col("__found").isNull(), F.col("__t"))), "__q", "__open", "__plain")
+    return plain.withColumn(answer, F.coalesce("__found", "__plain")).drop("__t", "__q", "__kind", "__n", "__list", "__found", "__open", "__plain")
+
+
+def numeric_atoms(norm: Column) -> Column:
+    """Distinct numbers of a normalised answer, digits joined over spaces, trailing zeros taken off."""
+    raw = F.regexp_extract_all(norm, F.lit(r"(?<![a-z0-9])\d[\d\s]*(?:[.,]\d+)?(?![a-z0-9])"), 0)
     value = lambda x: F.format_string("%.6f", F.replace(F.regexp_replace(x, r"\s", ""), F.lit(","), F.lit(".")).cast("double"))
     return F.array_distinct(F.transform(raw, lambda x: F.regexp_replace(F.regexp_replace(value(x), "0+$", ""), r"\.$", "")))

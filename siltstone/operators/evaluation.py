@@ -17,47 +17,49 @@ def reciprocal(queries: DataFrame, results: DataFrame, relevant: Column, ks: tup
     return queries.join(first, "query_id", "left").withColumns(columns).drop("__r")
 
 
-def token_bag(text: Column) -> Column:
-    return F.filter(F.split(A.answer_norm(text), " "), lambda x: x != "")
-
-
 def f1(overlap: Column, predicted: Column, expected: Column) -> Column:
     p, r = overlap / F.greatest(predicted, F.lit(1)), overlap / F.greatest(expected, F.lit(1))
     return F.when(overlap == 0, 0.0).otherwise(2 * p * r / (p + r))
 
 
-def token_f1(predicted: Column, expected: Column) -> Column:
-    """Of the multisets of answer tokens."""
-    a, b = token_bag(predicted), token_bag(expected)
+def bag_f1(a: Column, b: Column) -> Column:
+    """Of two multisets of tokens."""
     count = lambda x, t: F.size(F.filter(x, lambda y: y == t))
-    overlap = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, t: s + F.least(count(a, t), count(b, t)))
-    return f1(overlap, F.size(a), F.size(b))
+    return f1(F.aggregate(F.array_distinct(a), F.lit(0), lambda s, t: s + F.least(count(a, t), count(b, t))), F.size(a), F.size(b))
 
 
-def numeric_f1(predicted: Column, expected: Column) -> Column:
-    a, b = A.numeric_atoms(predicted), A.numeric_atoms(expected)
+def atoms_f1(a: Column, b: Column) -> Column:
+    """Of two sets of numbers; nothing expected counts as met."""
     return F.when(F.size(b) == 0, 1.0).otherwise(f1(F.size(F.array_intersect(a, b)), F.size(a), F.size(b)))
 
 
-def exact(predicted: Column, expected: Column) -> Column:
-    there = (F.coalesce(predicted, F.lit("")) != "") & (F.coalesce(expected, F.lit("")) != "")
-    return F.when(there & (A.answer_norm(predicted) == A.answer_norm(expected)), 1.0).otherwise(0.0)
+def with_f1(pairs: DataFrame, predicted: str, expected: str, suffix: str = "") -> DataFrame:
+    """Adds token_f1, exact_match and numeric_f1 of two text columns; each side is normalised once."""
+    step = pairs
+    for side, c in (("p", predicted), ("e", expected)):
+        step = step.withColumn(f"__{side}n", A.answer_norm(F.coalesce(F.col(c), F.lit(""))))
+        step = step.withColumn(f"__{side}t", F.filter(F.split(f"__{side}n", " "), lambda x: x != "")).withColumn(f"__{side}a", A.numeric_atoms(F.col(f"__{side}n")))
+    there = (F.coalesce(F.col(predicted), F.lit("")) != "") & (F.coalesce(F.col(expected), F.lit("")) != "")
+    step = step.withColumn(f"token_f1{suffix}", bag_f1(F.col("__pt"), F.col("__et"))).withColumn(f"numeric_f1{suffix}", atoms_f1(F.col("__pa"), F.col("__ea")))
+    return step.withColumn(f"exact_match{suffix}", F.when(there & (F.col("__pn") == F.col("__en")), 1.0).otherwise(0.0)).drop(*[f"__{a}{b}" for a in "pe" for b in "nta"])
 
 
-def canonical(question: Column, text: Column) -> Column:
-    """The structured answer in normal form; for regulations their sorted numbers, where there are any."""
-    norm = A.answer_norm(A.structured(question, text)["answer"])
-    refs = F.array_sort(F.array_distinct(F.regexp_extract_all(norm, F.lit(r"\b\d{3,4}/\d{4}\b"), 0)))
-    special = F.when((A.intent(question) == "regulatory") & (F.size(refs) > 0), F.concat(F.lit("regulations "), F.array_join(refs, " ")))
-    return F.when(text == "", "").otherwise(F.coalesce(special, norm))
+def with_canonical(rows: DataFrame, question: str, text: str, to: str) -> DataFrame:
+    """Adds the structured answer in normal form; for regulations their sorted numbers, where there are any."""
+    step = A.with_structured(rows, question, text, "__a", "__conf").withColumn("__a", A.answer_norm(F.col("__a")))
+    step = step.withColumn("__refs", F.array_sort(F.array_distinct(F.regexp_extract_all("__a", F.lit(r"\b\d{3,4}/\d{4}\b"), 0))))
+    special = F.when((A.intent(F.col(question)) == "regulatory") & (F.size("__refs") > 0), F.concat(F.lit("regulations "), F.array_join("__refs", " ")))
+    return step.withColumn(to, F.when(F.coalesce(F.col(text), F.lit("")) == "", "").otherwise(F.coalesce(special, F.col("__a")))).drop("__a", "__conf", "__refs")
 
 
 def answer_scores(pairs: DataFrame) -> DataFrame:
     """(question, predicted, expected) with token_f1, exact_match, numeric_f1 (larger of raw and canonical) and score."""
-    c = pairs.withColumn("__p", canonical(F.col("question"), F.col("predicted"))).withColumn("__e", canonical(F.col("question"), F.col("expected")))
-    for name, f in (("token_f1", token_f1), ("exact_match", exact), ("numeric_f1", numeric_f1)):
-        c = c.withColumn(name, F.greatest(f(F.col("predicted"), F.col("expected")), f(F.col("__p"), F.col("__e"))))
-    return c.withColumn("score", 0.70 * F.col("token_f1") + 0.10 * F.col("exact_match") + 0.20 * F.col("numeric_f1")).drop("__p", "__e")
+    step = with_f1(pairs, "predicted", "expected")
+    step = with_canonical(with_canonical(step, "question", "predicted", "__cp"), "question", "expected", "__ce")
+    step = with_f1(step, "__cp", "__ce", "_c")
+    names = ("token_f1", "exact_match", "numeric_f1")
+    step = step.withColumns({n: F.greatest(n, f"{n}_c") for n in names}).drop("__cp", "__ce", *[f"{n}_c" for n in names])
+    return step.withColumn("score", 0.70 * F.col("token_f1") + 0.10 * F.col("exact_match") + 0.20 * F.col("numeric_f1"))
 
 
 def best_match(scored: DataFrame, key: str, order: str) -> DataFrame:

@@ -57,8 +57,8 @@ _PAIRS = """SELECT * FROM (VALUES (1, 'dosage 5-40 ppm', 'recommended dosage 5-4
 
 @query(f"SELECT id, token_f1::DOUBLE AS token_f1, exact_match::DOUBLE AS exact_match, numeric_f1::DOUBLE AS numeric_f1 FROM ({_PAIRS})")
 def answer_f1(t, spark):
-    p, e = F.col("predicted"), F.col("expected")
-    return spark.sql(_PAIRS).select("id", F.round(V.token_f1(p, e), 6).alias("token_f1"), V.exact(p, e).alias("exact_match"), F.round(V.numeric_f1(p, e), 6).alias("numeric_f1"))
+    rows = V.with_f1(spark.sql(_PAIRS).select("id", "predicted", "expected"), "predicted", "expected")
+    return rows.select("id", F.round("token_f1", 6).alias("token_f1"), "exact_match", F.round("numeric_f1", 6).alias("numeric_f1"))
 
 
 @query("SELECT * FROM (VALUES (1, 'dosage: 5-40 ppm', 1.0::DOUBLE), (2, 'Activity 10000 U/g', 1.0::DOUBLE)) AS v(item, expected, score)")

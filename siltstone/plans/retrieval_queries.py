@@ -201,13 +201,13 @@ def answer_intent(t, spark):
 @query()
 def structured_answer(t, spark):
     pairs = spec(t, spark).select("k", "text").crossJoin(F.broadcast(questions(spark)))
-    return pairs.select("query_id", "k", A.structured(F.col("question"), F.col("text")).alias("a")).select("query_id", "k", "a.answer", "a.confidence")
+    return A.with_structured(pairs, "question", "text").select("query_id", "k", "answer", "confidence")
 
 
 @query()
 def api_fused_top3(t, spark):
     rows = hybrid(t, spark).select("query_id", "question", "chunk_id", "doc_id", "text", F.round("final", 9).alias("final"))
-    top = R.post_passes(rows, "final").where("rank <= 10").withColumn("a", A.structured(F.col("question"), F.col("text")))
-    fused = top.withColumn("score", F.round(0.35 / (1 + F.exp(-F.col("final"))) + 0.65 * F.col("a.confidence"), 8))
+    top = A.with_structured(R.post_passes(rows, "final").where("rank <= 10"), "question", "text")
+    fused = top.withColumn("score", F.round(0.35 / (1 + F.exp(-F.col("final"))) + 0.65 * F.col("confidence"), 8))
     out = fused.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "rank"))).where("n <= 3")
-    return out.select("query_id", F.col("n").alias("rank"), "chunk_id", "score", F.col("a.answer").alias("answer"))
+    return out.select("query_id", F.col("n").alias("rank"), "chunk_id", "score", "answer")
