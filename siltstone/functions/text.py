@@ -44,9 +44,15 @@ def _folds() -> tuple[str, str]:
     return "".join(a for a, _ in one), "".join(b for _, b in one)
 
 
+#: Characters that stand for several: ligatures, fractions and the like; texts without any skip their pass.
+WIDE = "ĳŉǆǉǌǳ¼½¾…™ﬀﬁﬂﬃﬄﬅﬆ"
+
+
 def folded(text: Column) -> Column:
     """Without accents and marks, lower-case."""
-    return F.lower(F.regexp_replace(F.translate(text, *_folds()), r"\p{M}", ""))
+    long = {c: "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)) for c in WIDE}
+    spread = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(long[c])), WIDE, text)
+    return F.lower(F.regexp_replace(F.translate(F.when(text.rlike(f"[{WIDE}]"), spread).otherwise(text), *_folds()), r"\p{M}", ""))
 
 
 def normal_token(text: Column) -> Column:
