@@ -52,7 +52,7 @@ def false_top1(t, spark):
 
 
 _PAIRS = """SELECT * FROM (VALUES (1, 'dosage 5-40 ppm', 'recommended dosage 5-40 ppm', 0.857143, 0.0, 1.0), (2, '5-40 ppm', '5 to 40 ppm', 1.0, 1.0, 1.0), (3, '5-30 ppm', '5 to 40 ppm', 0.5, 0.0, 0.5),
-(4, 'BVZyme GOX 110®: 5-40 ppm.', 'bvzyme gox 110 5-40 ppm', 1.0, 1.0, 1.0), (5, 'abc', 'def', 0.0, 0.0, 1.0), (6, '', 'x 1', 0.0, 0.0, 0.0)) AS v(id, predicted, expected, token_f1, exact_match, numeric_f1)"""
+(4, 'Enzyma GOX 110®: 5-40 ppm.', 'enzyma gox 110 5-40 ppm', 1.0, 1.0, 1.0), (5, 'abc', 'def', 0.0, 0.0, 1.0), (6, '', 'x 1', 0.0, 0.0, 0.0)) AS v(id, predicted, expected, token_f1, exact_match, numeric_f1)"""
 
 
 @query(f"SELECT id, token_f1::DOUBLE AS token_f1, exact_match::DOUBLE AS exact_match, numeric_f1::DOUBLE AS numeric_f1 FROM ({_PAIRS})")

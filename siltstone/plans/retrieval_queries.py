@@ -186,10 +186,10 @@ def rerank_blend(t, spark):
     return R.blended(top).select("query_id", "id", F.round("blend", 6).alias("blend"), "new_rank")
 
 
-@query("WITH a AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) AS rank FROM conversations WHERE role = 'system'), n AS (SELECT c.conv_id, c.turn, min(a.rank) AS anchor_rank FROM conversations c JOIN a ON a.conv_id = c.conv_id AND c.turn BETWEEN a.turn - 1 AND a.turn + 1 GROUP BY ALL) SELECT conv_id, turn, anchor_rank::BIGINT AS anchor_rank FROM n ANTI JOIN a USING (conv_id, turn)")
+@query("WITH a AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank FROM conversations WHERE role = 'system'), n AS (SELECT c.conv_id, c.turn, min(a.rank) AS anchor_rank FROM conversations c JOIN a ON a.conv_id = c.conv_id AND c.turn BETWEEN a.turn - 1 AND a.turn + 1 GROUP BY ALL) SELECT conv_id, turn, anchor_rank::BIGINT AS anchor_rank FROM n ANTI JOIN a USING (conv_id, turn)")
 def context_expand(t, spark):
     c = t("conversations")
-    anchors = c.where("role = 'system'").withColumn("rank", F.row_number().over(Window.orderBy("conv_id", "turn")))
+    anchors = c.where("role = 'system'").withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
     return R.context(anchors.select("rank", "conv_id", "turn"), c, "conv_id", "turn").select("conv_id", "turn", F.col("anchor_rank").cast("long"))
 
 

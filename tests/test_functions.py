@@ -84,7 +84,7 @@ def test_structured_answers(spark, question, text, parts, confidence):
 
 
 def test_answer_forms(spark):
-    assert one(spark, "BVZyme GOX 110®: 5-40 ppm.", A.answer_norm) == "bvzyme gox 110 5-40 ppm"
+    assert one(spark, "Enzyma GOX 110®: 5-40 ppm.", A.answer_norm) == "enzyma gox 110 5-40 ppm"
     pairs = spark.createDataFrame([("dosage 5-40 ppm", "recommended dosage 5-40 ppm")], "p string, e string")
     assert abs(V.with_f1(pairs, "p", "e").first()["token_f1"] - 6 / 7) < 1e-9
 
