@@ -33,8 +33,8 @@ URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#x[0-9A-Fa-f]{1,6};)+")
 ONE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#x([0-9A-Fa-f]{1,6});")
 BLOB = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: Bytes that a compressed layer may unpack to; more is an error that is reported in the count, not a cut.
-MAX_UNPACKED = 64 << 20
+#: A compressed layer that unpacks to more bytes is a bomb and is left closed: a worker's memory bounds what can be held.
+MAX_UNPACKED = 128 << 20
 
 Layer = tuple[str, "np.ndarray | None", "np.ndarray | None"]
 
@@ -64,6 +64,8 @@ def _legible(data: bytes) -> str | None:
             data = step.decompress(data, MAX_UNPACKED)
         except zlib.error:
             return None
+        if step.unconsumed_tail:
+            return None
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
@@ -164,7 +166,8 @@ def secrets(docs: DataFrame) -> DataFrame:
     """A row for each row of docs (doc_id, text): doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_layered.
 
     The counts and base_sha256 are of the secrets in the text itself, spans of all with those of decoded layers
-    (n_layered more), by start, then kind, then end, in code points. Null text counts as empty and has none. Rows that
+    (n_layered more), by start, then kind, then end, in code points. A compressed layer of over MAX_UNPACKED bytes is
+    left closed. Null text counts as empty and has none. Rows that
     repeat a doc_id are given as often as they come, a null doc_id stays null, other columns are ignored, no rows give none.
     """
     prepared(docs.sparkSession)
