@@ -13,7 +13,7 @@ from siltstone.operators import ranking as R
 
 from . import sql as S
 from .registry import query
-from .text_queries import spec
+from .text_queries import _ALL, _DOC_CODES, _DOSES, _FAMILY, _SECTION, spec
 
 # Words of each dimension of the keyword vectors.
 KEYWORDS = (
@@ -153,12 +153,34 @@ def field_intent_score(t, spark):
     return _pairs(t, spark).select("query_id", "chunk_id", F.round(R.field_intent_score(F.col("text_norm"), F.col("product")), 6).alias("score"))
 
 
-@query()
+_NAME = S.norm("doc_id || ' ' || file_name")
+_HEAD = S.tokens("doc_id || ' ' || file_name || ' ' || left(text, 320)")
+_OWN_CODES = _codes_sql().replace("tok,", "head,").replace("nq,", "nn,")
+_SCORED = f"""WITH {_PROFILE}, spec AS ({S.SPEC}), s0 AS (SELECT *, {_ALL} AS a, {_NAME} AS nn, {_HEAD} AS head, {S.tokens('text')} AS own, {_NT} AS n, {S.norm('left(text, 180)')} AS n180 FROM spec),
+s1 AS (SELECT *, {_FAMILY} AS family, {_SECTION} AS sec, {_DOC_CODES} AS meta, {_DOSES} FROM s0),
+s AS (SELECT *, CASE WHEN meta <> '' THEN string_split(meta, ',') ELSE {_OWN_CODES} END AS dcodes, list_concat({_FAM.replace('tok,', 'head,')}, [family]) AS dfams, contains(nn, 'acide ascorbique') AS dasc FROM s1),
+c AS (SELECT s.*, p.* FROM s, p),
+x AS (SELECT *, greatest(-0.20, least(0.35,
+  CASE WHEN len(fams) > 0 AND family <> 'other' THEN CASE WHEN list_contains(fams, family) THEN 0.10 ELSE -0.16 END ELSE 0 END
+  + CASE WHEN asks_standardization AND dosage_standardization IS NOT NULL THEN 0.18 ELSE 0 END + CASE WHEN asks_bread_improvement AND dosage_bread_improvement IS NOT NULL THEN 0.18 ELSE 0 END
+  + CASE WHEN asks_optimum AND (dosage_suggested_optimum IS NOT NULL OR dosage_suggested IS NOT NULL) THEN 0.18 ELSE 0 END
+  + CASE WHEN asks_regulatory AND (dosage_max_authorized IS NOT NULL OR coalesce(sec = 'regulatory', false)) THEN 0.16 ELSE 0 END
+  + CASE WHEN asks_storage AND coalesce(sec = 'storage', false) THEN 0.14 ELSE 0 END + CASE WHEN asks_safety AND coalesce(sec = 'food_safety', false) THEN 0.16 ELSE 0 END
+  + CASE WHEN asks_activity AND contains(n180, 'activity') THEN 0.14 ELSE 0 END))::DOUBLE AS structured,
+ greatest(-0.60, least(1.00,
+  CASE WHEN len(codes) = 0 THEN 0 WHEN len(list_intersect(codes, dcodes)) > 0 THEN 0.50 + 0.20 * least(2, len(list_intersect(codes, dcodes))) WHEN len(dcodes) > 0 THEN -0.05 ELSE -0.035 END
+  + CASE WHEN len(list_intersect(fams, dfams)) > 0 THEN 0.25 ELSE 0 END + CASE WHEN ascorbic AND dasc THEN 0.20 WHEN ascorbic THEN -0.20 WHEN dasc AND len(fams) > 0 THEN -0.45 ELSE 0 END
+  + CASE WHEN asks_storage THEN CASE WHEN sec = 'storage' THEN 0.10 WHEN sec IS NOT NULL THEN -0.02 ELSE 0 END ELSE 0 END
+  + CASE WHEN asks_safety THEN CASE WHEN sec = 'food_safety' THEN 0.12 WHEN sec IS NOT NULL THEN -0.02 ELSE 0 END ELSE 0 END
+  + CASE WHEN asks_regulatory THEN CASE WHEN sec = 'regulatory' THEN 0.08 WHEN sec IS NOT NULL AND sec <> 'dosage' THEN -0.016 ELSE 0 END ELSE 0 END))::DOUBLE AS specific FROM c)"""
+
+
+@query(f"{_SCORED} SELECT query_id, k AS chunk_id, round(structured, 6) AS score FROM x")
 def structured_score(t, spark):
     return _pairs(t, spark).select("query_id", "chunk_id", F.round(R.structured_score(), 6).alias("score"))
 
 
-@query()
+@query(f"{_SCORED} SELECT query_id, k AS chunk_id, round(specific, 6) AS score FROM x")
 def doc_specific_score(t, spark):
     return _pairs(t, spark).select("query_id", "chunk_id", F.round(R.doc_specific_score(), 6).alias("score"))
 
@@ -173,7 +195,20 @@ def hybrid(t, spark):
     return p.withColumn("final", F.col("dense_w") * F.col("dense") + F.col("lexical_w") * F.col("lex") + F.col("field_w") * F.col("field") + R.doc_specific_score() + R.structured_score())
 
 
-@query()
+def _vec(x: str) -> str:
+    """The keyword vector as a list of doubles."""
+    return "list_transform(string_split(" + _kw(x) + ", ''), lambda z: z::DOUBLE)"
+
+
+_W_SQL = "(CASE WHEN broad_mode THEN CASE WHEN route = 'compliance_storage_safety' THEN [0.58, 0.32, 0.10] ELSE [0.65, 0.25, 0.10] END ELSE [0.70, 0.22, 0.08] END)::DOUBLE[]"
+_HYBRID = f"""{_SCORED}, qv AS (SELECT query_id, {_vec('question')} AS qv FROM p), sv AS (SELECT k, {_vec('text')} AS v FROM spec),
+y AS (SELECT x.*, list_inner_product(qv, v) / nullif(sqrt(list_inner_product(qv, qv)) * sqrt(list_inner_product(v, v)), 0) AS cos, {_W_SQL} AS w, len(list_intersect(tok, own)) AS m, len(tok) AS nqt, len(own) AS nt FROM x JOIN qv USING (query_id) JOIN sv USING (k)),
+f AS (SELECT *, round(w[1] / list_sum(w) * coalesce(cos, 0) + w[2] / list_sum(w) * (CASE WHEN m = 0 THEN 0.0::DOUBLE ELSE {_LEX.replace('nq,', 'nqt,')} END) + w[3] / list_sum(w) * {_FIELD} + specific + structured, 9) AS final FROM y),
+d AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY final DESC, k) AS nd FROM f)
+SELECT query_id, k AS chunk_id, round(final, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, k) AS rank FROM d WHERE nd = 1) WHERE rank <= 10"""
+
+
+@query(_HYBRID)
 def hybrid_rank(t, spark):
     rows = hybrid(t, spark).select("query_id", "chunk_id", "doc_id", F.round("final", 9).alias("final"))
     return R.post_passes(rows, "final").where("rank <= 10").select("query_id", "chunk_id", F.round("final", 6).alias("score"), "rank")

@@ -71,7 +71,10 @@ def lang_counts(t, spark):
     return tags.groupBy("source").agg(F.when(F.min("tag") == F.max("tag"), F.min("tag")).otherwise("mixed").alias("lang"), F.count("*").alias("n"))
 
 
-@query()
+_TITLE = r"length(l) BETWEEN 3 AND 80 AND ((l = upper(l) AND l <> lower(l)) OR (NOT regexp_matches(l, '\p{L}\p{Lu}') AND NOT regexp_matches(l, '(^|[^\p{L}])\p{Ll}') AND regexp_matches(l, '\p{Lu}')))"
+
+
+@query(f"SELECT doc_id, coalesce(list_filter(string_split(text, chr(10))[1:6], lambda l: {_TITLE})[1], 'General') AS section FROM documents")
 def detect_section(t, spark):
     return t("documents").select("doc_id", T.section_title(F.col("text")).alias("section"))
 
@@ -144,7 +147,16 @@ def boilerplate_lines(t, spark):
     return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(T.boilerplate_line(F.col("line")).cast("long")).alias("n_boilerplate"))
 
 
-@query()
+_STRIP = rf"""WITH l AS (SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM (
+ SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, 'vtr\s*&?\s*beyond.*?(technical\s+data\s+sheet)', '\1', 'gis'), '[\n\r\f]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ls FROM documents)),
+b AS (SELECT *, {_BOILER} AS boiler FROM l), e AS (SELECT doc_id, min(i) AS a, max(i) AS z FROM b WHERE NOT boiler GROUP BY doc_id),
+k AS (SELECT b.doc_id, string_agg(line, chr(10) ORDER BY i) AS kept FROM b JOIN e USING (doc_id) WHERE i BETWEEN a AND z GROUP BY b.doc_id),
+j AS (SELECT d.doc_id, text, coalesce(kept, '') AS kept FROM documents d LEFT JOIN k USING (doc_id)),
+r AS (SELECT *, kept <> '' AND len(list_filter(string_split({S.norm('kept')}, ' '), lambda x: x <> '')) >= 10 AND length(text) > length(kept) AS ok FROM j)
+SELECT doc_id, md5(CASE WHEN ok THEN kept ELSE text END) AS text_md5, ok AS removed, (CASE WHEN ok THEN length(text) - length(kept) ELSE 0 END)::BIGINT AS removed_chars FROM r"""
+
+
+@query(_STRIP)
 def boilerplate_strip(t, spark):
     return t("documents").select("doc_id", T.without_boilerplate(F.col("text")).alias("b")).select("doc_id", F.md5("b.text").alias("text_md5"), "b.removed", "b.removed_chars")
 
@@ -316,9 +328,9 @@ def unit_sql(x: str) -> str:
 
 
 def answer_sql(x: str) -> str:
-    """A lone dot is one without a digit on either side; the two rules take it off without looking around."""
-    u = S.rewrites(unit_sql(f"replace(lower(strip_accents({x})), '’', '''')"), [(r"[^a-z0-9%/\-.\s]", " ")])
-    return S.squeeze(S.rewrites(f"(' ' || {u} || ' ')", [(r"([^0-9.])\.+([^0-9.])", r"\1 \2"), (r"([^0-9.])\.+([^0-9.])", r"\1 \2")]))
+    """Dots next to a digit are set aside, the others taken off, and the first put back."""
+    u = S.rewrites(unit_sql(f"replace(lower(strip_accents({x})), '’', chr(39))"), [(r"[^a-z0-9%/\-.\s]", " "), (r"([0-9])\.", r"\1~"), (r"\.([0-9])", r"~\1"), (r"\.", " ")])
+    return S.squeeze(f"replace({u}, '~', '.')")
 
 
 @query(S.over_spec(f"k, {unit_sql('text')} AS unit_text"))
@@ -326,7 +338,7 @@ def unit_string(t, spark):
     return spec(t, spark).select("k", A.unit_string(F.col("text")).alias("unit_text"))
 
 
-@query()
+@query(S.over_spec(f"k, {answer_sql('text')} AS norm"))
 def answer_norm(t, spark):
     return spec(t, spark).select("k", A.answer_norm(F.col("text")).alias("norm"))
 
