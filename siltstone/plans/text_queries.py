@@ -8,6 +8,7 @@ from siltstone.functions import answer as A
 from siltstone.functions import extract as E
 from siltstone.functions import text as T
 from siltstone.operators import chunking as C
+from siltstone.operators import embed as M
 
 from . import sql as S
 from .registry import query
@@ -352,3 +353,10 @@ def allergens(t, spark):
 @query(S.over_spec("k, CASE WHEN k % 3 = 0 THEN 'cadmium 0.5 mg/kg; lead 5 mg/kg' ELSE '' END AS limits"))
 def metal_limits(t, spark):
     return spec(t, spark).select("k", F.array_join(A.metal_limits(A.answer_norm(F.col("text"))), "; ").alias("limits"))
+
+
+@query()
+def pandas_embedder(t, spark):
+    """Vectors of every document by a batch function; its values are the model's own, so there is no SQL for them."""
+    v = M.embedder(M.hashed_letters())(F.col("text"))
+    return t("documents").select("doc_id", v.alias("vector")).select("doc_id", F.size("vector").alias("width"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x), 4).alias("length"))

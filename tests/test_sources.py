@@ -49,3 +49,13 @@ def test_dense_topk_blocks_and_odd_rows(spark):
     whole, blocks = (sorted(map(tuple, dense_topk(v, q, 3, block=b).collect())) for b in (100, 2))
     assert whole == blocks and len(whole) == 15
     assert dense_topk(v, q.limit(0), 3).count() == 0 and dense_topk(v.limit(0), q, 3).count() == 0
+
+
+def test_batch_models(spark):
+    from pyspark.sql import functions as F
+
+    from siltstone.operators import embed
+
+    df = spark.createDataFrame([("abc", "abd"), (None, "x"), ("", None)], "q string, t string")
+    got = df.select(embed.embedder(embed.hashed_letters(8))(F.col("q")).alias("v"), embed.pair_scorer(lambda: lambda q, t: [len(a) + len(b) for a, b in zip(q, t, strict=True)])("q", "t").alias("s")).collect()
+    assert abs(sum(x * x for x in got[0].v) - 1) < 1e-6 and sum(got[1].v) == 0 and sorted(x.s for x in got) == [0.0, 1.0, 6.0]
