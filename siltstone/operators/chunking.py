@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as T
 
 
+def settled_columns(rows: DataFrame, /, **columns: Column) -> DataFrame:
+    """Adds columns that are worked out once a row: filters and projections above read their values, not their expressions.
+
+    The optimiser would write an expression out wherever it is used, which for long chains of text rules grows without
+    measure; it does not look through a generator.
+    """
+    box = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return rows.select(*[c for c in rows.columns if c not in columns], box.alias("__box")).select("*", "__box.*").drop("__box")
+
+
 def token_windows(docs: DataFrame, size: int = 420, overlap: int = 60) -> DataFrame:
     """(doc_id, start, n, total, text): overlapping windows of the words of (doc_id, text); texts without words give none."""
     split = docs.select("doc_id", T.words(F.col("text")).alias("w")).withColumn("total", F.size("w")).where("total > 0")
@@ -22,12 +32,16 @@ def short_gate(windows: DataFrame, least: int = 12) -> DataFrame:
 
 
 def first_wins(rows: DataFrame, keys: list[str | Column], order: list[str | Column]) -> DataFrame:
-    """The first row of each key; rows of which a key is null all stay."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    """The first row of each key; rows of which a key is null all stay.
+
+    Each task keeps its own first row of a key before the shuffle; rows with a null key are not shuffled at all.
+    """
+    cols = [F.col(k) if isinstance(k, str) else k for k in keys]
     null = F.lit(False)
-    for k in keys:
-        null = null | (F.col(k) if isinstance(k, str) else k).isNull()
-    return rows.withColumn("__n", F.when(null, 1).otherwise(n)).where("__n = 1").drop("__n")
+    for k in cols:
+        null = null | k.isNull()
+    first = rows.where(~null).withColumn("__n", F.row_number().over(Window.partitionBy(*cols).orderBy(*order))).where("__n = 1").drop("__n")
+    return first.unionByName(rows.where(null))
 
 
 def repeated_lines(pages: DataFrame, least: int = 2) -> DataFrame:
@@ -65,31 +79,36 @@ def merged_rows(rows: Column) -> Column:
 
 
 def table_fields(tables: DataFrame) -> DataFrame:
-    """(table_id, n, section, field, value, sentence): a sentence for each usable row of (table_id, section, rows)."""
-    merged = tables.select("table_id", "section", merged_rows(F.col("rows")).alias("rows"))
+    """(table_id, n, section, field, value, product, dosage, observation, sentence) for each usable row of (table_id, section, rows)."""
+    merged = settled_columns(tables.select("table_id", "section", "rows"), rows=merged_rows(F.col("rows")))
     headed = (F.size("rows") > 1) & (F.size(F.filter(F.get("rows", F.lit(0)), lambda c: c != "")) >= 2)
     split = merged.select("table_id", "section", F.when(headed, F.get("rows", F.lit(0))).alias("header"), F.posexplode(F.when(headed, F.slice("rows", F.lit(2), F.size("rows"))).otherwise(F.col("rows"))).alias("n", "row"))
-    cells = split.withColumn("cells", F.filter("row", lambda c: c != "")).where(F.size("cells") > 0)
+    cells = settled_columns(split, cells=F.filter("row", lambda c: c != "")).where(F.size("cells") > 0)
     pair = F.filter(F.arrays_zip(F.col("header").alias("h"), F.col("cells").alias("c")), lambda p: (F.coalesce(p["h"], F.lit("")) != "") & (F.coalesce(p["c"], F.lit("")) != ""))
     paired = F.array_join(F.transform(pair, lambda p: F.concat(p["h"], F.lit("="), p["c"])), " ; ")
     first = F.get("cells", F.lit(0))
     value = F.when(F.col("header").isNotNull() & (F.size("cells") >= 2), paired).otherwise(F.array_join(F.slice("cells", F.lit(2), F.size("cells")), " ; "))
-    both = cells.select("table_id", "n", "section", first.alias("f"), value.alias("v"))
+    both = settled_columns(cells, f=first, v=value)
     colon = (F.col("v") == "") & F.contains("f", F.lit(":"))
-    named = both.select("table_id", "n", "section", F.when(colon, F.btrim(F.regexp_extract("f", r"^([^:]*):", 1))).otherwise(F.col("f")).alias("field"), F.when(colon, F.btrim(F.regexp_extract("f", r"(?s)^[^:]*:(.*)$", 1))).otherwise(F.col("v")).alias("value"))
+    named = settled_columns(
+        both.select("table_id", "n", "section", "f", "v"),
+        field=F.when(colon, F.btrim(F.regexp_extract("f", r"^([^:]*):", 1))).otherwise(F.col("f")),
+        value=F.when(colon, F.btrim(F.regexp_extract("f", r"(?s)^[^:]*:(.*)$", 1))).otherwise(F.col("v")),
+    ).drop("f", "v")
     good = named.where((F.length(F.btrim("field")) >= 3) & (F.col("value") != ""))
     parts = F.filter(F.transform(F.split("value", ";"), lambda x: F.btrim(x)), lambda x: F.contains(x, F.lit("=")))
 
     def of(key: str) -> Column:
         """Of `key = value` parts; a later one wins."""
-        own = F.filter(parts, lambda x: F.btrim(F.regexp_extract(x, "^([^=]*)=", 1)) == key)
-        return F.when(F.size(own) > 0, F.btrim(F.regexp_extract(F.get(own, F.size(own) - 1), "(?s)^[^=]*=(.*)$", 1)))
+        own = F.element_at(F.filter(F.concat(F.array(F.lit("=")), F.col("parts")), lambda x: (x == "=") | (F.btrim(F.regexp_extract(x, "^([^=]*)=", 1)) == key)), -1)
+        return F.nullif(F.btrim(F.regexp_extract(own, "(?s)^[^=]*=(.*)$", 1)), F.lit(""))
 
-    product, dosage, note = F.coalesce(F.nullif(of("Type de Production"), F.lit("")), F.col("field")), F.nullif(of("Dosage (ppm)"), F.lit("")), F.nullif(of("Observations"), F.lit(""))
+    read = settled_columns(settled_columns(good, parts=parts), product=F.coalesce(of("Type de Production"), F.col("field")), dosage=of("Dosage (ppm)"), note=of("Observations")).drop("parts")
+    dosage = F.col("dosage")
     amount = F.when(F.contains(F.lower(dosage), F.lit("ppm")), dosage).otherwise(F.concat(dosage, F.lit(" ppm")))
     dosed = F.concat(
-        F.lit("Dans la section « "), F.col("section"), F.lit(" », la recommandation pour « "), product, F.lit(" » indique un dosage de "), amount, F.lit("."),
-        F.when(note.isNotNull(), F.concat(F.lit(" Cette recommandation est accompagnee de la remarque suivante : "), note, F.lit("."))).otherwise(F.lit(" Aucune remarque complementaire n'est precisee.")),
+        F.lit("Dans la section « "), F.col("section"), F.lit(" », la recommandation pour « "), F.col("product"), F.lit(" » indique un dosage de "), amount, F.lit("."),
+        F.when(F.col("note").isNotNull(), F.concat(F.lit(" Cette recommandation est accompagnee de la remarque suivante : "), F.col("note"), F.lit("."))).otherwise(F.lit(" Aucune remarque complementaire n'est precisee.")),
     )
     plain = F.concat(F.lit("Dans la section « "), F.col("section"), F.lit(" », le champ « "), F.col("field"), F.lit(" » contient l'information suivante : "), F.col("value"), F.lit("."))
-    return good.withColumn("sentence", F.coalesce(dosed, plain))
+    return settled_columns(read, observation=F.when(dosage.isNotNull(), F.col("note")), sentence=F.coalesce(dosed, plain)).drop("note")

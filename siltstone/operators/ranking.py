@@ -92,17 +92,22 @@ def structured_score() -> Column:
     )
 
 
-def doc_specific_score(code_penalty: float = CODE_PENALTY, section_penalty: float = SECTION_PENALTY) -> Column:
-    """Codes, families, ascorbic acid and sections of a question against a passage's columns."""
+def doc_specific_score(code_penalty: float = CODE_PENALTY, section_penalty: float = SECTION_PENALTY, constraints: bool = True) -> Column:
+    """Codes, families, ascorbic acid and sections of a question against a passage's columns.
+
+    Without constraints other codes cost nothing and sections do not count.
+    """
+    code_penalty = code_penalty if constraints else 0.0
     n = F.size(F.array_intersect("codes", "doc_codes"))
     codes = F.when(F.size("codes") == 0, 0.0).when(n > 0, 0.50 + 0.20 * F.least(F.lit(2), n)).when(F.size("doc_codes") > 0, -code_penalty).otherwise(-code_penalty * 0.7)
     sec = F.coalesce(F.col("section_canonical"), F.lit(""))
     part = lambda ask, name, plus, share, free: F.when(F.col(ask), F.when(sec == name, plus).when((sec != "") & ~sec.isin(*free), -section_penalty * share).otherwise(0.0)).otherwise(0.0)
+    sections = [part("asks_storage", "storage", 0.10, 0.5, ("storage",)), part("asks_safety", "food_safety", 0.12, 0.5, ("food_safety",)), part("asks_regulatory", "regulatory", 0.08, 0.4, ("regulatory", "dosage"))]
     return _clamped(
         _sum(
             codes, _if(F.arrays_overlap("families", "doc_families"), 0.25), _if(F.col("ascorbic") & F.col("doc_ascorbic"), 0.20), _if(F.col("ascorbic") & ~F.col("doc_ascorbic"), -0.20),
             _if(~F.col("ascorbic") & F.col("doc_ascorbic") & (F.size("families") > 0), -0.45),
-            part("asks_storage", "storage", 0.10, 0.5, ("storage",)), part("asks_safety", "food_safety", 0.12, 0.5, ("food_safety",)), part("asks_regulatory", "regulatory", 0.08, 0.4, ("regulatory", "dosage")),
+            *(sections if constraints else []),
         ),
         -0.60, 1.00,
     )
@@ -118,15 +123,15 @@ def passages(chunks: DataFrame) -> DataFrame:
     return p.withColumn("doc_families", F.array_union(E.family_set(F.col("head_tokens")), F.array("product_family"))).withColumn("doc_ascorbic", F.contains("name_norm", F.lit("acide ascorbique")))
 
 
-def post_passes(scored: DataFrame, score: str, by_doc: bool = True, penalty: float | None = None, doc: str = "doc_id", page: str | None = None) -> DataFrame:
-    """Ranks of (query_id, chunk_id, doc): first of each chunk, repeats of a page penalised, best of each document, by score."""
-    order = [F.desc(score), "chunk_id"]
+def post_passes(scored: DataFrame, score: str, by_doc: bool = True, penalty: float | None = None, doc: str = "doc_id", page: str | None = None, tie: str = "chunk_id") -> DataFrame:
+    """Ranks of (query_id, chunk_id, doc): first of each chunk, repeats of a page penalised, best of each document, by score, then `tie`."""
+    order = [F.desc(score), tie]
     out = scored.withColumn("__n", F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy(*order))).where("__n = 1")
     if penalty is not None:
         nth = F.row_number().over(Window.partitionBy("query_id", doc, *([page] if page else [])).orderBy(*order)) - 1
         out = out.withColumn("__first", F.col(score)).withColumn(score, F.col(score) * F.greatest(F.lit(0.0), 1 - F.lit(penalty) * nth))
     if by_doc:
-        first = [F.desc("__first" if penalty is not None else score), "chunk_id"]
+        first = [F.desc("__first" if penalty is not None else score), tie]
         out = out.withColumn("__n", F.row_number().over(Window.partitionBy("query_id", doc).orderBy(*first))).where("__n = 1")
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).drop("__n", "__first")
 

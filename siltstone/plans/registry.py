@@ -27,4 +27,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import evaluation_queries, retrieval_queries, text_queries  # noqa: E402, F401
+from . import evaluation_queries, retrieval_queries, text_queries, whole_queries  # noqa: E402, F401
