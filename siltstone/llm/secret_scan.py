@@ -51,19 +51,23 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def _legible(data: bytes) -> str | None:
-    """The text of decoded bytes, unpacked as often as they are compressed; None if they are no text."""
-    for _ in range(32):
+    """The text of decoded bytes, unpacked as often as they are compressed; None if they are no text or unpack to themselves."""
+    seen = set()
+    while True:
         if data[:2] == b"\x1f\x8b":
             kind = 31
         elif len(data) > 5 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0:
             kind = 15
         else:
             break
+        if (mark := hashlib.sha256(data).digest()) in seen:
+            return None
+        seen.add(mark)
         try:
             step = zlib.decompressobj(kind)
             data = step.decompress(data, MAX_UNPACKED)
-        except zlib.error:
-            return None
+        except zlib.error:  # text can begin like a compressed layer
+            break
         if step.unconsumed_tail:
             return None
     try:

@@ -70,6 +70,21 @@ def test_base_secrets(spark):
     assert secret_scan.secrets(df.limit(0)).count() == 0
 
 
+def test_unpacked_to_the_end():
+    """However often a secret is packed, and for data that packs to nothing new."""
+    data = b"password = abcdefgh12345678"
+    for _ in range(60):
+        data = gzip.compress(data)
+    text = base64.b64encode(data).decode()
+    assert secret_scan.scan(text) == ([], {(0, len(text), "assign")})
+
+
+@pytest.mark.parametrize("begin", ["x ", "x?", "x^", "x}"])
+def test_text_that_begins_like_a_compressed_layer(begin):
+    text = base64.b64encode(f"{begin}password = abcdefgh12345678".encode()).decode()
+    assert secret_scan.scan(text) == ([], {(0, len(text), "assign")})
+
+
 def test_layers():
     inner = 'secret = "abcdefghijklmnop"'
     b64 = lambda x: base64.b64encode(x).decode()
