@@ -172,6 +172,32 @@ def test_lm_scores(spark, sf):
     assert lm_score.pseudo_likelihood(docs.limit(0)).count() == 0
 
 
+def test_lm_words_of_a_bucket(spark):
+    """Words that share a bucket differ by their counts, whether these are sent or joined."""
+    r = random.Random(9)
+    common = [f"w{k}" for k in range(960)] * 20
+    r.shuffle(common)
+    of = lm_score.bucket(b"rare0")
+    twins = [w for w in (f"rare{k}" for k in range(1000)) if lm_score.bucket(w.encode()) == of][:3]
+    rows = [(k, " ".join(common[k::40])) for k in range(40)]
+    rows += [(100 + k, f"w1 w2 {w} w3 w4") for k, w in enumerate(twins)] + [(200, " ".join([twins[1]] * 8)), (201, twins[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for frequent in (0, 1, 1 << 17):
+        got = {x.doc_id: x.log_likelihood for x in lm_score.pseudo_likelihood(df, frequent=frequent).collect()}
+        assert len(got) == len(rows)
+        assert abs(got[101] - got[100] - np.log(9)) < 1e-3 and abs(got[102] - got[100] - np.log(2)) < 1e-3, frequent
+
+
+def test_lm_vocabulary_grows():
+    assert lm_score.side_of(10**6) == lm_score.CLASSES < lm_score.side_of(10**9) < lm_score.side_of(10**11)
+    side = 40
+    net = lm_score.Network.first(np.arange(side * side))
+    net = lm_score.Network.of(net.flat(), side)
+    every = np.arange(side * side)
+    p = np.exp(net.pass_(every, np.full((len(lm_score.SIDES), len(every)), side * side)))
+    assert abs(p.sum() - 1) < 1e-3
+
+
 def test_lm_against_plain_softmax():
     r = np.random.default_rng(2)
     net = lm_score.Network.of(r.standard_normal(len(lm_score.Network.first().flat())) * 0.2)
