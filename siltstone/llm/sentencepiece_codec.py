@@ -138,8 +138,9 @@ def build(model: Model) -> Tokenizer:
 class Codec:
     """Encodes batches of whole texts and checks them.
 
-    Where words are independent (Model.splittable) and nothing is normalised away, each new word is encoded, decoded and
-    held against the library once, on several threads, and is remembered; texts are put together from their words.
+    Where words are independent (Model.splittable) and nothing is normalised away, each new word is encoded and held
+    against the library once, on several threads, and is remembered; texts are put together from their words. The ids of
+    every whole text are decoded and compared with it.
     """
 
     def __init__(self, data: bytes, parity: bool = True, most: int = 400_000) -> None:
@@ -151,9 +152,6 @@ class Codec:
         self.find = re.compile(WORD).findall
         self.most = most
         self._forget()
-        raw = [bytes([int(p[3:5], 16)]) if t == BYTE else p.encode() for p, t in zip(self.model.pieces, self.model.types, strict=True)]
-        self.piece_size = np.array([len(p) for p in raw], np.int64)
-        self.piece_start, self.piece_bytes = np.cumsum(self.piece_size) - self.piece_size, np.frombuffer(b"".join(raw), np.uint8)
         self.library = None
         if parity:
             import sentencepiece
@@ -163,7 +161,7 @@ class Codec:
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.unlike, self.lost = np.zeros(0, bool), np.zeros(0, bool)
+        self.unlike = np.zeros(0, bool)
 
     def _learn(self, new: list[str]) -> None:
         ids = [e.ids for e in self.word.encode_batch_fast(new, add_special_tokens=False)]
@@ -172,31 +170,18 @@ class Codec:
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(size) - size))
         self.size, self.flat = np.concatenate((self.size, size)), np.concatenate((self.flat, _flat(ids)))
-        self.lost = np.concatenate((self.lost, self._lost(ids, new, plain, size)))
         unlike = [False] * len(new)
         if self.library:
             lone = [self.library.piece_to_id(SPACE)]
             unlike = [i != (lone if w == SPACE else t) for i, w, t in zip(ids, new, self.library.encode(plain, num_threads=1), strict=True)]
         self.unlike = np.concatenate((self.unlike, np.array(unlike, bool)))
 
-    def _lost(self, ids: list[list[int]], words: list[str], plain: list[str], size: np.ndarray) -> np.ndarray:
-        """Words that decoding doesn't give back: the bytes of all pieces in a row are compared with those of the words."""
-        flat = _flat(ids)
-        n = self.piece_size[flat]
-        ends = np.concatenate(([0], np.cumsum(n)))
-        got = self.piece_bytes[np.repeat(self.piece_start[flat] - ends[:-1], n) + np.arange(ends[-1])]
-        raw = [w.encode() for w in words]
-        per_word = np.diff(ends[np.concatenate(([0], np.cumsum(size)))])
-        if np.array_equal(per_word, np.fromiter(map(len, raw), np.int64, len(raw))) and got.tobytes() == b"".join(raw):
-            return np.zeros(len(words), bool)
-        return np.array([b != p for b, p in zip(self.decode(ids), plain, strict=True)], bool)
-
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool], list[bool | None]]:
         """Ids of all texts in a row, where each text ends (from 0), whether decoding gives the text, and whether the library agrees."""
         if not self.by_word:
             ids = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
             same = [i == self.library.encode(t) for i, t in zip(ids, texts, strict=True)] if self.library else [None] * len(ids)
-            return _flat(ids), np.cumsum([0, *map(len, ids)]), [b == t for b, t in zip(self.decode(ids), texts, strict=True)], same
+            return _flat(ids), np.cumsum([0, *map(len, ids)]), self._given_back(ids, texts), same
         split = [self.find(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         words = pa.array([w for ws in split for w in ws], pa.string()).dictionary_encode()
         distinct = words.dictionary.to_pylist()
@@ -210,13 +195,13 @@ class Codec:
         out = self.flat[np.repeat(self.start[codes] - every[:-1], n) + np.arange(every[-1])]
         ends = np.cumsum([0, *map(len, split)])
 
-        def none(flags: np.ndarray) -> list[bool]:
-            at = np.concatenate(([0], np.cumsum(flags[codes])))[ends]
-            return (at[1:] == at[:-1]).tolist()
+        at = np.concatenate(([0], np.cumsum(self.unlike[codes])))[ends]
+        same = (at[1:] == at[:-1]).tolist() if self.library else [None] * len(texts)
+        ids, at = out.tolist(), every[ends].tolist()
+        return out, every[ends], self._given_back([ids[a:b] for a, b in zip(at, at[1:], strict=False)], texts), same
 
-        # A marker that stands in the text itself is read back as a space.
-        back = [ok and SPACE not in t for ok, t in zip(none(self.lost), texts, strict=True)]
-        return out, every[ends], back, none(self.unlike) if self.library else [None] * len(texts)
+    def _given_back(self, ids: list[list[int]], texts: list[str]) -> list[bool]:
+        return [b == t for b, t in zip(self.decode(ids), texts, strict=True)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.whole.decode_batch(ids, skip_special_tokens=False)

@@ -142,6 +142,18 @@ def test_sentencepiece(spark, sf):
     assert sentencepiece_codec.encoded(df.limit(0)).count() == 0
 
 
+def test_sentencepiece_decodes_every_text():
+    """An error of the decoder shows in the texts that it damages, though their words are known."""
+    from tokenizers import decoders
+
+    with open(sentencepiece_codec.DEFAULT_MODEL, "rb") as f:
+        codec = sentencepiece_codec.Codec(f.read())
+    texts = ["one two", "", " one  two", "two", "\u65e5\u672c\x01 one"]
+    assert codec.encode(texts)[2] == [True] * 5
+    codec.whole.decoder = decoders.Sequence([decoders.Replace("\u2581", " "), decoders.ByteFallback(), decoders.Fuse()])
+    assert codec.encode(texts)[2] == [False, True, False, False, False]
+
+
 def test_unigram_model():
     """A hand-made unigram model: pieces of a protobuf, encoded as by the library."""
     import sentencepiece
