@@ -114,29 +114,41 @@ def phrase(lists: list[np.ndarray], offsets: list[int]) -> np.ndarray:
     return found
 
 
-def close(lists: list[np.ndarray], slop: int) -> np.ndarray:
-    """Positions of the first (rarest) list that have each other list within slop words."""
-    found = lists[0]
-    for at in lists[1:]:
-        if not len(found):
-            break
-        k = np.searchsorted(at, found)
-        right = at[np.minimum(k, len(at) - 1)] - found
-        left = found - at[np.maximum(k - 1, 0)]
-        found = found[((right >= 0) & (right <= slop)) | ((left >= 0) & (left <= slop))]
-    return found
+def near_plan(words_: set[bytes], counts: dict[bytes, int], near_terms: int) -> tuple[list[bytes], int] | None:
+    """Terms of an item, rarest first, and how many of them must be close; None if too few of its words occur at all.
+
+    Of near_terms + 1 words that occur one may be missing, as it may be the altered one; of fewer, all are needed.
+    """
+    least = min(near_terms, len(words_))
+    terms = sorted((w for w in words_ if counts.get(w)), key=lambda w: (counts[w], w))[: near_terms + 1]
+    if not terms or len(terms) < least and len(terms) < max(2, least - 1):
+        return None
+    return terms, min(least, len(terms))
+
+
+def close(lists: list[np.ndarray], slop: int, need: int) -> np.ndarray:
+    """Positions of the rarest lists (they come first; one more than may be missing) that have `need` lists, their own included, within slop words."""
+    found = []
+    for k, own in enumerate(lists[: len(lists) - need + 1]):
+        n = np.ones(len(own), np.int64)
+        for at in filter(len, lists[:k] + lists[k + 1 :]):
+            to = np.searchsorted(at, own)
+            right = at[np.minimum(to, len(at) - 1)] - own
+            left = own - at[np.maximum(to - 1, 0)]
+            n += ((right >= 0) & (right <= slop)) | ((left >= 0) & (left <= slop))
+        found.append(own[n >= need])
+    return np.concatenate(found)
 
 
 def match(index: DataFrame, items: list[tuple[str, bytes]], counts: dict[bytes, int], window: int, near_terms: int, slop: int) -> DataFrame:
     """FOUND for each document of the index: hit spans of word positions, items of exact windows, items by proximity."""
     windows, terms = windows_of(items, window)
-    rare = lambda ws: sorted(ws, key=lambda w: (counts.get(w, 0), w))
     plans = []
     for w, of in windows.items():
         order = sorted(range(len(w)), key=lambda k: (counts.get(w[k], 0), w[k], k))
         if counts.get(w[order[0]], 0):
             plans.append(([w[k] for k in order], order, len(w), sorted(of)))
-    nears = [(item, rare(ws)[:near_terms]) for item, ws in terms.items() if len(ws) >= near_terms and all(counts.get(w) for w in ws)]
+    nears = [(item, *plan) for item, ws in terms.items() if (plan := near_plan(ws, counts, near_terms))]
     sent = index.sparkSession.sparkContext.broadcast((plans, nears))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,9 +165,10 @@ def match(index: DataFrame, items: list[tuple[str, bytes]], counts: dict[bytes,
                         d = int(np.searchsorted(start, s, "right")) - 1
                         spans[d].append((s - int(start[d]), s - int(start[d]) + size))
                         items_[d].update(of)
-                for item, ws in nears_:
-                    if all(w in at for w in ws):
-                        for d in set((np.searchsorted(start, close([at[w] for w in ws], slop), "right") - 1).tolist()):
+                for item, ws, need in nears_:
+                    if sum(w in at for w in ws) >= need:
+                        lists = [at.get(w, np.zeros(0, np.int64)) for w in ws]
+                        for d in set((np.searchsorted(start, close(lists, slop, need), "right") - 1).tolist()):
                             near[d].add(item)
                 merged = []
                 for own in spans:
@@ -184,8 +197,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, near_
     Words are runs of digits, letters a-z (A-Z lower-cased) and non-ASCII characters. A window is `window` consecutive
     words of an item of benchmark (item_id, text); an item with fewer words, but not none, is one window. n_hit: words
     of the document inside any occurrence of a window; items_sha256: of the sorted, comma-joined ids of items with
-    occurring windows. n_near: items whose `near_terms` rarest words lie within `slop` words of an occurrence of the
-    rarest. Null or empty texts have no words; items without id or words match nothing; an item_id given twice is one
+    occurring windows. n_near: items of which `near_terms` of the `near_terms` + 1 rarest words that occur in docs at all
+    lie within `slop` words of the rarest or the second; if no more words occur than are needed, all within `slop` of the
+    rarest. Of an item with fewer words all are needed, but for one that occurs nowhere where two others do. Null or empty texts have no words; items without id or words match nothing; an item_id given twice is one
     item with both texts. Rows that repeat a doc_id are given as often as they come; a null doc_id stays null. Other
     columns are ignored. No documents give no rows; no items leave every document clean.
     """

@@ -42,6 +42,11 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return rows.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many items each document holds by proximity, which the SQL of the exact matches has no column for."""
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_near")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(_table(spark, sf_dir, "documents"))
 
@@ -59,7 +64,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_embedding_near_dedup, op3_simhash_near_dedup, op4_chat_formatting, op5_lm_scoring, op6_benchmark_decontamination, op7_secret_scan, op8_toxicity, op9_line_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_embedding_near_dedup, op3_simhash_near_dedup, op4_chat_formatting, op5_lm_scoring, op6_benchmark_decontamination, op6_benchmark_proximity, op7_secret_scan, op8_toxicity, op9_line_dedup, op10_quality)}
 
 _CONTROL = r"(<)(\\*(?:s>|/s>|<SYS>>|</SYS>>|unk>|\|endoftext\|>|\|im_start\|>|\|im_end\|>))|(\[)(\\*/?INST\])"
 

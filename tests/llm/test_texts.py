@@ -46,6 +46,18 @@ def test_proximity(spark):
     assert {x.doc_id: (x.n_near, x.contaminated) for x in decontaminate.contamination(d, b).collect()} == {1: (1, False), 2: (0, False)}
 
 
+def test_proximity_of_altered_and_short_items(spark, tmp_path):
+    """A rare word that is altered, whether it stands elsewhere or nowhere, and items of few words."""
+    docs = [(1, "alpha beta gamma delta epsilon omega"), (2, "alpha beta gamma delta zeta epsilon"), (3, "item x short"), (4, "omicron"), (5, "eta theta iota"), (6, "alpha " * 3 + "x " * 40 + "beta")]
+    items = [("nowhere", "alpha beta gamma delta epsilon unseen"), ("elsewhere", "omicron alpha beta gamma delta"), ("short", "short item"), ("four", "eta theta iota lost"), ("gone", "alpha lost1 lost2 lost3 lost4")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id string, text string")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    b.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {x.doc_id: x.n_near for x in QUERIES["op6_benchmark_proximity"](spark, str(tmp_path)).collect()}
+    assert got == {1: 2, 2: 2, 3: 1, 4: 0, 5: 1, 6: 0}
+
+
 def plain_secrets(text):
     found = []
     for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
