@@ -1,7 +1,8 @@
 """Secret scans with a recursive decoding worklist.
 
 A document is the first layer. Layers are taken from a worklist until none is left: a layer is scanned, then every way
-of unwrapping it (URL escapes, Unicode escapes, base64 and hex blobs, gzip or zlib inside those) gives new layers, each
+of unwrapping it (URL escapes, Unicode escapes, base64 at each alignment and over line ends, hex, gzip or zlib inside
+those; bytes that are no UTF-8 are read one by one, and as UTF-16 if some are zero) gives new layers, each
 with a map of its characters to the span of the document they came from. A layer text that was seen over the same
 span is not taken again, which ends cycles.
 """
@@ -9,11 +10,11 @@ span is not taken again, which ends cycles.
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 from urllib.parse import unquote_to_bytes
 
 import numpy as np
@@ -33,6 +34,11 @@ URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#x[0-9A-Fa-f]{1,6};)+")
 ONE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#x([0-9A-Fa-f]{1,6});")
 BLOB = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A blob that goes on in the lines that follow.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+#: Where base64 of gzip or zlib can begin: at the start of a line, or behind what may be a separator.
+PACKED = re.compile(r"(?:^|(?<=[/_\-\n]))(?:H4sI|e[A-P])")
+HEX_BLOB = re.compile(r"[0-9A-Fa-f]{16,}")
 #: A compressed layer that unpacks to more bytes is a bomb and is left closed: a worker's memory bounds what can be held.
 MAX_UNPACKED = 128 << 20
 
@@ -50,15 +56,18 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def _legible(data: bytes) -> str | None:
-    """The text of decoded bytes, unpacked as often as they are compressed; None if they are no text or unpack to themselves."""
+def _packed(data: bytes) -> int:
+    """zlib's number for the format that data begins like, 0 if like none."""
+    if data[:2] == b"\x1f\x8b":
+        return 31
+    return 15 if len(data) > 5 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0 else 0
+
+
+def _unpacked(data: bytes) -> bytes | None:
+    """Decoded bytes, unpacked as often as they are compressed; None if they unpack to themselves."""
     seen = set()
     while True:
-        if data[:2] == b"\x1f\x8b":
-            kind = 31
-        elif len(data) > 5 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0:
-            kind = 15
-        else:
+        if not (kind := _packed(data)):
             break
         if (mark := hashlib.sha256(data).digest()) in seen:
             return None
@@ -70,29 +79,41 @@ def _legible(data: bytes) -> str | None:
             break
         if step.unconsumed_tail:
             return None
+    return data
+
+
+def _legible(data: bytes) -> Iterator[str]:
+    """What decoded bytes may be as text: UTF-8, else a character for each byte; with zero bytes, also UTF-16 of either order."""
+    data = _unpacked(data)
+    if not data:
+        return
     try:
-        text = data.decode("utf-8")
+        yield data.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    return text if text and not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else None
+        yield data.decode("latin-1")
+    if b"\0" in data:
+        for k in (0, 1):
+            yield data[k : len(data) - (len(data) - k) % 2].decode("utf-16-le", "replace")
+
+
+def _base64(digits: str) -> bytes:
+    """The bytes of base64 digits of either alphabet; a single digit at the end has none."""
+    digits = digits[: len(digits) - (len(digits) % 4 == 1)].replace("-", "+").replace("_", "/")
+    return base64.b64decode(digits + "=" * (-len(digits) % 4))
 
 
 def _blob(blob: str) -> Iterator[str]:
-    bare = blob.rstrip("=")
-    if len(bare) % 4 != 1:
-        for alt in {None, b"-_"} if re.search("[-_]", bare) else {None}:
-            if alt is None and re.search("[-_]", bare):
-                continue
-            try:
-                text = _legible(base64.b64decode(bare + "=" * (-len(bare) % 4), altchars=alt, validate=True))
-            except (binascii.Error, ValueError):
-                continue
-            if text is not None:
-                yield text
-    if len(bare) % 2 == 0 and re.fullmatch("[0-9A-Fa-f]+", bare):
-        text = _legible(bytes.fromhex(bare))
-        if text is not None:
-            yield text
+    """Texts of a blob, which may be wrapped: base64 at each alignment and from each packed layer on, and hex."""
+    lines = re.sub(r"[ \t\r=]", "", blob)
+    bare = lines.replace("\n", "")
+    for k in range(4):
+        yield from _legible(_base64(bare[k:]))
+    for m in PACKED.finditer(lines):
+        if m.start() and _packed(_base64(lines[m.start() : m.start() + 12].replace("\n", ""))):
+            yield from _legible(_base64(lines[m.start() :].replace("\n", "")))
+    for m in HEX_BLOB.finditer(bare):
+        for k in (0, 1):
+            yield from _legible(bytes.fromhex(m[0][k : len(m[0]) - (len(m[0]) - k) % 2]))
 
 
 def _point(m: re.Match) -> str:
@@ -138,7 +159,7 @@ def unwrapped(layer: Layer) -> Iterator[Layer]:
         yield new
     if ("\\" in text or "&#" in text) and (new := _substituted(layer, UNICODE, lambda run: _joined(ONE.sub(_point, run)))):
         yield new
-    for m in BLOB.finditer(text):
+    for m in chain(BLOB.finditer(text), WRAPPED.finditer(text)):
         a, b = m.span()
         for new in _blob(m[0]):
             lo, hi = (a, b) if starts is None else (int(starts[a:b].min()), int(ends[a:b].max()))

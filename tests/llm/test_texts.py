@@ -109,6 +109,20 @@ def test_layers():
     secret_scan.scan(loop)
 
 
+def test_layers_that_are_no_clean_text_or_not_aligned():
+    inner = b"password = abcdefgh12345678"
+    b64 = lambda x: base64.b64encode(x).decode()
+    noise = bytes(random.Random(3).randrange(256) for _ in range(300))
+    packed = gzip.compress(noise + b"\n" + inner + b"\n")
+    wrapped = "\n".join(b64(packed)[k : k + 76] for k in range(0, len(b64(packed)), 76))
+    for text in (
+        b64(gzip.compress(b"name" + b"\0" * 100 + inner + b"\0" * 40)), b64(b"\x1b[31m" + inner + b"\x1b[0m"), b64(b"\xff\xfe " + inner), b64(inner.decode().encode("utf-16-le")), b64(inner.decode().encode("utf-16-be")),
+        *["https://h.example/" + "c" * k + "/" + b64(inner) for k in range(2, 6)], "a-b/cd_e/" + b64(packed), wrapped, wrapped.replace("\n", "\r\n  "), "some-long-name-/x\n" + wrapped, "id-" + inner.hex(),
+    ):
+        base, every = secret_scan.scan(f"see {text} .")
+        assert [x for x in every - set(base) if x[2] == "assign"], text
+
+
 def test_template_round_trip():
     t, r = chat_format.Template(), random.Random(7)
     parts = [*t.controls, *[c[:1] for c in t.controls], *[c[1:] for c in t.controls], "\\", "\\\\", " ", "\n", "é😀"]
