@@ -63,37 +63,56 @@ def _packed(data: bytes) -> int:
     return 15 if len(data) > 5 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0 else 0
 
 
-def _unpacked(data: bytes) -> bytes | None:
-    """Decoded bytes, unpacked as often as they are compressed; None if they unpack to themselves."""
-    seen = set()
-    while True:
-        if not (kind := _packed(data)):
+def _members(data: bytes, kind: int) -> tuple[bytes | None, bytes]:
+    """The members of a compressed layer in a row, and what stands behind them; None if they unpack to over MAX_UNPACKED bytes."""
+    out, size, rest = [], 0, data
+    while kind:
+        step = zlib.decompressobj(kind)
+        try:
+            new = step.decompress(rest, MAX_UNPACKED - size + 1)
+        except zlib.error:
+            if not out:
+                raise
             break
+        out.append(new)
+        size += len(new)
+        if size > MAX_UNPACKED:
+            return None, b""
+        rest = step.unused_data.lstrip(b"\0")
+        kind = _packed(rest)
+    return b"".join(out), rest
+
+
+def _unpacked(data: bytes) -> Iterator[bytes]:
+    """Decoded bytes, unpacked as often as they are compressed unless they unpack to themselves, and what stands behind compressed layers."""
+    seen = set()
+    while kind := _packed(data):
         if (mark := hashlib.sha256(data).digest()) in seen:
-            return None
+            return
         seen.add(mark)
         try:
-            step = zlib.decompressobj(kind)
-            data = step.decompress(data, MAX_UNPACKED)
+            data, rest = _members(data, kind)
         except zlib.error:  # text can begin like a compressed layer
             break
-        if step.unconsumed_tail:
-            return None
-    return data
+        if rest:
+            yield rest
+        if data is None:
+            return
+    yield data
 
 
 def _legible(data: bytes) -> Iterator[str]:
     """What decoded bytes may be as text: UTF-8, else a character for each byte; with zero bytes, also UTF-16 of either order."""
-    data = _unpacked(data)
-    if not data:
-        return
-    try:
-        yield data.decode("utf-8")
-    except UnicodeDecodeError:
-        yield data.decode("latin-1")
-    if b"\0" in data:
-        for k in (0, 1):
-            yield data[k : len(data) - (len(data) - k) % 2].decode("utf-16-le", "replace")
+    for layer in _unpacked(data):
+        if not layer:
+            continue
+        try:
+            yield layer.decode("utf-8")
+        except UnicodeDecodeError:
+            yield layer.decode("latin-1")
+        if b"\0" in layer:
+            for k in (0, 1):
+                yield layer[k : len(layer) - (len(layer) - k) % 2].decode("utf-16-le", "replace")
 
 
 def _base64(digits: str) -> bytes:

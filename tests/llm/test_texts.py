@@ -123,6 +123,13 @@ def test_layers_that_are_no_clean_text_or_not_aligned():
         assert [x for x in every - set(base) if x[2] == "assign"], text
 
 
+def test_all_members_of_a_compressed_layer():
+    inner = b"password = abcdefgh12345678"
+    for data in (gzip.compress(b"first") + gzip.compress(b"") + gzip.compress(inner), gzip.compress(b"first") + b"\0" * 9 + gzip.compress(inner), zlib.compress(b"first") + gzip.compress(inner), gzip.compress(gzip.compress(b"first") + gzip.compress(inner)), gzip.compress(b"first") + b" " + inner):
+        text = base64.b64encode(data).decode()
+        assert secret_scan.scan(text)[1] >= {(0, len(text), "assign")}
+
+
 def test_template_round_trip():
     t, r = chat_format.Template(), random.Random(7)
     parts = [*t.controls, *[c[:1] for c in t.controls], *[c[1:] for c in t.controls], "\\", "\\\\", " ", "\n", "é😀"]
