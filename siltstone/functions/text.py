@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache, reduce
 
 from pyspark.sql import Column
@@ -16,13 +17,42 @@ CONTACT = r"(?i)(?:https?://|www\.|[\w.\-]+@[\w.\-]+\.\w+|\+\d[\d\s().-]{5,}|\b(
 SIGNATURE_TOKENS = ("vtr", "vtrbeyond", "pingbei", "stresemann", "zhuhai", "guangdong", "berlin", "technical", "sheet")
 
 
+#: What \\s, \\d and \\w stand for, inside a class: white space, decimal digits, and letters and numbers of all scripts.
+CLASSES = {
+    "s": r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}",
+    "d": r"\p{Nd}", "w": r"\p{L}\p{N}_",
+}
+_EDGE = f"(?:(?<=[{CLASSES['w']}])(?![{CLASSES['w']}])|(?<![{CLASSES['w']}])(?=[{CLASSES['w']}]))"
+
+
+@cache
+def unicode(pattern: str) -> str:
+    """The pattern with \\s, \\d, \\w and \\b written out for all of Unicode; the JVM takes them for ASCII."""
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        c = pattern[at : at + 2] if pattern[at] == "\\" else pattern[at]
+        name = c[1:]
+        if name in CLASSES:
+            out.append(CLASSES[name] if inside else f"[{CLASSES[name]}]")
+        else:
+            out.append(_EDGE if name == "b" and not inside else c)
+        inside = (inside or c == "[") and c != "]"
+        at += len(c)
+    return "".join(out)
+
+
 def rewritten(text: Column, rules: list[tuple[str, str]]) -> Column:
-    """The (pattern, replacement) rules applied in order; each is its own pass over the text."""
-    return reduce(lambda c, rule: F.regexp_replace(c, rule[0], rule[1]), rules, text)
+    """The (pattern, replacement) rules applied in order, over all of Unicode; each is its own pass over the text."""
+    return reduce(lambda c, rule: F.regexp_replace(c, unicode(rule[0]), rule[1]), rules, text)
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def squeezed(text: Column) -> Column:
-    return F.btrim(F.regexp_replace(text, r"\s+", " "), F.lit(" "))
+    return F.btrim(F.regexp_replace(text, unicode(r"\s+"), " "), F.lit(" "))
 
 
 def cleanup(text: Column) -> Column:
@@ -37,26 +67,45 @@ def for_embedding(text: Column) -> Column:
 
 
 @cache
-def _folds() -> tuple[str, str]:
-    """Characters below U+3000 whose compatibility decomposition, marks taken off, is one other character."""
-    pairs = [(chr(c), "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x))) for c in range(0x80, 0x3000)]
-    one = [(a, b) for a, b in pairs if len(b) == 1 and a != b and b not in "\\'"]
-    return "".join(a for a, _ in one), "".join(b for _, b in one)
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """Compatibility decompositions without marks, of all of Unicode but Hangul syllables.
 
+    Characters that become one other and, behind them, those that vanish; what the first become; and those that become several.
+    """
+    own = {chr(c): "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x)) for c in range(0x80, 0x110000) if not (0xD800 <= c < 0xE000 or 0xAC00 <= c <= 0xD7A3)}
+    one = [(a, b) for a, b in own.items() if len(b) == 1 and a != b]
+    return "".join(a for a, _ in one) + "".join(a for a, b in own.items() if not b), "".join(b for _, b in one), {a: b for a, b in own.items() if len(b) > 1}
 
-#: Characters that stand for several: ligatures, fractions and the like; texts without any skip their pass.
-WIDE = "ĳŉǆǉǌǳ¼½¾…™ﬀﬁﬂﬃﬄﬅﬆ"
+
+def _spread(text: Column) -> Column:
+    """Characters that stand for several written out; only those that a text has are looked for in it."""
+    long = _folds()[2]
+    table = F.str_to_map(F.lit("\x01".join(f"{a}\x02{b}" for a, b in long.items())), F.lit("\x01"), F.lit("\x02"))
+    own = F.filter(F.array_distinct(F.split(text, "")), lambda c: F.map_contains_key(table, c))
+    return F.aggregate(own, text, lambda t, c: F.replace(t, c, F.element_at(table, c)))
+
+
+def _ranges(characters) -> list[str]:
+    """The characters as ranges of a class of a regular expression."""
+    out: list[list[int]] = []
+    for c in sorted(map(ord, characters)):
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return [f"\\x{{{a:x}}}" + (f"-\\x{{{b:x}}}" if b > a else "") for a, b in out]
 
 
 def folded(text: Column) -> Column:
-    """Without accents and marks, lower-case."""
-    long = {c: "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)) for c in WIDE}
-    spread = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(long[c])), WIDE, text)
-    return F.lower(F.regexp_replace(F.translate(F.when(text.rlike(f"[{WIDE}]"), spread).otherwise(text), *_folds()), r"\p{M}", ""))
+    """Compatibility decomposition without combining marks, lower-case. Hangul syllables stay whole; ASCII texts skip all passes but the last."""
+    gone, new, long = _folds()
+    whole = F.when(text.rlike("[" + "".join(_ranges(long)) + "]"), _spread(text)).otherwise(text)
+    return F.lower(F.when(text.rlike(r"[^\x00-\x7f]"), F.translate(whole, gone, new)).otherwise(text))
 
 
 def normal_token(text: Column) -> Column:
-    return squeezed(F.regexp_replace(folded(text), r"[^a-z0-9%/\-\s]", " "))
+    """The folded text with everything but a-z, 0-9, % / and - as single spaces."""
+    return F.btrim(F.regexp_replace(folded(text), r"[^a-z0-9%/\-]+", " "), F.lit(" "))
 
 
 def token_set(text: Column, least: int = 2) -> Column:
@@ -89,7 +138,7 @@ def section_title(text: Column) -> Column:
 
 
 def units(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(UNIT_TOKENS), 0)))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(unicode(UNIT_TOKENS)), 0)))
 
 
 def content_id(*parts: Column) -> Column:
@@ -98,29 +147,36 @@ def content_id(*parts: Column) -> Column:
 
 def boilerplate_line(line: Column, mode: str = "hybrid") -> Column:
     """Lines of addresses and contacts: by known signature words, by contacts alone, or by either."""
-    norm = F.concat(F.lit(" "), normal_token(line), F.lit(" "))
-    signature = reduce(lambda a, b: a + b, [F.contains(norm, F.lit(f" {t} ")).cast("int") for t in SIGNATURE_TOKENS])
-    contacts = F.regexp_count(line, F.lit(CONTACT))
-    commas = F.regexp_count(line, F.lit(","))
-    signed, generic = (signature >= 3) & (contacts >= 1), (contacts >= 2) | ((contacts >= 1) & (commas >= 4) & (F.size(token_set(line, 1)) >= 8))
-    found = {"signature": signed, "generic": generic, "hybrid": signed | generic}[mode]
-    return F.when(contacts == 0, F.lit(False)).otherwise((norm != "  ") & found)  # most lines end at the first test
+    contacts = F.regexp_count(line, F.lit(unicode(CONTACT)))
+
+    def found(norm: Column) -> Column:
+        padded = F.concat(F.lit(" "), norm, F.lit(" "))
+        signature = reduce(lambda a, b: a + b, [F.contains(padded, F.lit(f" {t} ")).cast("int") for t in SIGNATURE_TOKENS])
+        commas, words_ = F.regexp_count(line, F.lit(",")), F.size(F.array_distinct(F.filter(F.split(norm, " "), lambda x: x != "")))
+        signed, generic = (signature >= 3) & (contacts >= 1), (contacts >= 2) | ((contacts >= 1) & (commas >= 4) & (words_ >= 8))
+        return (norm != "") & {"signature": signed, "generic": generic, "hybrid": signed | generic}[mode]
+
+    return F.when(contacts == 0, F.lit(False)).otherwise(bound(normal_token(line), found))  # most lines end at the first test
 
 
 def without_signature(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?is)vtr\s*&?\s*beyond.*?(technical\s+data\s+sheet)", "$1")
+    return rewritten(text, [(r"(?is)vtr\s*&?\s*beyond.*?(technical\s+data\s+sheet)", "$1")])
 
 
 def without_boilerplate(text: Column, mode: str = "hybrid", least: int = 10) -> Column:
     """struct(text, removed, removed_chars): head and tail lines of boilerplate trimmed, taken back if too little is left."""
     working = without_signature(text) if mode != "generic" else text
-    lines = F.filter(F.transform(F.split(working, r"[\n\r\f]", -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
-    flags = F.transform(lines, lambda x, i: F.when(~boilerplate_line(x, mode), i))
-    first, last = F.array_min(flags), F.array_max(flags)
-    kept = F.array_join(F.slice(lines, F.coalesce(first, F.lit(0)) + 1, F.coalesce(last - first + 1, F.lit(0))), "\n")
-    fewer = F.length(text) - F.length(kept)
-    ok = (kept != "") & (token_count(kept) >= max(1, least)) & (fewer > 0)
-    return F.when(ok, F.struct(kept.alias("text"), F.lit(True).alias("removed"), fewer.cast("long").alias("removed_chars"))).otherwise(F.struct(text.alias("text"), F.lit(False).alias("removed"), F.lit(0).cast("long").alias("removed_chars")))
+    lines = F.filter(F.transform(F.split(working, r"[\n\r\f]", -1), lambda x: rewritten(x, [(r"^\s+|\s+$", "")])), lambda x: x != "")
+    plain = lambda ls: F.transform(ls, lambda x, i: F.when(~boilerplate_line(x, mode), i))
+    cut = lambda ls, k: F.slice(ls, F.coalesce(F.array_min(k), F.lit(0)) + 1, F.coalesce(F.array_max(k) - F.array_min(k) + 1, F.lit(0)))
+    kept = bound(lines, lambda ls: F.array_join(bound(plain(ls), lambda k: cut(ls, k)), "\n"))
+
+    def chosen(new: Column) -> Column:
+        fewer = F.length(text) - F.length(new)
+        ok = (new != "") & (token_count(new) >= max(1, least)) & (fewer > 0)
+        return F.when(ok, F.struct(new.alias("text"), F.lit(True).alias("removed"), fewer.cast("long").alias("removed_chars"))).otherwise(F.struct(text.alias("text"), F.lit(False).alias("removed"), F.lit(0).cast("long").alias("removed_chars")))
+
+    return bound(kept, chosen)
 
 
 def without_pipes(text: Column) -> Column:
@@ -129,7 +185,7 @@ def without_pipes(text: Column) -> Column:
 
 
 def clean_answer(text: Column) -> Column:
-    return squeezed(F.regexp_replace(without_pipes(squeezed(text)), r"\s*\.\.\.$", ""))
+    return squeezed(rewritten(without_pipes(squeezed(text)), [(r"\s*\.\.\.$", "")]))
 
 
 def sentences(text: Column) -> Column:
@@ -144,11 +200,11 @@ def pretty_table(text: Column) -> Column:
 
 def machine_phrases(text: Column) -> Column:
     pattern = r"(?i)Section:\s*([^;]+?)\s*;\s*Pour\s*([^,]+?)\s*,\s*dosage recommande:\s*([^.]+?)\s*\.\s*Observation:\s*([^.]+?)\s*(?:\.|(?=$))"
-    return F.regexp_replace(text, pattern, "Dans la section « $1 », la recommandation pour « $2 » indique un dosage de $3. Cette recommandation est accompagnee de la remarque suivante : $4.")
+    return F.regexp_replace(text, unicode(pattern), "Dans la section « $1 », la recommandation pour « $2 » indique un dosage de $3. Cette recommandation est accompagnee de la remarque suivante : $4.")
 
 
 def list_item(line: Column) -> Column:
-    return line.rlike(r"^[\-\*•\d]+[\.)]?\s+")
+    return line.rlike(unicode(r"^[\-\*•\d]+[\.)]?\s+"))
 
 
 def window_starts(n: Column, size: int, overlap: int) -> Column:
@@ -158,4 +214,4 @@ def window_starts(n: Column, size: int, overlap: int) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda x: x != "")
+    return F.filter(F.split(text, unicode(r"\s+")), lambda x: x != "")

@@ -40,8 +40,8 @@ def first_wins(rows: DataFrame, keys: list[str | Column], order: list[str | Colu
     null = F.lit(False)
     for k in cols:
         null = null | k.isNull()
-    first = rows.where(~null).withColumn("__n", F.row_number().over(Window.partitionBy(*cols).orderBy(*order))).where("__n = 1").drop("__n")
-    return first.unionByName(rows.where(null))
+    keyed = rows.where(~null).withColumn("__n", F.row_number().over(Window.partitionBy(*cols).orderBy(*order))).where("__n = 1").drop("__n")
+    return keyed.unionByName(rows.where(null))
 
 
 def repeated_lines(pages: DataFrame, least: int = 2) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from siltstone.functions import text as T
+
 
 def rewrites(expression: str, rules: list[tuple[str, str]], flags: str = "g") -> str:
     """Nested global regexp_replace calls in the order of the rules."""
@@ -10,8 +12,12 @@ def rewrites(expression: str, rules: list[tuple[str, str]], flags: str = "g") ->
     return expression
 
 
+#: White space of all of Unicode, inside a class.
+SPACE = T.CLASSES["s"]
+
+
 def squeeze(x: str) -> str:
-    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace({x}, '[{SPACE}]+', ' ', 'g'))"
 
 
 def norm(x: str) -> str:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from siltstone.functions import answer as A
@@ -80,7 +83,7 @@ def detect_section(t, spark):
     return t("documents").select("doc_id", T.section_title(F.col("text")).alias("section"))
 
 
-@query(S.over_spec(f"k, {S.joined('list_distinct(regexp_extract_all(lower(text), ' + chr(39) + T.UNIT_TOKENS.replace('°c|', '') + chr(39) + '))')} AS units"))
+@query(S.over_spec(f"k, {S.joined('list_distinct(regexp_extract_all(lower(text), ' + chr(39) + T.UNIT_TOKENS + chr(39) + '))')} AS units"))
 def extract_units(t, spark):
     return spec(t, spark).select("k", F.array_join(T.units(F.col("text")), ",").alias("units"))
 
@@ -107,7 +110,37 @@ def short_window_gate(t, spark):
 
 @query(f"SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source, {S.norm('text')} ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
 def exact_dedup_first_wins(t, spark):
-    return C.first_wins(t("documents").withColumn("norm", T.normal_token(F.col("text"))), ["source", "norm"], ["doc_id"]).select("doc_id", "source")
+    norm = T.normal_token(F.col("text"))
+    keyed = C.settled_columns(t("documents").select("doc_id", "source", "text"), norm=F.sha2(norm, 256)).drop("text")
+    return C.first_wins(keyed, ["source", "norm"], ["doc_id"]).select("doc_id", "source")
+
+
+#: Texts in which more than ASCII matters.
+_ODD = (
+    "dosage\u00a0:\u00a05\u00a0ppm", "25\u2103", "5 \u338e/\u338f", "\uff28\uff23\uff26\uff16\uff10\uff10", "\u2167 \u2153 \u2116", "Am\u00e9liorant \u0130stanbul STRA\u00dfE", "\ufb01n \u2026 \u00bd \u2122", "a\u2028b\u3000c\u1680d\x1ce\x85f\x0bg",
+    "\U0001d400\U0001d7ce \u2460\u2474 \u32c0", "\ud55c\uae00 ok", "e\u0301e \u0903 x\u0345", "", "plain  ASCII - 100 %", "\u212b\u2126 K\u212a", "\u0660\u0661,\u0662 1,5", "\ufdfa",
+)
+
+
+def _expected(text: str) -> tuple:
+    """The rule itself, by Python's unicodedata and its \\s, \\d and split()."""
+    bare = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
+    norm = re.sub(r"\s+", " ", re.sub(r"[^a-z0-9%/\-\s]", " ", bare)).strip()
+    embed = re.sub(r"\s+", " ", re.sub(r"(\d),(\d)", r"\1.\2", text.replace("：", ":"))).strip()
+    return norm, len(text.split()), re.sub(r"\s+", " ", text).strip(), embed
+
+
+def _values(rows) -> str:
+    cell = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + ")"
+
+
+@query(_values((k, *_expected(x)) for k, x in enumerate(_ODD)) + " AS v(id, norm, n_words, squeezed, embed)")
+def unicode_forms(t, spark):
+    """Folding, words and white space of texts with no-break spaces, units, ligatures and full-width letters."""
+    rows = spark.createDataFrame(list(enumerate(_ODD)), "id int, text string")
+    x = F.col("text")
+    return rows.select("id", T.normal_token(x).alias("norm"), F.size(T.words(x)).alias("n_words"), T.squeezed(x).alias("squeezed"), T.for_embedding(x).alias("embed"))
 
 
 _LINES = f"SELECT DISTINCT source AS doc, doc_id AS page, lower({_embed_sql('l')}) AS line FROM documents, unnest(regexp_split_to_array(text, '[\\n\\r]+')) AS u(l)"
@@ -130,13 +163,14 @@ def group_concat_blocks(t, spark):
     return C.grouped_blocks(t("conversations"), ["conv_id"], "turn", T.language(F.col("text"))).withColumn("text_md5", F.md5("text")).drop("text")
 
 
-@query("SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN left(text, 20) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'Table Data') AS carried FROM conversations")
+@query("SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'Table Data') AS carried FROM conversations")
 def section_carry_forward(t, spark):
-    return C.carried_forward(t("conversations"), F.when(F.col("role") == "user", F.substring("text", 1, 20)), ["conv_id"], "turn", "Table Data").select("conv_id", "turn", "carried")
+    return C.carried_forward(t("conversations"), F.when(F.col("role") == "user", F.col("text")), ["conv_id"], "turn", "Table Data").select("conv_id", "turn", "carried")
 
 
-_CONTACT_SQL = T.CONTACT.replace(r"\w", "[0-9A-Za-z_]").replace("[[0-9A-Za-z_]", "[0-9A-Za-z_").replace("'", "''")
-_HITS = f"len(regexp_extract_all(line, '{_CONTACT_SQL}'))"
+#: Letters and numbers of other scripts count as \\w and \\d; stand-ins of ASCII, which no pattern names, let this engine see them so.
+_PLAIN = r"regexp_replace(regexp_replace(line, '[^\P{Nd}0-9]', '0', 'g'), '[^\P{L}A-Za-z]|[^\P{N}0-9]', 'x', 'g')"
+_HITS = f"len(regexp_extract_all({_PLAIN}, '{T.CONTACT}'))"
 _SIGNED = "(" + " + ".join(f"contains(' ' || {S.norm('line')} || ' ', ' {w} ')::INT" for w in T.SIGNATURE_TOKENS) + ")"
 _BOILER = f"({S.norm('line')} <> '' AND (({_SIGNED} >= 3 AND {_HITS} >= 1) OR {_HITS} >= 2 OR ({_HITS} >= 1 AND length(line) - length(replace(line, ',', '')) >= 4 AND len({S.tokens('line', 1)}) >= 8)))"
 _DOC_LINES = "SELECT doc_id, trim(l) AS line FROM documents, unnest(string_split(text, chr(10))) AS u(l) WHERE trim(l) <> ''"
@@ -159,7 +193,7 @@ SELECT doc_id, md5(CASE WHEN ok THEN kept ELSE text END) AS text_md5, ok AS remo
 
 @query(_STRIP)
 def boilerplate_strip(t, spark):
-    return t("documents").select("doc_id", T.without_boilerplate(F.col("text")).alias("b")).select("doc_id", F.md5("b.text").alias("text_md5"), "b.removed", "b.removed_chars")
+    return C.settled_columns(t("documents").select("doc_id", "text"), b=T.without_boilerplate(F.col("text"))).select("doc_id", F.md5("b.text").alias("text_md5"), "b.removed", "b.removed_chars")
 
 
 _PIPES = [(r"(?:\s*\|\s*){2,}", " | "), (r"\|\s*\|\s*\|+", "|"), (r"\s*\|\s*", "; "), (r"(?:;\s*){2,}", "; "), (r"^\s*;\s*|\s*;\s*$", "")]
