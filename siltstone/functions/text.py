@@ -108,9 +108,14 @@ def normal_token(text: Column) -> Column:
     return F.btrim(F.regexp_replace(folded(text), r"[^a-z0-9%/\-]+", " "), F.lit(" "))
 
 
+def tokens_of(norm: Column, least: int = 2) -> Column:
+    """Distinct tokens of a normal form with at least so many characters."""
+    return F.array_distinct(F.filter(F.split(norm, " "), lambda x: F.length(x) >= least))
+
+
 def token_set(text: Column, least: int = 2) -> Column:
     """Distinct tokens of the normal form with at least so many characters (2 for search, 1 for answers)."""
-    return F.array_distinct(F.filter(F.split(normal_token(text), " "), lambda x: F.length(x) >= least))
+    return tokens_of(normal_token(text), least)
 
 
 def token_count(text: Column) -> Column:

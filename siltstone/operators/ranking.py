@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import extract as E
 from siltstone.functions import text as T
+from siltstone.operators import chunking as C
 
 # Fixed values.
 ASKS = {
@@ -114,13 +115,20 @@ def doc_specific_score(code_penalty: float = CODE_PENALTY, section_penalty: floa
 
 
 def passages(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, doc_id, file_name, text) with what scoring reads, worked out once."""
+    """(chunk_id, doc_id, file_name, text, any others) with what scoring reads, worked out once."""
     name = F.concat_ws(" ", "doc_id", "file_name")
-    p = chunks.withColumn("text_norm", T.normal_token(F.col("text"))).withColumn("own_tokens", T.token_set(F.col("text"))).withColumn("name_norm", T.normal_token(name))
-    p = p.withColumn("all_norm", T.normal_token(F.concat_ws(" ", name, F.col("text")))).withColumn("head_tokens", T.token_set(F.concat_ws(" ", name, F.substring("text", 1, 320))))
-    p = p.withColumns({"product_family": E.family(F.col("all_norm")), "section_canonical": E.section(F.col("all_norm")), "product": E.product_class(F.col("text")), "meta_codes": E.doc_codes(F.col("all_norm")), "head_norm": T.normal_token(F.substring("text", 1, 180)), **E.dosages(F.col("all_norm"))})
-    p = p.withColumn("doc_codes", F.when(F.size("meta_codes") > 0, F.col("meta_codes")).otherwise(E.query_codes(F.col("name_norm"), F.col("head_tokens"))))
-    return p.withColumn("doc_families", F.array_union(E.family_set(F.col("head_tokens")), F.array("product_family"))).withColumn("doc_ascorbic", F.contains("name_norm", F.lit("acide ascorbique")))
+    p = C.settled_columns(
+        chunks, text_norm=T.normal_token(F.col("text")), name_norm=T.normal_token(name), all_norm=T.normal_token(F.concat_ws(" ", name, F.col("text"))),
+        head=T.normal_token(F.concat_ws(" ", name, F.substring("text", 1, 320))), head_norm=T.normal_token(F.substring("text", 1, 180)),
+    )
+    p = C.settled_columns(
+        p, own_tokens=T.tokens_of(F.col("text_norm")), head_tokens=T.tokens_of(F.col("head")), product_family=E.family(F.col("all_norm")), section_canonical=E.section(F.col("all_norm")),
+        product=F.coalesce(E.first_of(F.col("text_norm"), E.PRODUCTS), F.lit("other")), meta_codes=E.doc_codes(F.col("all_norm")), **E.dosages(F.col("all_norm")),
+    )
+    return C.settled_columns(
+        p, doc_codes=F.when(F.size("meta_codes") > 0, F.col("meta_codes")).otherwise(E.query_codes(F.col("name_norm"), F.col("head_tokens"))),
+        doc_families=F.array_union(E.family_set(F.col("head_tokens")), F.array("product_family")), doc_ascorbic=F.contains("name_norm", F.lit("acide ascorbique")),
+    )
 
 
 def post_passes(scored: DataFrame, score: str, by_doc: bool = True, penalty: float | None = None, doc: str = "doc_id", page: str | None = None, tie: str = "chunk_id") -> DataFrame:

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from siltstone.functions import answer as A
 from siltstone.functions import extract as E
 from siltstone.functions import text as T
+from siltstone.operators import chunking as C
 from siltstone.operators import dense as D
 from siltstone.operators import ranking as R
+from siltstone.operators import retrieve as V
 
 from . import sql as S
 from .registry import query
@@ -33,7 +35,7 @@ def _vectors(t):
     return e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
-_COS = "coalesce(list_inner_product(q.v, e.v) / nullif(sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(e.v, e.v)), 0), 0)"
+_COS = "round(coalesce(list_inner_product(q.v, e.v) / nullif(sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(e.v, e.v)), 0), 0), 12)"
 _DENSE = f"""e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
 hits AS (SELECT q.vec_id AS query_id, q.label AS query_label, e.vec_id AS id, e.label, {_COS} AS s FROM e AS q, e WHERE q.vec_id % 100 = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM hits)"""
@@ -124,10 +126,7 @@ def adaptive_fetch_k(t, spark):
 def _pairs(t, spark):
     """Every passage with every question: the questions are a stated set of twelve rows."""
     s = spec(t, spark).select(F.col("k").alias("chunk_id"), "doc_id", "file_name", "text")
-    vec = lambda c: D.keyword_vector(T.token_set(F.col(c), 1), F.col(c), KEYWORDS, 7)
-    asked = R.profile(questions(spark)).withColumn("query_vec", vec("question")).withColumn("query_len", F.sqrt(D.dot(F.col("query_vec"), F.col("query_vec"))))
-    own = R.passages(s).withColumn("vec", vec("text")).withColumn("len", F.sqrt(D.dot(F.col("vec"), F.col("vec"))))
-    return own.crossJoin(F.broadcast(asked))
+    return R.passages(s).crossJoin(F.broadcast(R.profile(questions(spark))))
 
 
 _LEX = "least(1.0::DOUBLE, 0.75::DOUBLE * (m / greatest(nq, 1)) + 0.25::DOUBLE * (m / greatest(nt, 1)) * 4)"
@@ -185,14 +184,23 @@ def doc_specific_score(t, spark):
     return _pairs(t, spark).select("query_id", "chunk_id", F.round(R.doc_specific_score(), 6).alias("score"))
 
 
+def _with_vector(rows, text: str):
+    """rows with the keyword vector of a text."""
+    own = C.settled_columns(rows, __tokens=T.token_set(F.col(text), 1))
+    return own.withColumn("vector", D.keyword_vector(F.col("__tokens"), F.col(text), KEYWORDS, 7)).drop("__tokens")
+
+
 def hybrid(t, spark):
-    n = F.col("len") * F.col("query_len")
-    p = _pairs(t, spark).withColumn("dense", F.when(n == 0, 0.0).otherwise(D.dot(F.col("vec"), F.col("query_vec")) / n)).withColumn("route", R.route())
-    w = {n: (d, x, f) for n, d, x, f, _ in R.ROUTES}
-    pick = lambda k: F.when(F.col("route") == "compliance_storage_safety", w["compliance_storage_safety"][k]).otherwise(w["broad"][k])
-    p = p.withColumn("lex", R.lexical_score(F.col("tokens"), F.col("own_tokens"))).withColumn("field", R.field_intent_score(F.col("text_norm"), F.col("product")))
-    p = p.select("*", *R.weights(pick(0), pick(1), pick(2)))
-    return p.withColumn("final", F.col("dense_w") * F.col("dense") + F.col("lexical_w") * F.col("lex") + F.col("field_w") * F.col("field") + R.doc_specific_score() + R.structured_score())
+    """Final scores of each question's candidates: its fetch_k nearest sheets, the only ones whose texts are scored."""
+    sheets = spec(t, spark).select(F.col("k").cast("long").alias("chunk_id"), "doc_id", "file_name", "text")
+    asked = _with_vector(V.asked(questions(spark), 10, V.Search()), "question")
+    own = _with_vector(sheets, "text").select(F.col("chunk_id").alias("id"), "vector")
+    top = D.dense_topk(own, asked.select("query_id", "vector"), V.most_candidates(10, V.Search()))
+    hits = top.join(F.broadcast(asked.drop("vector")), "query_id").where("dense_rank <= fetch_k")  # the questions are a stated set of twelve rows
+    rows = R.passages(sheets.join(F.broadcast(hits), F.col("chunk_id") == F.col("id")))  # no more rows than 100 a question
+    lex, field = R.lexical_score(F.col("tokens"), F.col("own_tokens")), R.field_intent_score(F.col("text_norm"), F.col("product"))
+    scored = C.settled_columns(rows, lex=lex, field=field, extra=R.doc_specific_score() + R.structured_score())
+    return scored.withColumn("final", F.col("dense_w") * F.col("dense_score") + F.col("lexical_w") * F.col("lex") + F.col("field_w") * F.col("field") + F.col("extra"))
 
 
 def _vec(x: str) -> str:
@@ -202,7 +210,8 @@ def _vec(x: str) -> str:
 
 _W_SQL = "(CASE WHEN broad_mode THEN CASE WHEN route = 'compliance_storage_safety' THEN [0.58, 0.32, 0.10] ELSE [0.65, 0.25, 0.10] END ELSE [0.70, 0.22, 0.08] END)::DOUBLE[]"
 _HYBRID = f"""{_SCORED}, qv AS (SELECT query_id, {_vec('question')} AS qv FROM p), sv AS (SELECT k, {_vec('text')} AS v FROM spec),
-y AS (SELECT x.*, list_inner_product(qv, v) / nullif(sqrt(list_inner_product(qv, qv)) * sqrt(list_inner_product(v, v)), 0) AS cos, {_W_SQL} AS w, len(list_intersect(tok, own)) AS m, len(tok) AS nqt, len(own) AS nt FROM x JOIN qv USING (query_id) JOIN sv USING (k)),
+near AS (SELECT query_id, k, cos, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, k) AS dr FROM (SELECT query_id, k, round(coalesce(list_inner_product(qv, v) / nullif(sqrt(list_inner_product(qv, qv)) * sqrt(list_inner_product(v, v)), 0), 0), 12) AS cos FROM qv, sv)),
+y AS (SELECT x.*, cos, {_W_SQL} AS w, len(list_intersect(tok, own)) AS m, len(tok) AS nqt, len(own) AS nt FROM x JOIN near USING (query_id, k) WHERE dr <= CASE WHEN route IN ('code_specific', 'activity') THEN 100 ELSE 50 END),
 f AS (SELECT *, round(w[1] / list_sum(w) * coalesce(cos, 0) + w[2] / list_sum(w) * (CASE WHEN m = 0 THEN 0.0::DOUBLE ELSE {_LEX.replace('nq,', 'nqt,')} END) + w[3] / list_sum(w) * {_FIELD} + specific + structured, 9) AS final FROM y),
 d AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY final DESC, k) AS nd FROM f)
 SELECT query_id, k AS chunk_id, round(final, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, k) AS rank FROM d WHERE nd = 1) WHERE rank <= 10"""
