@@ -46,6 +46,22 @@ def metadata(**known: Column) -> Column:
     return F.struct(*[known.get(k, F.lit(None)).cast(t).alias(k) for k, t in METADATA.items()])
 
 
+def fold(order: Column, keys: tuple[str, ...] = tuple(METADATA), prefix: str = "metadata.") -> dict[str, Column]:
+    """Aggregates that fold the metadata of rows into one, in order; what is missing changes nothing.
+
+    A single value: the last one. A list: the first one, as long as all are equal; else all their entries, sorted, each once.
+    """
+
+    def of(key: str) -> Column:
+        c = F.col(f"{prefix}{key}")
+        if not METADATA[key].startswith("array"):
+            return F.max_by(c, F.when(c.isNotNull(), order))
+        every = F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.collect_set(c)))))
+        return F.when(F.size(F.collect_set(c)) == 1, F.min_by(c, F.when(c.isNotNull(), order))).when(F.count(c) > 0, every)
+
+    return {k: of(k) for k in keys}
+
+
 def extracted(doc_id: Column, norm: Column) -> dict[str, Column]:
     """Metadata of a chunk's normal form (of document id, file name and text)."""
     codes = E.doc_codes(norm)
@@ -141,7 +157,7 @@ def chunk_blocks(blocks: DataFrame, config: Preparation = Preparation()) -> Data
     page = F.col("page").cast("string")
     facts = blocks.where("chunk_type = 'table_kv'").withColumn("chunk_id", T.content_id(F.col("doc_id"), page, F.col("chunk_type"), F.col("text"))).withColumn("chunk_ord", F.col("ord"))
     ordered = lambda c: F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.col(c).alias("t")))), lambda x: x["t"]), lambda t: t != ""), "\n")
-    last = [F.max_by(f"metadata.{k}", F.when(F.col(f"metadata.{k}").isNotNull(), F.col("ord"))).alias(f"m_{k}") for k in MERGED]
+    last = [c.alias(f"m_{k}") for k, c in fold(F.col("ord"), MERGED).items()]
     grouped = blocks.where("chunk_type <> 'table_kv'").groupBy("doc_id", "page", "section", "chunk_type").agg(
         ordered("text").alias("whole"), ordered("text_raw").alias("whole_raw"), F.min_by("file_name", "ord").alias("file_name"), F.min("ord").alias("chunk_ord"),
         F.when(F.min("lang") == F.max("lang"), F.min("lang")).otherwise("mixed").alias("lang"), *last,
@@ -193,9 +209,14 @@ def catalog(chunks: DataFrame) -> DataFrame:
 
 
 def report(blocks: DataFrame, chunks: DataFrame, unique: DataFrame) -> DataFrame:
-    """One row: documents, pages, chunks, chunks after dedup, failed files with their errors (blocks.error, where it is there)."""
+    """One row: documents, pages, pages read by OCR, chunks, chunks after dedup, failed files with their errors.
+
+    The last two come from blocks.ocr and blocks.error, where they are there.
+    """
     failed = F.col("error") if "error" in blocks.columns else F.lit(None).cast("string")
-    pages = blocks.select("doc_id", "page", failed.alias("error")).distinct().agg(
+    seen = F.coalesce(F.col("ocr"), F.lit(False)) if "ocr" in blocks.columns else F.lit(False)
+    pages = blocks.select("doc_id", "page", failed.alias("error"), seen.alias("ocr")).groupBy("doc_id", "page", "error").agg(F.max("ocr").alias("ocr")).agg(
+        F.count_if(F.col("ocr") & F.col("page").isNotNull()).alias("pages_with_ocr"),
         F.count_distinct(F.when(F.col("error").isNull(), F.col("doc_id"))).alias("documents_processed"), F.count_if(F.col("error").isNull() & F.col("page").isNotNull()).alias("pages_processed"),
         F.array_sort(F.collect_set(F.when(F.col("error").isNotNull(), F.concat_ws(": ", "doc_id", "error")))).alias("extraction_errors"),
     )
