@@ -4,8 +4,11 @@ Two lines within one edit share a variant: a string left by deleting one charact
 variant is a hashed key; lines with equal variants are joined, their edit distance is verified on the texts, and only
 the earliest stays. Before variants are made, an exact test leaves out lines that can't have a partner: one edit lies in
 the first or in the second half, so partners share the other half, character for character, as lines of the same
-smaller length. A variant's group holds only lines that differ from it in one place, and gives a row for each line, never
-a pair for each two.
+smaller length; and of a line that shares a half, only the variants of edits outside it are made. A variant's group holds
+only lines that differ from it in one place, and gives a row for each line, never a pair for each two.
+
+The bound holds for lines of every length: an edit for every PER_EDIT characters of the longer line, which is a
+similarity of 0.8.
 """
 
 from __future__ import annotations
@@ -20,8 +23,10 @@ from pyspark.sql import functions as F
 from .common import lean, prepared, settled
 
 BLANK = " \t\r\f\x0b"
-#: Lines of fewer characters are compared exactly only: one edit of a short line is another line.
-MIN_CHARS = 20
+#: Characters of the longer line for each edit: one of five changed is a similarity of 0.8.
+PER_EDIT = 5
+#: Variants in a batch.
+BATCH = 1 << 16
 
 _P1, _P2 = (1 << 31) - 1, (1 << 31) - 19
 _BASE, _B1, _B2 = 0x9E3779B97F4A7C15 | 1, 1_000_003, 69_069_069
@@ -67,7 +72,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _half_keys(line: Column, n: Column) -> Column:
-    """Hashes of (smaller length, side, half) of a line as the smaller or as the larger one of a pair."""
+    """Hashes of (smaller length, side, half) of a line: as the smaller or an equal one of a pair first, then as the larger one."""
     keys = []
     for c in (n, n - 1):
         half = F.floor(c / 2).cast("int")
@@ -75,7 +80,53 @@ def _half_keys(line: Column, n: Column) -> Column:
     return F.array(*keys)
 
 
-def kept_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS) -> DataFrame:
+def places(n: int, roles: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Of a line of n characters that shares halves with others (a bit for each of _half_keys): the places where an equally long
+    partner may differ, those of a character that a shorter partner lacks, and whether a longer one may come."""
+
+    def outside(smaller: int, bits: int) -> np.ndarray:
+        half, can = smaller // 2, np.zeros(n, bool)
+        can[half:] |= bool(bits & 1)
+        can[: n - half] |= bool(bits & 2)
+        return np.flatnonzero(can)
+
+    return outside(n, roles), outside(n - 1, roles >> 2), bool(roles & 3)
+
+
+def _variant_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The variants of each line, in batches of bounded size, of short lines together and of a long line in turn.
+
+    Those with a place are of one length and lack the character there, as lines that differ only there do; of the
+    others, place -1, one is the line itself (own).
+    """
+    variants, names = Variants(), ["k1", "k2", "place", "size", "own", "h", "at"]
+    for batch in batches:
+        held: list[tuple[np.ndarray, ...]] = []
+        count = 0
+
+        def give() -> pa.RecordBatch:
+            row, *cols = (np.concatenate(c) for c in zip(*held, strict=True))
+            return pa.RecordBatch.from_arrays([*map(pa.array, cols), *[batch.column(c).take(pa.array(row)) for c in ("h", "at")]], names)
+
+        for row, (line, roles) in enumerate(zip(batch.column("line").to_pylist(), batch.column("roles").to_pylist(), strict=True)):
+            a, b = variants(line)
+            same, less, more = places(len(line), roles)
+            key = np.concatenate((same + 1, less + 1, np.zeros(int(more), np.int64)))
+            place = np.concatenate((same, np.full(len(less) + more, -1))).astype(np.int32)
+            size = np.concatenate((np.full(len(same), len(line)), np.full(len(less), len(line) - 1), np.full(int(more), len(line)))).astype(np.int32)
+            own = np.arange(len(key)) >= len(same) + len(less)
+            for k in range(0, len(key), BATCH):
+                part = slice(k, k + BATCH)
+                held.append((np.full(len(key[part]), row), a[key[part]], b[key[part]], place[part], size[part], own[part]))
+                count += len(key[part])
+                if count >= BATCH:
+                    yield give()
+                    held, count = [], 0
+        if held:
+            yield give()
+
+
+def kept_lines(docs: DataFrame, max_edits: int = 1, per_edit: int = PER_EDIT) -> DataFrame:
     """(d, k, kept): for each document with a kept line, its id, the hash of its text and the kept line numbers.
 
     Blank lines are not among them. See line_dedup for what is kept.
@@ -91,52 +142,40 @@ def kept_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS)
     first = settled(firsts.groupBy("h").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("halves").alias("halves")), "lines")
     if not max_edits:
         return first.groupBy("at.d", "at.k").agg(F.collect_list("at.i").alias("kept"))
-    half = first.where(F.col("n") >= min_chars - 1).select("h", "at", F.explode("halves").alias("half"))
+    half = first.where(F.col("n") >= per_edit - 1).select("h", "at", F.posexplode("halves").alias("role", "half"))
     shared = half.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
-    maybe = half.join(shared, "half", "left_semi").select("h", "at").distinct()
-    wanted = maybe.groupBy("at.d", "at.k").agg(F.collect_list(F.struct("at.i", "h")).alias("some"))
+    maybe = half.join(shared, "half", "left_semi").groupBy("h", "at").agg(F.bit_or(F.expr("shiftleft(1, role)")).alias("roles"))
+    wanted = maybe.groupBy("at.d", "at.k").agg(F.collect_list(F.struct("at.i", "h", "roles")).alias("some"))
     arr = F.split("t", "\n", -1)
     found = (
         keyed.select("d", "k", "t").join(wanted.withColumnsRenamed({"d": "wd", "k": "wk"}), F.col("k").eqNullSafe(F.col("wk")) & F.col("d").eqNullSafe(F.col("wd")))
         .select("d", "k", arr.alias("arr"), F.explode("some").alias("s"))
-        .select(F.col("s.h").alias("h"), F.struct("d", "k", "s.i").alias("at"), F.btrim(F.get("arr", F.col("s.i")), F.lit(BLANK)).alias("line"))
+        .select(F.col("s.h").alias("h"), F.col("s.roles").alias("roles"), F.struct("d", "k", "s.i").alias("at"), F.btrim(F.get("arr", F.col("s.i")), F.lit(BLANK)).alias("line"))
     )
     texts = settled(found, "candidates").dropDuplicates(["h"])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        variants = Variants()
-        for batch in batches:
-            for row, line in enumerate(batch.column("line").to_pylist()):
-                a, b = variants(line)
-                m = len(line)
-                # The same character deleted in the same place of lines of one length: they differ there alone.
-                k1, k2, place, own = np.concatenate((a[1:], a)), np.concatenate((b[1:], b)), np.concatenate((np.arange(m), np.full(m + 1, -1))), np.zeros(2 * m + 1, bool)
-                size = np.concatenate((np.full(m, m), [m], np.full(m, m - 1)))
-                own[m] = True
-                rows = pa.array(np.full(len(k1), row))
-                yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(place.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(own), batch.column("h").take(rows), batch.column("at").take(rows)], ["k1", "k2", "place", "size", "own", "h", "at"])
-
     schema = "k1 long, k2 long, place int, size int, own boolean, h binary, at struct<d:bigint,k:bigint,i:int>"
-    variants = texts.mapInArrow(lean(run), schema)
+    variants = texts.mapInArrow(lean(_variant_rows), schema)
     w = Window.partitionBy("k1", "k2", "place", "size")
     line = F.struct("at", "h")
     partner = F.when(F.col("place") >= 0, F.min(line).over(w)).when(F.col("own"), F.min(F.when(~F.col("own"), line)).over(w)).otherwise(F.min(F.when(F.col("own"), line)).over(w))
     pairs = variants.withColumn("p", partner).where("p.at < at").select("h", F.col("p.h").alias("ph")).distinct()
-    verified = pairs.join(texts.select("h", F.col("line").alias("a")), "h").join(texts.select(F.col("h").alias("ph"), F.col("line").alias("b")), "ph").where((F.char_length("a") >= min_chars) & (F.char_length("b") >= min_chars) & F.levenshtein("a", "b", max_edits).between(0, max_edits))
+    near = (F.greatest(F.char_length("a"), F.char_length("b")) >= per_edit) & F.levenshtein("a", "b", max_edits).between(0, max_edits)
+    verified = pairs.join(texts.select("h", F.col("line").alias("a")), "h").join(texts.select(F.col("h").alias("ph"), F.col("line").alias("b")), "ph").where(near)
     stay = first.select("h", "at").join(verified.select("h").distinct(), "h", "left_anti")
     return stay.groupBy("at.d", "at.k").agg(F.collect_list("at.i").alias("kept"))
 
 
-def line_dedup(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_dedup(docs: DataFrame, max_edits: int = 1, per_edit: int = PER_EDIT) -> DataFrame:
     """Every row of docs (doc_id, text, any others) as a struct `row`, with text, n_lines, n_kept and n_kept_blank.
 
     Lines end at line feeds and are compared without white space at their ends. Blank lines are kept. A line stays if no
-    earlier one, by doc_id (null first), hash of the text, and line number, equals it or, where both have min_chars
-    characters, is within max_edits edits of code points; this holds whether the earlier one stays itself or not. text
+    earlier one, by doc_id (null first), hash of the text, and line number, equals it or, where the longer of the two has
+    per_edit characters, is within max_edits edits of code points; this holds whether the earlier one stays itself or not. text
     is the kept lines joined by line feeds. Null texts count as empty: one blank line. Rows that repeat a doc_id with the same text
     are one document and have the same text; no rows give none.
     """
-    kept = kept_lines(docs, max_edits, min_chars).withColumnsRenamed({"d": "kd", "k": "kk"})
+    kept = kept_lines(docs, max_edits, per_edit).withColumnsRenamed({"d": "kd", "k": "kk"})
     arr = F.col("arr")
     blanks = F.filter(F.transform(arr, lambda x, i: F.when(F.btrim(x, F.lit(BLANK)) == "", i)), lambda i: i.isNotNull())
     stay = F.array_sort(F.concat(F.coalesce("kept", F.array().cast("array<int>")), F.col("blanks")))
