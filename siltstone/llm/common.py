@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A-Z to a-z on UTF-8 bytes; no byte of a longer character is touched.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -59,6 +60,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def joined_on_hot(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, share: int = 1000) -> DataFrame:
+    """rows joined with groups (one row for each value of the keys, `size` rows of `rows` each) on the keys.
+
+    Groups that hold over one of `share` of all rows are broadcast, as there can't be `share` of them; the rows of all
+    others are shuffled. So no task gets the rows of a hot key. groups should be settled.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = groups.where(F.col(size) > total // share)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.where(F.col(size) <= total // share), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)
+
+
 def pieces(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows in batches of about `most` bytes of the column (at least a row): small batches joined, large ones cut."""
     held, size = [], 0

@@ -28,14 +28,13 @@ def roots(n: int, a: np.ndarray, b: np.ndarray, known: np.ndarray | None = None)
 
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """(a, b) of longs to (node, root), the smallest node reachable, for nodes that have a link.
+    """(a, b) of any one orderable type to (node, root), the smallest node reachable, for nodes that have a link.
 
     Null ends and links of a node with itself are left out; repeated links count once; no link gives no row.
     """
-    spark = links.sparkSession
     stars = cut(
         links.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v"))
+        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
     before = None
@@ -50,4 +49,4 @@ def connected_components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         stars = cut(small)
-    return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).union(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()) if now["n"] else spark.createDataFrame([], "node long, root long")
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).union(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
