@@ -145,12 +145,12 @@ def classified(docs: DataFrame, labels: DataFrame, carry: list[str], max_labelle
     host, path = site(F.col("source"), F.col("lang"))
     given = docs.select(*dict.fromkeys([*carry, "text"]), host.alias("__host"), path.alias("__path"))
     p = 1 / (1 + F.exp(-F.col("__own")))
-    means, corpus = posteriors(evidence(given, model, ["__host", "__path"]).select(F.col("__host").alias("host"), F.col("__path").alias("path"), p.alias("p")))
+    every = settled(evidence(given, model, [*carry, "__host", "__path"]), "evidence")  # texts are read by the classifier once
+    means, corpus = posteriors(every.select(F.col("__host").alias("host"), F.col("__path").alias("path"), p.alias("p")))
     logit = lambda c: F.log(c / (1 - c))
     shift = means.select(F.col("host").alias("__host"), F.col("path").alias("__path"), (logit(F.least(F.greatest("mean", F.lit(1e-6)), F.lit(1 - 1e-6))) - F.lit(float(np.log(corpus / (1 - corpus))))).alias("__shift"))
-    every = evidence(given, model, [*carry, "__host", "__path"]).join(shift, ["__host", "__path"])
     final = 1 / (1 + F.exp(-(F.col("__own") + F.col("__shift"))))
-    return every.select(*carry, "__host", "__path", "__own", final.alias("__p"), (final >= threshold).alias("__keep"))
+    return every.join(shift, ["__host", "__path"]).select(*carry, "__host", "__path", "__own", final.alias("__p"), (final >= threshold).alias("__keep"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, threshold: float = 0.5) -> DataFrame:
