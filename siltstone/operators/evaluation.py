@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from siltstone.functions import answer as A
 from siltstone.functions import text as T
 
+# Fixed values.
+FORMAL = r"(?i)^(?:what|which|for|in|among|between|within)\b"
+CONVERSATIONAL = r"(?i)\b(?:i|my|we|our|can you|could you|should i|do they|if i|i am|i'm)\b"
+TOP1_SHARE, TOP3_SHARE = 0.70, 0.30
+
 
 def reciprocal(queries: DataFrame, results: DataFrame, relevant: Column, ks: tuple[int, ...] = (3, 10)) -> DataFrame:
     """queries with, for each k, hit (0/1) and the reciprocal of the first relevant rank of (query_id, rank), 0 if none."""
@@ -76,3 +81,37 @@ def with_previous(runs: DataFrame, keys: list[str], order: list[str], values: li
 
 def opening(question: Column) -> Column:
     return F.get(F.filter(F.split(T.normal_token(question), " "), lambda x: x != ""), F.lit(0))
+
+
+def style_shares(questions: DataFrame, column: str) -> DataFrame:
+    """One row: total, shares of formal and of conversational questions, and how often the most frequent opening word opens one."""
+    q = F.btrim(F.coalesce(column, F.lit("")))
+    word = F.regexp_replace(F.lower(F.regexp_extract(q, r"^\S+", 0)), "[^a-z0-9]+", "")
+    rows = questions.select(word.alias("word"), q.rlike(T.unicode(FORMAL)).alias("formal"), q.rlike(T.unicode(CONVERSATIONAL)).alias("said"))
+    each = rows.groupBy("word").agg(F.count("*").alias("n"), F.count_if("formal").alias("formal"), F.count_if("said").alias("said"))
+    total = F.sum("n")
+    share = lambda c: F.round(F.coalesce(F.sum(c) / total, F.lit(0.0)), 6)
+    return each.agg(F.coalesce(total, F.lit(0)).alias("total"), share("formal").alias("formal_share"), share("said").alias("conversational_share"), F.max(F.when(F.col("word") != "", F.col("n"))).alias("most_frequent_opening"))
+
+
+def answer_summary(scored: DataFrame) -> DataFrame:
+    """One row of (item, rank, score, exact_match, numeric_f1): means of the first and of the best of three answers, the rates of
+    first answers that match exactly and in their numbers, and the two means' weighted sum. No items give zeros."""
+    first, three = F.col("rank") == 1, F.col("rank") <= 3
+    each = scored.groupBy("item").agg(
+        F.max(F.when(first, F.col("score"))).alias("top1"), F.max(F.when(three, F.col("score"))).alias("top3"),
+        F.max((first & (F.col("exact_match") >= 1)).cast("double")).alias("exact"), F.max((first & (F.col("numeric_f1") >= 1)).cast("double")).alias("numeric"),
+    )
+    mean = lambda c: F.coalesce(F.avg(F.coalesce(c, F.lit(0.0))), F.lit(0.0))
+    return each.agg(
+        F.count("*").alias("total"), mean("top1").alias("top1_mean"), mean("top3").alias("top3_mean"), mean("exact").alias("exact_match_rate"), mean("numeric").alias("numeric_match_rate"),
+        (TOP1_SHARE * mean("top1") + TOP3_SHARE * mean("top3")).alias("answer_score"),
+    )
+
+
+def shown(rows: DataFrame, least: int = 3) -> DataFrame:
+    """(query_id, rank, text, score) with `least` rows for each question, empty ones behind, and `shown`: the score from 0 to 1 with three digits; what is no number counts as 0."""
+    bare = rows.select("query_id").distinct().select("query_id", F.explode(F.sequence(F.lit(1), F.lit(least))).alias("rank"))
+    number = lambda c: F.when(F.isnan(c) | c.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
+    every = bare.join(rows.select("query_id", "rank", "text", "score"), ["query_id", "rank"], "full_outer").withColumn("text", F.coalesce("text", F.lit("")))
+    return every.withColumn("shown", F.format_string("%.3f", number(F.col("score"))))

@@ -93,7 +93,7 @@ def structured_score() -> Column:
     )
 
 
-def doc_specific_score(code_penalty: float = CODE_PENALTY, section_penalty: float = SECTION_PENALTY, constraints: bool = True) -> Column:
+def doc_specific_score(code_penalty: float | Column = CODE_PENALTY, section_penalty: float | Column = SECTION_PENALTY, constraints: bool = True) -> Column:
     """Codes, families, ascorbic acid and sections of a question against a passage's columns.
 
     Without constraints other codes cost nothing and sections do not count.
@@ -131,7 +131,7 @@ def passages(chunks: DataFrame) -> DataFrame:
     )
 
 
-def post_passes(scored: DataFrame, score: str, by_doc: bool = True, penalty: float | None = None, doc: str = "doc_id", page: str | None = None, tie: str = "chunk_id") -> DataFrame:
+def post_passes(scored: DataFrame, score: str, by_doc: bool = True, penalty: float | Column | None = None, doc: str = "doc_id", page: str | None = None, tie: str = "chunk_id") -> DataFrame:
     """Ranks of (query_id, chunk_id, doc): first of each chunk, repeats of a page penalised, best of each document, by score, then `tie`."""
     order = [F.desc(score), tie]
     out = scored.withColumn("__n", F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy(*order))).where("__n = 1")
@@ -163,3 +163,35 @@ def context(anchors: DataFrame, rows: DataFrame, group: str, position: str, widt
     near = a.groupBy("__g", "__p").agg(F.min("anchor_rank").alias("anchor_rank"))
     near = near.join(anchors.select(F.col(group).alias("__g"), F.col(position).alias("__p")).distinct(), ["__g", "__p"], "left_anti")
     return rows.join(near, (F.col(group) == F.col("__g")) & (F.col(position) == F.col("__p"))).drop("__g", "__p")
+
+
+def sweep(hits: DataFrame, questions: DataFrame, grid: DataFrame, relevant: Column, k: int = 3) -> DataFrame:
+    """(config, pool, multiplier, route, queries, hit, mrr): each configuration of a stated grid, on the same candidates.
+
+    hits: candidates (query_id, dense_rank, dense_score, a question's profile, a passage's columns), as many as any
+    configuration fetches, scored again for each; questions: (query_id, route); grid: (config, dense, lexical, field,
+    pool, multiplier, diversity, code_penalty, section_penalty). Lexical and field scores are worked out once.
+    """
+    base = C.settled_columns(hits, lex=lexical_score(F.col("tokens"), F.col("own_tokens")), intent=field_intent_score(F.col("text_norm"), F.col("product")), fixed=structured_score())
+    g = grid.withColumnsRenamed({c: f"g_{c}" for c in grid.columns if c != "config"})
+    every = base.crossJoin(F.broadcast(g))  # a stated grid
+    fetched = F.greatest(F.lit(k), k * F.greatest(F.lit(1), F.col("g_multiplier")), F.col("g_pool"), F.when(~F.col("broad_mode"), 24).when(F.col("asks_storage") | F.col("asks_safety") | F.col("asks_activity"), 50).otherwise(40))
+    d, x, f = (w.alias(n) for w, n in zip(weights(F.col("g_dense"), F.col("g_lexical"), F.col("g_field")), ("w_d", "w_x", "w_f"), strict=True))
+    kept = every.where(F.col("dense_rank") <= fetched).select("*", d, x, f)
+    extra = doc_specific_score(F.col("g_code_penalty"), F.col("g_section_penalty")) + F.col("fixed")
+    final = F.round(F.col("w_d") * F.col("dense_score") + F.col("w_x") * F.col("lex") + F.col("w_f") * F.col("intent") + extra, 9)
+    rows = C.settled_columns(kept, final=final).select(F.struct("config", "query_id").alias("asked"), "chunk_id", "doc_id", "final", "g_diversity", relevant.alias("good"))
+    ranks = post_passes(rows.withColumnRenamed("asked", "query_id"), "final", penalty=F.col("g_diversity")).where((F.col("rank") <= k) & F.col("good"))
+    first = ranks.groupBy(F.col("query_id.config").alias("config"), F.col("query_id.query_id").alias("query_id")).agg(F.min("rank").alias("first"))
+    asked = questions.select("query_id", "route").crossJoin(F.broadcast(grid.select("config", "pool", "multiplier")))
+    return asked.join(first, ["config", "query_id"], "left").groupBy("config", "pool", "multiplier", "route").agg(
+        F.count("*").alias("queries"), F.avg(F.col("first").isNotNull().cast("double")).alias("hit"), F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr")
+    )
+
+
+def best_configs(swept: DataFrame, most: int = 10) -> DataFrame:
+    """The `most` best configurations of each route and of all routes together (route "all"): by hits, reciprocal ranks, pool and multiplier, then number."""
+    mean = lambda c: (F.sum(F.col(c) * F.col("queries")) / F.sum("queries")).alias(c)
+    every = swept.groupBy("config", "pool", "multiplier").agg(F.sum("queries").alias("queries"), mean("hit"), mean("mrr")).withColumn("route", F.lit("all"))
+    w = Window.partitionBy("route").orderBy(F.desc(F.round("hit", 5)), F.desc(F.round("mrr", 5)), F.desc("pool"), F.desc("multiplier"), "config")
+    return swept.unionByName(every).withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)

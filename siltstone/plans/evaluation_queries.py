@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import dense as D
 from siltstone.operators import evaluation as V
+from siltstone.operators import ranking as R
 
 from . import sql as S
 from .registry import query
-from .retrieval_queries import _DENSE, _vectors, questions
+from .retrieval_queries import _DENSE, _HYBRID, _PROFILE, _W_SQL, _vectors, questions, swept
 
 _EVAL = f"WITH {_DENSE}, top AS (SELECT * FROM ranked WHERE r <= 11 AND id <> query_id), rel AS (SELECT query_id, min(r - 1) AS f FROM top WHERE label = query_label GROUP BY query_id), m AS (SELECT e.vec_id AS query_id, e.label, coalesce(f <= 3, false)::INT::DOUBLE AS h3, coalesce(f <= 10, false)::INT::DOUBLE AS h10, CASE WHEN f <= 3 THEN 1.0::DOUBLE / f ELSE 0.0::DOUBLE END AS rr3 FROM e LEFT JOIN rel ON rel.query_id = e.vec_id WHERE e.vec_id % 100 = 0)"
 
@@ -130,3 +131,77 @@ def question_valid(t, spark):
 def dimension_lookup(t, spark):
     j = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return j.groupBy(F.col("r_name").alias("category")).agg(F.count("*").alias("n"))
+
+
+_ASKED = "SELECT * FROM (VALUES (1, ' What is it?'), (2, 'can you tell my dose'), (3, 'Whatever, inside'), (4, 'for bread: which?'), (5, 'limits of lead'), (6, 'I''m asking'), (7, 'wii skiing'), (8, '  ')) AS v(id, query)"
+
+
+@query(f"""SELECT count(*)::BIGINT AS total, round(avg(regexp_matches(trim(query), '{V.FORMAL}')::INT), 6) AS formal_share, round(avg(regexp_matches(trim(query), '{V.CONVERSATIONAL.replace(chr(39), chr(39) * 2)}')::INT), 6) AS conversational_share,
+ (SELECT max(n) FROM (SELECT count(*)::BIGINT AS n FROM ({_ASKED}) WHERE regexp_replace(lower(regexp_extract(trim(query), '^\\S+')), '[^a-z0-9]+', '', 'g') <> '' GROUP BY regexp_replace(lower(regexp_extract(trim(query), '^\\S+')), '[^a-z0-9]+', '', 'g'))) AS most_frequent_opening FROM ({_ASKED})""")
+def query_style_shares(t, spark):
+    return V.style_shares(spark.sql(_ASKED), "query")
+
+
+_SCORED = "SELECT * FROM (VALUES (1, 1, 0.9, 1.0, 1.0), (1, 2, 0.95, 0.0, 0.5), (1, 3, 0.2, 0.0, 0.0), (1, 4, 1.0, 1.0, 1.0), (2, 1, 0.4, 0.0, 1.0), (2, 2, 0.3, 0.0, 0.0), (3, 1, 0.5, 0.0, 0.999)) AS v(item, rank, score, exact_match, numeric_f1)"
+
+
+@query(f"""WITH s AS ({_SCORED}), i AS (SELECT item, max(CASE WHEN rank = 1 THEN score END) AS top1, max(CASE WHEN rank <= 3 THEN score END) AS top3, bool_or(rank = 1 AND exact_match >= 1) AS e, bool_or(rank = 1 AND numeric_f1 >= 1) AS n FROM s GROUP BY item)
+SELECT count(*)::BIGINT AS total, round(avg(top1)::DOUBLE, 6) AS top1_mean, round(avg(top3)::DOUBLE, 6) AS top3_mean, round(avg(e::INT), 6) AS exact_match_rate, round(avg(n::INT), 6) AS numeric_match_rate, round((0.70 * avg(top1) + 0.30 * avg(top3))::DOUBLE, 6) AS answer_score FROM i""")
+def answer_summary(t, spark):
+    rows = spark.sql(_SCORED).select("item", "rank", *[F.col(c).cast("double").alias(c) for c in ("score", "exact_match", "numeric_f1")])
+    return V.answer_summary(rows).select("total", *[F.round(c, 6).alias(c) for c in ("top1_mean", "top3_mean", "exact_match_rate", "numeric_match_rate", "answer_score")])
+
+
+_SHOWN = "SELECT * FROM (VALUES (1, 1, 'a', 1.25), (1, 2, 'b', -0.5), (2, 1, 'c', 0.123456), (3, 1, 'd', NULL), (2, 2, 'e', 'NaN'::DOUBLE)) AS v(query_id, rank, text, score)"
+
+
+@query("SELECT * FROM (VALUES (1, 1, 'a', '1.000'), (1, 2, 'b', '0.000'), (1, 3, '', '0.000'), (2, 1, 'c', '0.123'), (2, 2, 'e', '0.000'), (2, 3, '', '0.000'), (3, 1, 'd', '0.000'), (3, 2, '', '0.000'), (3, 3, '', '0.000')) AS v(query_id, rank, text, shown)")
+def shown_rows(t, spark):
+    """Three rows for each question, whatever was found, with scores from 0 to 1."""
+    rows = spark.createDataFrame([(1, 1, "a", 1.25), (1, 2, "b", -0.5), (2, 1, "c", 0.123456), (3, 1, "d", None), (2, 2, "e", float("nan"))], "query_id int, rank int, text string, score double")
+    return V.shown(rows).select("query_id", "rank", "text", "shown")
+
+
+_SCORES = _HYBRID[: _HYBRID.index(",\nd AS (SELECT *, row_number()")]
+#: (config, dense, lexical, field, pool, multiplier, diversity, code_penalty, section_penalty)
+_CONFIGS = ((1, 0.58, 0.32, 0.10, 30, 1, 0.0, 0.10, 0.08), (2, 0.65, 0.25, 0.10, 60, 2, 0.0, 0.05, 0.04), (3, 0.52, 0.33, 0.15, 40, 4, 0.1, 0.15, 0.12), (4, 0.65, 0.25, 0.10, 100, 3, 0.1, 0.05, 0.12))
+
+
+def _config_sql(config, dense, lexical, field, pool, multiplier, diversity, code, section) -> str:
+    """Ranks of one configuration: its weights, floors of candidates and penalties written into the scores."""
+    scored = _SCORES.replace("THEN -0.05 ELSE -0.035 END", f"THEN {-code} ELSE {-code * 0.7} END").replace("THEN -0.02 ELSE", f"THEN {-section * 0.5} ELSE").replace("THEN -0.016 ELSE", f"THEN {-section * 0.4} ELSE")
+    coded = (min(0.74, dense + 0.05), max(0.20, lexical - 0.03), max(0.08, field - 0.02))
+    w = f"(CASE WHEN broad_mode THEN [{dense}, {lexical}, {field}] ELSE [{coded[0]}, {coded[1]}, {coded[2]}] END)::DOUBLE[]"
+    least = max(3, 3 * multiplier, pool)
+    fetch = f"greatest({least}, CASE WHEN NOT broad_mode THEN 24 WHEN asks_storage OR asks_safety OR asks_activity THEN 50 ELSE 40 END)"
+    body = scored.replace(_W_SQL, w).replace("CASE WHEN route IN ('code_specific', 'activity') THEN 100 ELSE 50 END", fetch)
+    page = f"greatest(0, 1 - {diversity} * (row_number() OVER (PARTITION BY query_id, doc_id ORDER BY final DESC, k) - 1))"
+    return f"""SELECT {config} AS config, query_id, route, min(CASE WHEN k % 7 = query_id % 7 THEN rank END) AS first FROM (
+ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, k) AS rank FROM (SELECT query_id, k, route, final, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY before DESC, k) AS nd FROM (SELECT query_id, k, route, doc_id, final * {page} AS final, final AS before FROM ({body} SELECT * FROM f))) WHERE nd = 1)
+ WHERE rank <= 3 GROUP BY query_id, route UNION ALL BY NAME SELECT {config} AS config, query_id, route, NULL AS first FROM (WITH {_PROFILE} SELECT query_id, route FROM p)"""
+
+
+_SWEPT = "SELECT config, route, count(*)::BIGINT AS queries, round(avg((first IS NOT NULL)::INT), 6) AS hit, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr FROM (SELECT config, query_id, route, min(first) AS first FROM (" + " UNION ALL BY NAME ".join(f"({_config_sql(*c)})" for c in _CONFIGS) + ") GROUP BY ALL) GROUP BY config, route"
+
+
+def _weight_sweep(t, spark):
+    grid = spark.createDataFrame(list(_CONFIGS), "config int, dense double, lexical double, field double, pool int, multiplier int, diversity double, code_penalty double, section_penalty double")
+    asked, hits = swept(t, spark)
+    return R.sweep(hits, asked, grid, F.col("chunk_id") % 7 == F.col("query_id") % 7, 3)
+
+
+@query(_SWEPT)
+def sweep_weights(t, spark):
+    """Hits and reciprocal ranks of each route under weights, pools, multipliers, diversity and penalties of a grid."""
+    return _weight_sweep(t, spark).select("config", "route", "queries", F.round("hit", 6).alias("hit"), F.round("mrr", 6).alias("mrr"))
+
+
+_POOLS = "(VALUES " + ", ".join(f"({c[0]}, {c[4]}, {c[5]})" for c in _CONFIGS) + ") AS g(config, pool, multiplier)"
+
+
+@query(f"""WITH s AS ({_SWEPT}), a AS (SELECT config, 'all' AS route, sum(queries) AS queries, sum(hit * queries) / sum(queries) AS hit, sum(mrr * queries) / sum(queries) AS mrr FROM s GROUP BY config),
+e AS (SELECT * FROM s UNION ALL BY NAME SELECT * FROM a), r AS (SELECT route, config, row_number() OVER (PARTITION BY route ORDER BY round(hit, 5) DESC, round(mrr, 5) DESC, pool DESC, multiplier DESC, config) AS place FROM e JOIN {_POOLS} USING (config))
+SELECT route, config, place::INTEGER AS place FROM r WHERE place <= 10""")
+def sweep_top(t, spark):
+    """The ten best configurations of each route, and of all questions together."""
+    return R.best_configs(_weight_sweep(t, spark), 10).select("route", "config", "place")

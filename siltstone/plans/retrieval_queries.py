@@ -15,7 +15,7 @@ from siltstone.operators import retrieve as V
 
 from . import sql as S
 from .registry import query
-from .text_queries import _ALL, _DOC_CODES, _DOSES, _FAMILY, _SECTION, answer_sql, spec, unit_sql
+from .text_queries import _ALL, _DOC_CODES, _DOSES, _FAMILY, _BOILER, _SECTION, ALLERGENS_SQL, answer_sql, metals_sql, spec, unit_sql
 
 # Words of each dimension of the keyword vectors.
 KEYWORDS = (
@@ -190,14 +190,19 @@ def _with_vector(rows, text: str):
     return own.withColumn("vector", D.keyword_vector(F.col("__tokens"), F.col(text), KEYWORDS, 7)).drop("__tokens")
 
 
-def hybrid(t, spark):
-    """Final scores of each question's candidates: its fetch_k nearest sheets, the only ones whose texts are scored."""
+def swept(t, spark):
+    """The questions with what they ask for, and their hundred nearest sheets with what scoring reads, the only ones whose texts are scored."""
     sheets = spec(t, spark).select(F.col("k").cast("long").alias("chunk_id"), "doc_id", "file_name", "text")
     asked = _with_vector(V.asked(questions(spark), 10, V.Search()), "question")
     own = _with_vector(sheets, "text").select(F.col("chunk_id").alias("id"), "vector")
     top = D.dense_topk(own, asked.select("query_id", "vector"), V.most_candidates(10, V.Search()))
-    hits = top.join(F.broadcast(asked.drop("vector")), "query_id").where("dense_rank <= fetch_k")  # the questions are a stated set of twelve rows
-    rows = R.passages(sheets.join(F.broadcast(hits), F.col("chunk_id") == F.col("id")))  # no more rows than 100 a question
+    hits = top.join(F.broadcast(asked.drop("vector")), "query_id")  # the questions are a stated set of twelve rows
+    return asked, R.passages(sheets.join(F.broadcast(hits), F.col("chunk_id") == F.col("id")))  # no more rows than 100 a question
+
+
+def hybrid(t, spark):
+    """Final scores of each question's candidates: its fetch_k nearest sheets."""
+    rows = swept(t, spark)[1].where("dense_rank <= fetch_k")
     lex, field = R.lexical_score(F.col("tokens"), F.col("own_tokens")), R.field_intent_score(F.col("text_norm"), F.col("product"))
     scored = C.settled_columns(rows, lex=lex, field=field, extra=R.doc_specific_score() + R.structured_score())
     return scored.withColumn("final", F.col("dense_w") * F.col("dense_score") + F.col("lexical_w") * F.col("lex") + F.col("field_w") * F.col("field") + F.col("extra"))
@@ -223,6 +228,29 @@ def hybrid_rank(t, spark):
     return R.post_passes(rows, "final").where("rank <= 10").select("query_id", "chunk_id", F.round("final", 6).alias("score"), "rank")
 
 
+_PLAIN_FINAL = _HYBRID[: _HYBRID.index("round(w[1]")] + "round(cos + specific + structured, 9) AS final" + _HYBRID[_HYBRID.index(" FROM y),") :]
+
+
+@query(_PLAIN_FINAL)
+def hybrid_off_rank(t, spark):
+    """Without lexical and field scores: the dense score and what documents and sections add to it."""
+    rows = hybrid(t, spark).select("query_id", "chunk_id", "doc_id", F.round(F.col("dense_score") + F.col("extra"), 9).alias("final"))
+    return R.post_passes(rows, "final").where("rank <= 10").select("query_id", "chunk_id", F.round("final", 6).alias("score"), "rank")
+
+
+_SPANS = """SELECT * FROM (VALUES (1, 'dosage of hcf', 'Tel: 123 456 www.x.org. The dosage is 5 ppm. Use hcf well.'), (2, 'shelf life', 'Nothing here. Shelf life of it; months.'), (3, 'abc', 'First one. Second one.'), (4, '', 'Only this.')) AS v(id, question, text)"""
+_OWN_SCORE = f"len(list_intersect(asked, {S.tokens('line', 1)})) / greatest(len(asked), 1) + CASE WHEN len(list_intersect({S.tokens('line', 1)}, {list(A.SPAN_UNITS)})) > 0 THEN 0.2 ELSE 0 END"
+
+
+@query(f"""WITH r AS (SELECT id, text, {S.tokens('question', 1)} AS asked, list_filter(string_split(regexp_replace({S.squeeze('text')}, '([.!?;])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS parts FROM ({_SPANS})),
+p AS (SELECT id, asked, unnest(parts) AS line, unnest(range(len(parts))) AS i FROM r), o AS (SELECT id, line, i, CASE WHEN {_BOILER} THEN -1 ELSE {_OWN_SCORE} END AS score FROM p)
+SELECT id, arg_max(line, (round(score, 9), -i)) AS span FROM o GROUP BY id""")
+def best_span(t, spark):
+    """The sentence that says most of what is asked, boilerplate passed over."""
+    rows = C.settled_columns(spark.sql(_SPANS), asked=T.token_set(F.col("question"), 1), parts=T.sentences(F.col("text")))
+    return rows.select("id", A.best_span(F.col("asked"), F.col("parts"), F.col("text")).alias("span"))
+
+
 @query(f"WITH {_DENSE}, h AS (SELECT query_id, id, r, s, (id * 7919 % 101)::DOUBLE AS m FROM ranked WHERE r <= 30), x AS (SELECT *, min(CASE WHEN r <= 20 THEN m END) OVER (PARTITION BY query_id) AS lo, max(CASE WHEN r <= 20 THEN m END) OVER (PARTITION BY query_id) AS hi FROM h), b AS (SELECT *, CASE WHEN r <= 20 THEN 0.65 * s + 0.35 * (CASE WHEN hi = lo THEN 0.5 ELSE (m - lo) / (hi - lo) END) ELSE s END AS blend FROM x) SELECT query_id, id, round(blend, 6) AS blend, row_number() OVER (PARTITION BY query_id ORDER BY r > 20, blend DESC, r)::INTEGER AS new_rank FROM b")
 def rerank_blend(t, spark):
     """With a stand-in for the model's score that both engines can work out."""
@@ -237,7 +265,10 @@ def context_expand(t, spark):
     return R.context(anchors.select("rank", "conv_id", "turn"), c, "conv_id", "turn").select("conv_id", "turn", F.col("anchor_rank").cast("long"))
 
 
-@query(S.over_questions("query_id, CASE query_id WHEN 1 THEN 'dosage' WHEN 2 THEN 'storage' WHEN 3 THEN 'metals' WHEN 4 THEN 'activity' WHEN 5 THEN 'dosage' WHEN 6 THEN 'regulatory' WHEN 7 THEN 'dosage' WHEN 8 THEN 'generic' WHEN 9 THEN 'activity' WHEN 10 THEN 'generic' WHEN 11 THEN 'storage' ELSE 'allergen' END AS intent"))
+_INTENT = "CASE " + " ".join(f"WHEN {_in(answer_sql('question'), parts)} THEN '{name}'" for name, parts in A.INTENTS) + " ELSE 'generic' END"
+
+
+@query(S.over_questions(f"query_id, {_INTENT} AS intent"))
 def answer_intent(t, spark):
     return questions(spark).select("query_id", A.intent(F.col("question")).alias("intent"))
 
@@ -257,12 +288,11 @@ _BARE = lambda x: f"regexp_replace({x}, '\\s+', '', 'g')"
 _UNITS_OF = rf"[^.\n]{{0,80}}?{A.NUMBER}\s*{A.ACTIVITY_UNITS}"
 _HEAT = "'temperature: ' || " + _BARE("{1}") + " || ' c'"
 _STORED = f"array_to_string(list_filter([{_take('n', r'(\d+(?:\s*-\s*\d+)?)\s*(months?|years?)', chr(39) + 'shelf life: ' + chr(39) + ' || ' + _BARE('{1}') + ' || ' + chr(39) + ' ' + chr(39) + ' || {2}')}, coalesce({_take('n', r'(?:below|under|<|<=|between)\s*' + _DEGREES, _HEAT)}, {_take('n', _DEGREES, _HEAT)}), {_take('n', r'humidity[^.\n]{0,30}?(?:<|<=|below|under)?\s*(\d+)\s*%', chr(39) + 'humidity: <' + chr(39) + ' || {1} || ' + chr(39) + '%' + chr(39))}], lambda z: z IS NOT NULL), '; ')"
-_LISTED = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(n, '\\b(?:{'|'.join(t)})\\b') THEN '{name}' END" for name, t in A.ALLERGENS) + "], lambda z: z IS NOT NULL), ', ')"
-_INTENT = "CASE " + " ".join(f"WHEN {_in(answer_sql('question'), parts)} THEN '{name}'" for name, parts in A.INTENTS) + " ELSE 'generic' END"
+_LISTED = ALLERGENS_SQL("n", ", ")
 _RULE = f"list_filter(string_split(regexp_replace(body, '([.!?;])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda z: {_in(answer_sql('z'), A.REGULATIONS)})[1]"
 _FOUND = f"""CASE kind WHEN 'dosage' THEN {unit_sql('coalesce(' + ', '.join((_take('n', _CUE + _SPREAD, _BOTH), _take('n', _SPREAD, _BOTH), _take('n', _CUES + A.NUMBER + r'\s*(g/100kg|kg/t|%)', chr(39) + 'dosage: ' + chr(39) + ' || {1} || ' + chr(39) + ' ' + chr(39) + ' || {2}'))) + ')')}
  WHEN 'activity' THEN {unit_sql('coalesce(' + _take('u', 'activity' + _UNITS_OF, chr(39) + 'activity: ' + chr(39) + ' || {1} || ' + chr(39) + ' ' + chr(39) + ' || {2}') + ', ' + _take('u', r'(?:enzyme\s+activity|declared\s+activity|units?)' + _UNITS_OF, chr(39) + 'activity: ' + chr(39) + ' || {1} || ' + chr(39) + ' ' + chr(39) + ' || {2}') + ')')}
- WHEN 'metals' THEN CASE WHEN k % 3 = 0 THEN 'cadmium 0.5 mg/kg; lead 5 mg/kg' END
+ WHEN 'metals' THEN nullif({metals_sql('n')}, '')
  WHEN 'allergen' THEN CASE WHEN {_LISTED} <> '' THEN 'allergens contains: ' || {_LISTED} END
  WHEN 'storage' THEN nullif({unit_sql(_STORED)}, '') WHEN 'regulatory' THEN {unit_sql(_RULE)} END"""
 #: The sheets hold neither tables nor mostly boilerplate, so that the plain answer is the squeezed text.

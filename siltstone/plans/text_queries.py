@@ -318,35 +318,6 @@ def dosage_fields(t, spark):
     return spec_norm(t, spark).select("k", *[c.alias(k) for k, c in E.dosages(F.col("a")).items()])
 
 
-@query(f"{_SPEC_NORM}, m AS (SELECT brand, file_name, k, {_FAMILY} AS f, {_SECTION} AS sec, {_DOC_CODES} AS codes FROM s) SELECT brand, count(*)::BIGINT AS chunks, array_to_string(list_sort(list(DISTINCT f)), ',') AS families, array_to_string(list_sort(list(DISTINCT sec) FILTER (sec IS NOT NULL)), ',') AS sections, min_by(file_name, k) AS file_name, (SELECT count(DISTINCT c)::BIGINT FROM (SELECT unnest(string_split(x.codes, ',')) AS c FROM m x WHERE x.brand = m.brand) WHERE c <> '') AS n_codes FROM m GROUP BY brand")
-def doc_catalog(t, spark):
-    m = spec_norm(t, spark).select("brand", "file_name", "k", E.family(F.col("a")).alias("f"), E.section(F.col("a")).alias("sec"), E.doc_codes(F.col("a")).alias("codes"))
-    codes = m.select("brand", F.explode("codes").alias("c")).distinct().groupBy("brand").agg(F.count("*").alias("n_codes"))
-    rows = m.groupBy("brand").agg(F.count("*").alias("chunks"), _joined(F.collect_set("f")).alias("families"), _joined(F.collect_set("sec")).alias("sections"), F.min_by("file_name", "k").alias("file_name"))
-    return rows.join(codes, "brand", "left").withColumn("n_codes", F.coalesce("n_codes", F.lit(0).cast("long")))
-
-
-@query("SELECT count(DISTINCT source)::BIGINT AS documents, (SELECT count(*) FROM (SELECT DISTINCT source, doc_id FROM documents))::BIGINT AS pages, count(*)::BIGINT AS chunks, count(DISTINCT source || '|' || text)::BIGINT AS after_dedup FROM documents")
-def prep_report(t, spark):
-    d = t("documents")
-    per = d.groupBy("source", "text").agg(F.count("*").alias("n"), F.collect_set("doc_id").alias("ids")).select("source", "n", F.size("ids").alias("p"))
-    return per.groupBy("source").agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.count("*").alias("u")).agg(F.count("*").alias("documents"), F.sum("p").alias("pages"), F.sum("n").alias("chunks"), F.sum("u").alias("after_dedup"))
-
-
-@query(S.over_spec("brand, min_by(doc_id, k) AS first_doc, max_by(text, k) AS last_text, array_to_string(list_sort(list(DISTINCT p)), ',') AS fields", f"CROSS JOIN (SELECT 1) CROSS JOIN LATERAL (SELECT {_CLASS} AS p) GROUP BY brand"))
-def metadata_fold(t, spark):
-    s = spec(t, spark).withColumn("p", E.product_class(F.col("text")))
-    return s.groupBy("brand").agg(F.min_by("doc_id", "k").alias("first_doc"), F.max_by("text", "k").alias("last_text"), _joined(F.collect_set("p")).alias("fields"))
-
-
-@query(f"{_SPEC_NORM} SELECT k, signature FROM (SELECT k, {_SECTION} || '|' || brand || '|' || coalesce(nullif(regexp_extract(a, '{E.AMOUNT}', 1), ''), 'none') AS signature, row_number() OVER (PARTITION BY {_SECTION} || '|' || brand || '|' || coalesce(nullif(regexp_extract(a, '{E.AMOUNT}', 1), ''), 'none') ORDER BY k) AS n FROM s) WHERE n = 1 OR signature IS NULL")
-def cross_doc_signature_dedup(t, spark):
-    a = F.col("a")
-    dose = F.coalesce(F.nullif(F.regexp_extract(a, E.AMOUNT, 1), F.lit("")), F.lit("none"))
-    s = spec_norm(t, spark).select("k", F.concat(E.section(a), F.lit("|"), "brand", F.lit("|"), dose).alias("signature"))
-    return C.first_wins(s, ["signature"], ["k"])
-
-
 _UUID = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(doc_id::VARCHAR))"
 
 
@@ -378,17 +349,48 @@ def answer_norm(t, spark):
     return spec(t, spark).select("k", A.answer_norm(F.col("text")).alias("norm"))
 
 
-@query("SELECT * FROM (VALUES (1, 'egg,milk'), (2, ''), (3, 'gluten,nuts,soy')) AS v(id, found)")
+_TEXTS = "SELECT * FROM (VALUES (1, 'Contains milk and eggs'), (2, 'nothing of it'), (3, 'Wheat, hazelnut; soybean'), (4, 'Lactose; dairy. Almond'), (5, 'butter')) AS v(id, text)"
+ALLERGENS_SQL = lambda n, sep: f"array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches({n}, '\\b(?:{'|'.join(t)})\\b') THEN '{name}' END" for name, t in A.ALLERGENS) + f"], lambda z: z IS NOT NULL), '{sep}')"
+
+
+@query(f"SELECT id, {ALLERGENS_SQL('n', ',')} AS found FROM (SELECT id, {answer_sql('text')} AS n FROM ({_TEXTS}))")
 def allergens(t, spark):
-    rows = spark.sql("SELECT * FROM (VALUES (1, 'Contains milk and eggs'), (2, 'nothing of it'), (3, 'Wheat, hazelnut; soybean')) AS v(id, text)")
-    return rows.select("id", F.array_join(A.allergens(A.answer_norm(F.col("text"))), ",").alias("found"))
+    return spark.sql(_TEXTS).select("id", F.array_join(A.allergens(A.answer_norm(F.col("text"))), ",").alias("found"))
 
 
-@query(S.over_spec("k, CASE WHEN k % 3 = 0 THEN 'cadmium 0.5 mg/kg; lead 5 mg/kg' ELSE '' END AS limits"))
+def metals_sql(n: str) -> str:
+    """Limits by metal and then by place, each once, from a normal form."""
+    body = f"replace({unit_sql(n)}, ',', '.')"
+    of = lambda m: f"list_transform(regexp_extract_all({body}, '{m}[^.\\n;]{{0,80}}?(?:<=|>=|<|>)?\\s*\\d+(?:\\.\\d+)?\\s*mg/kg'), lambda z: '{m} ' || regexp_extract(z, '(<=|>=|<|>)?\\s*(\\d+(?:\\.\\d+)?)\\s*mg/kg$', 1) || regexp_extract(z, '(<=|>=|<|>)?\\s*(\\d+(?:\\.\\d+)?)\\s*mg/kg$', 2) || ' mg/kg')"
+    every = of(A.METALS[0])
+    for m in A.METALS[1:]:
+        every = f"list_concat({every}, {of(m)})"
+    return f"array_to_string({every}, '; ')"  # no sheet says a limit twice
+
+
+@query(S.over_spec(f"k, {metals_sql(answer_sql('text'))} AS limits"))
 def metal_limits(t, spark):
     return spec(t, spark).select("k", F.array_join(A.metal_limits(A.answer_norm(F.col("text"))), "; ").alias("limits"))
 
 
+_CODES = "SELECT * FROM (VALUES (1, 'A Soft 305'), (2, 'hcf-600'), (3, 'A Fresh 101'), (4, 'L Max64'), (5, 'SOFT  205'), (6, 'GOX 110®'), (7, '')) AS v(id, code)"
+
+
+@query(f"SELECT id, regexp_replace(regexp_replace(regexp_replace({S.norm('code')}, '[ -]', '', 'g'), '^asoft', 'soft'), '^afresh', 'fresh') AS canonical FROM ({_CODES})")
+def canonical_code(t, spark):
+    return spark.sql(_CODES).select("id", E.canonical_code(F.col("code")).alias("canonical"))
+
+
+_HEADS = """SELECT * FROM (VALUES (1, 'Tel: 123 456 www.x.org, mail us'), (2, concat('Tel: +32 123 456, mail a@b.org, x, y', chr(10), 'Title of it', chr(10), 'one two three four five six seven eight nine ten eleven', chr(10), 'phone www.y.org')),
+(3, concat('www.x.org a@b.org', chr(10), 'too few words')), (4, '')) AS v(doc_id, text)"""
+
+
+@query(_STRIP.replace("FROM documents", "FROM heads").replace("WITH l AS", f"WITH heads AS ({_HEADS}), l AS", 1))
+def boilerplate_revert(t, spark):
+    """Boilerplate at head and tail goes, but for texts of which too little would be left."""
+    return C.settled_columns(spark.sql(_HEADS), b=T.without_boilerplate(F.col("text"))).select("doc_id", F.md5("b.text").alias("text_md5"), "b.removed", "b.removed_chars")
+
+
 @query()
 def pandas_embedder(t, spark):
     """Vectors of every document by a batch function; its values are the model's own, so there is no SQL for them."""
