@@ -145,11 +145,14 @@ def post_passes(scored: DataFrame, score: str, by_doc: bool = True, penalty: flo
 
 
 def blended(rows: DataFrame, top: int = 20, alpha: float = 0.35) -> DataFrame:
-    """The first `top` ranks of each query re-scored: (1 - alpha) final + alpha scaled model score; 0.5 where all are alike."""
-    head = F.col("rank") <= top
+    """The first `top` ranks of each query re-scored: (1 - alpha) final + alpha scaled model score; 0.5 where all are alike.
+
+    Rows without a model score (there is no model) keep their own.
+    """
+    head = (F.col("rank") <= top) & F.col("model").isNotNull()
     w = Window.partitionBy("query_id")
     low, high = F.min(F.when(head, F.col("model"))).over(w), F.max(F.when(head, F.col("model"))).over(w)
-    scaled = F.when(high == low, 0.5).otherwise((F.col("model") - low) / (high - low))
+    scaled = F.when(high - low <= 1e-9, 0.5).otherwise((F.col("model") - low) / (high - low))
     out = rows.withColumn("blend", F.when(head, (1 - alpha) * F.col("final") + alpha * scaled).otherwise(F.col("final")))
     return out.withColumn("new_rank", F.row_number().over(w.orderBy(F.when(head, 0).otherwise(1), F.desc("blend"), "rank")))
 

@@ -97,3 +97,26 @@ def test_batch_models(spark):
     df = spark.createDataFrame([("abc", "abd"), (None, "x"), ("", None)], "q string, t string")
     got = df.select(embed.embedder(embed.hashed_letters(8))(F.col("q")).alias("v"), embed.pair_scorer(lambda: lambda q, t: [len(a) + len(b) for a, b in zip(q, t, strict=True)])("q", "t").alias("s")).collect()
     assert abs(sum(x * x for x in got[0].v) - 1) < 1e-6 and sum(got[1].v) == 0 and sorted(x.s for x in got) == [0.0, 1.0, 6.0]
+
+
+def test_store(spark, tmp_path):
+    from siltstone.operators.embed import TableStore
+
+    store, schema = TableStore(spark, f"{tmp_path}/vectors"), "id long, vector array<float>"
+    assert store.rows().count() == 0 and store.search(spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vector array<double>"), 2).count() == 0
+    store.upsert(spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (None, [1.0, 1.0])], schema))
+    store.upsert(spark.createDataFrame([(2, [1.0, 0.5]), (3, [-1.0, 0.0]), (3, [-1.0, 0.0])], schema))
+    assert sorted((x.id, x.vector) for x in store.rows().collect()) == [(1, [1.0, 0.0]), (2, [1.0, 0.5]), (3, [-1.0, 0.0])]
+    got = store.search(spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, vector array<double>"), 2).orderBy("dense_rank").collect()
+    assert [(x.query_id, x.id) for x in got] == [(7, 1), (7, 2)]
+
+
+def test_a_missing_pair_model_changes_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from siltstone.operators import embed
+    from siltstone.operators import ranking as R
+
+    rows = spark.createDataFrame([(1, k, 1.0 / k, f"t{k}") for k in range(1, 6)], "query_id long, rank int, final double, text string")
+    scored = rows.withColumn("model", embed.pair_scorer(embed.pair_model("no/such-model"))(F.lit("q"), F.col("text")))
+    assert all(x.model is None and x.blend == x.final and x.new_rank == x.rank for x in R.blended(scored).collect())
