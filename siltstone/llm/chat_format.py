@@ -11,7 +11,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +72,11 @@ class Template:
             self.__dict__[key] = self._pattern(escapes).sub
         return self.__dict__[key]
 
+    def guarded(self, json_text: str) -> Template:
+        """The template that also escapes the special tokens of a tokenizer file, so that no text can spell one."""
+        own = [t["content"] for t in json.loads(json_text).get("added_tokens") or [] if t.get("special")]
+        return replace(self, reserved=tuple(dict.fromkeys((*self.reserved, *(x for x in own if x not in self.controls)))))
+
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_sub")}
 
@@ -112,6 +117,11 @@ def load(json_text: str, template: Template) -> Tokenizer:
     return tokenizer
 
 
+def read_file(path: str) -> str:
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
 def mask_of(offsets: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
     """True for tokens that lie in one of the spans; both are sorted, and each span is found by binary search."""
     mask = np.zeros(len(offsets), bool)
@@ -144,12 +154,13 @@ def format_conversations(conversations: DataFrame, template: Template = Template
 
     Turns go by turn (null first), ties by role and text; a null role or text is empty; repeated rows are repeated
     turns. Rows without conv_id belong to no conversation and are left out; other columns are ignored; no rows give
-    none. The tokenizer file is read by the driver and sent to the executors. Rows are sorted by conversation in the
+    none. The tokenizer file is read by the driver and sent to the executors; its special tokens are escaped in texts like the
+    template's own strings (Template.guarded). Rows are sorted by conversation in the
     shuffle, and a task holds one conversation and a batch of finished ones at a time.
     """
     spark = prepared(conversations.sparkSession)
-    with open(tokenizer, encoding="utf-8") as f:
-        sent = spark.sparkContext.broadcast(f.read())
+    given = read_file(tokenizer)
+    sent, template = spark.sparkContext.broadcast(given), template.guarded(given)
     rows = (
         conversations.where("conv_id is not null")
         .select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
@@ -211,4 +222,4 @@ def digests(template: Template):
 
 def conversation_digests(conversations: DataFrame, template: Template = Template(), tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:  # noqa: B008
     """DIGEST for each conversation, read back from the formatted output; see format_conversations for odd rows."""
-    return format_conversations(conversations, template, tokenizer, digests(template), DIGEST)
+    return format_conversations(conversations, template, tokenizer, digests(template.guarded(read_file(tokenizer))), DIGEST)
