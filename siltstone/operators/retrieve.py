@@ -94,7 +94,8 @@ def scored(hits: DataFrame, config: Search = Search()) -> DataFrame:
         said, lex_score=R.lexical_score(F.col("q_tokens"), F.col("own_tokens")), matched_terms=F.array_sort(F.array_intersect("q_tokens", "own_tokens")), field_score=R.field_intent_score(F.col("text_norm"), F.col("product"))
     )
     base = F.col("dense_w") * F.col("dense_score") + F.col("lexical_w") * F.col("lex_score") + F.col("field_w") * F.col("field_score") if config.hybrid else F.col("dense_score")
-    return C.settled_columns(lex, final_score=base + R.doc_specific_score(code, section, config.constraints) + R.structured_score())
+    final = base + R.doc_specific_score(code, section, config.constraints) + R.structured_score()
+    return C.settled_columns(lex, final_score=F.round(final, 9))  # so ties don't depend on the order of sums
 
 
 def search(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, k: int, config: Search = Search(), model: Callable[[Column, Column], Column] | None = None) -> DataFrame:
@@ -107,7 +108,7 @@ def search(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, k: int,
     """
     q = asked(questions, k, config)
     top = D.dense_topk(vectors.select(point(F.col("chunk_id")).alias("id"), "vector"), questions.select("query_id", "vector"), most_candidates(k, config))
-    wanted = top.join(F.broadcast(q.drop("vector")), "query_id").where("dense_rank <= fetch_k")  # no more rows than questions were given
+    wanted = top.join(q.drop("vector"), "query_id").where("dense_rank <= fetch_k")
     named = chunks.where("chunk_id is not null").withColumn("id", point(F.col("chunk_id")))
     rows = scored(wanted.join(named, "id"), config)
     out = R.post_passes(rows, "final_score", config.by_doc, None if config.routed else config.diversity, page="page", tie="dense_rank")
@@ -136,7 +137,7 @@ def with_context(results: DataFrame, chunks: DataFrame, width: int) -> DataFrame
 def api_rows(questions: DataFrame, results: DataFrame, shown: int = 3) -> DataFrame:
     """(query_id, rank, text, score, retrieval_score, answer_score): the answers shown for each valid question, its ten first results re-scored."""
     valid = questions.where(F.length(F.btrim("question")).between(1, 2000)).select("query_id", F.btrim("question").alias("question"))
-    rows = A.with_structured(results.where("rank <= 10 and not is_context").join(F.broadcast(valid), "query_id"), "question", "text")
+    rows = A.with_structured(results.where("rank <= 10 and not is_context").join(valid, "query_id"), "question", "text")
     kept = F.when(F.col("final_score") == 0, F.col("score")).otherwise(F.col("final_score"))
     sure = rows.withColumn("retrieval_score", 1 / (1 + F.exp(-kept))).withColumn("answer_score", F.col("confidence"))
     fused = sure.withColumn("score", 0.35 * F.col("retrieval_score") + 0.65 * F.col("answer_score"))

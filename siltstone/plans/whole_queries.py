@@ -12,7 +12,7 @@ from siltstone.operators import prepare as P
 from siltstone.operators import retrieve as V
 
 from .registry import query
-from .retrieval_queries import KEYWORDS, questions
+from .retrieval_queries import _HYBRID, KEYWORDS, questions
 from . import sql as S
 from .text_queries import _ALL, _CLEAN, _DOC_CODES, _FAMILY, _LANG, _LINES, _SECTION, _STRIP, _TITLE, _embed_sql, spec
 
@@ -124,9 +124,22 @@ def cross_doc_signature_dedup(t, spark):
     return P.deduplicated(facts).select("doc_id", F.col("metadata.field_name").alias("field"), "metadata.dosage")
 
 
-@query()
+_CHUNK_ID = "left(sha1(doc_id || '|1|paragraph|paragraph:0:' || text), 16)"
+_SIGNED = f"((('0x' || {_CHUNK_ID})::UBIGINT::HUGEINT + 9223372036854775808) % 18446744073709551616 - 9223372036854775808)"
+#: The hybrid ranks, for chunks: of cleaned texts, without product classes, in the order of their ids.
+_CHUNKED = _HYBRID[: _HYBRID.rindex("SELECT query_id, k AS chunk_id")]
+for _old, _new in (
+    (f"spec AS ({S.SPEC})", f"spec0 AS ({S.SPEC}), spec AS (SELECT k, doc_id, file_name, brand, {_embed_sql(_CLEAN)} AS text FROM spec0)"), ("sv AS (SELECT k, ", f"sv AS (SELECT k, {_SIGNED} AS id, "), ("(SELECT query_id, k, round(coalesce", "(SELECT query_id, k, id, round(coalesce"),
+    ("ORDER BY cos DESC, k)", "ORDER BY cos DESC, id)"), ("y AS (SELECT x.*, cos,", "y AS (SELECT x.*, cos, dr,"), ("THEN 1.0 WHEN", "THEN 0.8 WHEN"), ("ORDER BY final DESC, k)", "ORDER BY final DESC, dr)"),
+):
+    assert _old in _CHUNKED, _old
+    _CHUNKED = _CHUNKED.replace(_old, _new)
+
+
+@query(f"""{_CHUNKED} SELECT query_id::BIGINT AS query_id, rank::INTEGER AS rank, {_CHUNK_ID} AS chunk_id, round(final, 6) AS score, {S.joined('list_intersect(tok, own)')} AS terms, false AS is_context
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, dr) AS rank FROM d WHERE nd = 1) WHERE rank <= 10""")
 def search_with_context(t, spark):
-    """Product sheets as chunks, keyword vectors, the stated questions: ranks, then neighbours."""
+    """Product sheets as chunks, keyword vectors, the stated questions: ranks, then neighbours, of which pages of one chunk have none."""
     blocks = spec(t, spark).select("doc_id", "file_name", F.lit(1).alias("page"), F.lit("paragraph").alias("block_type"), "text", F.lit(None).cast("array<array<string>>").alias("rows"), F.col("k").cast("long").alias("block_ord"))
     chunks = P.direct_chunks(blocks)
     vec = lambda c: D.keyword_vector(T.token_set(F.col(c), 1), F.col(c), KEYWORDS, 7)
