@@ -21,7 +21,7 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_dedup.simhash_groups(_table(spark, sf_dir, "documents"))
+    return simhash_dedup.simhash_groups(_table(spark, sf_dir, "documents")).drop("text_hash", "first")
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,12 +39,7 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    return rows.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-
-
-def op6_benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many items each document holds by proximity, which the SQL of the exact matches has no column for."""
-    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_near")
+    return rows.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +59,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_embedding_near_dedup, op3_simhash_near_dedup, op4_chat_formatting, op5_lm_scoring, op6_benchmark_decontamination, op6_benchmark_proximity, op7_secret_scan, op8_toxicity, op9_line_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_embedding_near_dedup, op3_simhash_near_dedup, op4_chat_formatting, op5_lm_scoring, op6_benchmark_decontamination, op7_secret_scan, op8_toxicity, op9_line_dedup, op10_quality)}
 
 _CONTROL = r"(<)(\\*(?:s>|/s>|<SYS>>|</SYS>>|unk>|\|endoftext\|>|\|im_start\|>|\|im_end\|>))|(\[)(\\*/?INST\])"
 
@@ -111,7 +106,50 @@ place AS (
   SELECT k, s, size, array_to_string(w[s + 1 : s + size], ' ') AS t FROM doc, sizes, unnest(range(len(w) - size + 1)) AS u(s) WHERE len(w) >= size),
 found AS (SELECT p.k, p.s, p.size, x.item_id FROM place p JOIN win x ON p.t = x.t AND p.size = x.size),
 hit AS (SELECT k, count(DISTINCT s + o) AS n FROM found, unnest(range(size)) AS u(o) GROUP BY k),
-items AS (SELECT k, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT k, item_id::VARCHAR AS id FROM found) GROUP BY k)
-SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(i.n, 0)::BIGINT AS n_items, sha256(coalesce(i.ids, '')) AS items_sha256, h.n IS NOT NULL AS contaminated
-FROM doc d LEFT JOIN hit h USING (k) LEFT JOIN items i USING (k)""",
+items AS (SELECT k, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT k, item_id::VARCHAR AS id FROM found) GROUP BY k),
+-- By proximity: of the five rarest words of an item that occur at all, four (all of fewer) within 20 words of an early one of them.
+term AS (SELECT DISTINCT item_id, unnest(w) AS t FROM item),
+word AS (SELECT k, t, p FROM (SELECT k, unnest(w) AS t, unnest(range(len(w))) AS p FROM doc) WHERE t IN (SELECT t FROM term)),
+ranked AS (
+  SELECT item_id, t, row_number() OVER (PARTITION BY item_id ORDER BY c, t) AS r
+  FROM term JOIN (SELECT t, count(*) AS c FROM word GROUP BY t) USING (t)),
+plan AS (
+  SELECT item_id, m, least(need, m) AS need
+  FROM (SELECT item_id, least(4, count(*)) AS need FROM term GROUP BY item_id) JOIN (SELECT item_id, least(5, count(*)) AS m FROM ranked GROUP BY item_id) USING (item_id)
+  WHERE m >= need OR m >= greatest(2, need - 1)),
+chosen AS (SELECT item_id, t, r, m, need FROM ranked JOIN plan USING (item_id) WHERE r <= 5),
+anchor AS (SELECT c.item_id, c.r, c.need, w.k, w.p FROM chosen c JOIN word w ON w.t = c.t WHERE c.r <= c.m - c.need + 1),
+other AS (
+  SELECT a.item_id, a.r, a.k, a.p, count(DISTINCT c.r) AS n
+  FROM anchor a JOIN chosen c ON c.item_id = a.item_id AND c.r <> a.r JOIN word w ON w.k = a.k AND w.t = c.t AND w.p BETWEEN a.p - 20 AND a.p + 20 GROUP BY ALL),
+near AS (
+  SELECT a.k, count(DISTINCT a.item_id) AS n FROM anchor a LEFT JOIN other o ON o.item_id = a.item_id AND o.r = a.r AND o.k = a.k AND o.p = a.p
+  WHERE 1 + coalesce(o.n, 0) >= a.need GROUP BY a.k)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(i.n, 0)::BIGINT AS n_items, sha256(coalesce(i.ids, '')) AS items_sha256, h.n IS NOT NULL AS contaminated, coalesce(x.n, 0)::BIGINT AS n_near
+FROM doc d LEFT JOIN hit h USING (k) LEFT JOIN items i USING (k) LEFT JOIN near x USING (k)""",
+    # Lines go by doc_id and line number: ids are unique in the table, so the hash of the text never decides.
+    "op9_line_dedup": r"""
+WITH doc AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS d, doc_id, string_split(coalesce(text, ''), chr(10)) AS arr FROM documents),
+line AS (
+  SELECT d, i, raw, trim(raw, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) AS line
+  FROM (SELECT d, unnest(arr) AS raw, unnest(range(len(arr))) AS i FROM doc)),
+one AS (SELECT line, length(line) AS n, min((d, i)) AS pos FROM line WHERE line <> '' GROUP BY line),
+half AS (
+  SELECT line, n, pos, c, side, md5(CASE side WHEN 0 THEN left(line, c // 2) ELSE right(line, c // 2) END) AS h
+  FROM (SELECT *, unnest([n, n, n - 1, n - 1]) AS c, unnest([0, 1, 0, 1]) AS side FROM one WHERE n >= 4)),
+pair AS (
+  SELECT DISTINCT a.line AS a, b.line AS b, a.pos AS a_pos, b.pos AS b_pos FROM half a JOIN half b USING (c, side, h)
+  WHERE a.n BETWEEN b.n AND b.n + 1 AND a.n >= 5 AND a.line <> b.line),
+apart AS (
+  SELECT *, string_split(a, '') AS x, string_split(b, '') AS y FROM pair),
+place AS (
+  SELECT a, b, a_pos, b_pos, coalesce(list_position(list_transform(range(1, len(y) + 1), lambda k: x[k] <> y[k]), true) - 1, len(y)) AS p, len(x) - len(y) AS more FROM apart),
+gone AS (
+  SELECT CASE WHEN a_pos > b_pos THEN a ELSE b END AS line FROM place
+  WHERE substr(a, p::BIGINT + 2) = substr(b, p::BIGINT + 2 - more)),
+kept AS (
+  SELECT l.d, l.i, l.raw FROM line l LEFT JOIN one o ON o.line = l.line AND o.pos = (l.d, l.i)
+  WHERE l.line = '' OR (o.line IS NOT NULL AND l.line NOT IN (SELECT line FROM gone)))
+SELECT doc.doc_id, len(doc.arr)::BIGINT AS n_lines, coalesce(k.n, 0)::BIGINT AS n_kept, sha256(coalesce(k.t, '')) AS text_sha256
+FROM doc LEFT JOIN (SELECT d, count(*) AS n, string_agg(raw, chr(10) ORDER BY i) AS t FROM kept GROUP BY d) k USING (d)""",
 }
