@@ -3,8 +3,11 @@
 A document is the first layer. Layers are taken from a worklist until none is left: a layer is scanned, then every way
 of unwrapping it (URL escapes, Unicode escapes, base64 at each alignment and over line ends, hex, gzip or zlib inside
 those; bytes that are no UTF-8 are read one by one, and as UTF-16 if some are zero) gives new layers, each
-with a map of its characters to the span of the document they came from. A layer text that was seen over the same
-span is not taken again, which ends cycles.
+with a map of its characters to the span of the document they came from (one span, where all of the layer came from
+one place). A layer text that was seen over the same span is not taken again, which ends cycles.
+
+Compressed layers are unpacked as streams, whatever they unpack to: up to WINDOW bytes are one layer, more are taken in
+windows that overlap.
 """
 
 from __future__ import annotations
@@ -39,10 +42,13 @@ WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \
 #: Where base64 of gzip or zlib can begin: at the start of a line, or behind what may be a separator.
 PACKED = re.compile(r"(?:^|(?<=[/_\-\n]))(?:H4sI|e[A-P])")
 HEX_BLOB = re.compile(r"[0-9A-Fa-f]{16,}")
-#: A compressed layer that unpacks to more bytes is a bomb and is left closed: a worker's memory bounds what can be held.
-MAX_UNPACKED = 128 << 20
+#: Bytes of an unpacked layer that are held at once, and those that a window shares with the next.
+WINDOW, OVERLAP = 16 << 20, 1 << 20
+#: Bytes that a step of unpacking gives at most.
+STEP = 1 << 18
 
-Layer = tuple[str, "np.ndarray | None", "np.ndarray | None"]
+#: A text, and the starts and ends of the spans of its characters: none (the document itself), one for all, or one for each.
+Layer = tuple[str, "np.ndarray | int | None", "np.ndarray | int | None"]
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -63,47 +69,123 @@ def _packed(data: bytes) -> int:
     return 15 if len(data) > 5 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0 else 0
 
 
-def _members(data: bytes, kind: int) -> tuple[bytes | None, bytes]:
-    """The members of a compressed layer in a row, and what stands behind them; None if they unpack to over MAX_UNPACKED bytes."""
-    out, size, rest = [], 0, data
+class Stream:
+    """Chunks of bytes of which the first can be looked at, and which can be given back."""
+
+    def __init__(self, chunks: Iterable[bytes]) -> None:
+        self.chunks, self.held = iter(chunks), b""
+
+    def peek(self, n: int) -> bytes:
+        while len(self.held) < n and (more := next(self.chunks, None)) is not None:
+            self.held += more
+        return self.held
+
+    def __iter__(self) -> Iterator[bytes]:
+        if self.held:
+            held, self.held = self.held, b""
+            yield held
+        for chunk in self.chunks:
+            if self.held:  # given back on the way
+                raise RuntimeError("a stream is read by one reader at a time")
+            yield chunk
+
+
+def _inflated(source: Stream, kind: int) -> Iterator[bytes]:
+    """What the compressed members at the head of the source unpack to, in steps; source is left at what follows them.
+
+    Raises zlib.error, with the source as it was, if its head is not compressed after all.
+    """
+    first = True
     while kind:
-        step = zlib.decompressobj(kind)
-        try:
-            new = step.decompress(rest, MAX_UNPACKED - size + 1)
-        except zlib.error:
-            if not out:
-                raise
-            break
-        out.append(new)
-        size += len(new)
-        if size > MAX_UNPACKED:
-            return None, b""
-        rest = step.unused_data.lstrip(b"\0")
-        kind = _packed(rest)
-    return b"".join(out), rest
-
-
-def _unpacked(data: bytes) -> Iterator[bytes]:
-    """Decoded bytes, unpacked as often as they are compressed unless they unpack to themselves, and what stands behind compressed layers."""
-    seen = set()
-    while kind := _packed(data):
-        if (mark := hashlib.sha256(data).digest()) in seen:
+        step, fed, out = zlib.decompressobj(kind), b"", b""
+        for chunk in source:
+            rest = step.unconsumed_tail + chunk
+            fed = fed + chunk if not out and len(fed) < STEP else fed
+            while rest and not step.eof:
+                try:
+                    new = step.decompress(rest, STEP)
+                except zlib.error:
+                    if not out and first:
+                        source.held = fed
+                        raise
+                    return  # broken further on: what was read before stays
+                if new:
+                    yield new
+                    out = b"1"
+                rest = step.unconsumed_tail
+                if not new and not rest:
+                    break
+            if step.eof:
+                source.held = step.unused_data
+                break
+        first = False
+        if not step.eof:
             return
-        seen.add(mark)
+        while (head := source.peek(6)) and not head.lstrip(b"\0"):
+            source.held = b""
+        source.held = source.held.lstrip(b"\0")
+        kind = _packed(source.peek(6))
+
+
+def _windows(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """The bytes in windows of up to WINDOW, each with the last OVERLAP of the one before; characters of UTF-8 stay whole."""
+    held, fresh = bytearray(), False
+    for chunk in chunks:
+        held += chunk
+        fresh = True
+        if len(held) >= WINDOW:
+            cut = len(held)
+            while cut > len(held) - 4 and held[cut - 1] & 0xC0 == 0x80:
+                cut -= 1
+            cut -= held[cut - 1] >= 0xC0
+            yield bytes(held[:cut])
+            at = cut - OVERLAP
+            while at < cut and held[at] & 0xC0 == 0x80 and at < cut - OVERLAP + 4:
+                at += 1
+            del held[:at]
+            fresh = len(held) > cut - at
+    if fresh:
+        yield bytes(held)
+
+
+def _unpacked(chunks: Iterable[bytes], seen: frozenset[bytes] = frozenset()) -> Iterator[bytes]:
+    """The bytes, unpacked as often as they are compressed unless they unpack to themselves, and what stands behind compressed layers."""
+    todo = [(Stream(chunks), seen)]
+    while todo:
+        source, seen = todo.pop()
+        kind = _packed(source.peek(6))
+        mark = hashlib.sha256(source.peek(4096)).digest() if kind else b""
+        if mark in seen:  # unpacks to itself
+            continue
+        stream = _inflated(source, kind)
         try:
-            data, rest = _members(data, kind)
+            head = _taken(stream, WINDOW) if kind else b""
         except zlib.error:  # text can begin like a compressed layer
+            kind = 0
+        if not kind:
+            yield from _windows(source)
+            continue
+        seen |= {mark}
+        if len(head) < WINDOW:
+            todo.append((Stream([head]), seen))
+        else:
+            yield from _unpacked(chain([head], stream), seen)
+        if source.peek(1):
+            todo.append((source, seen))
+
+
+def _taken(stream: Iterator[bytes], most: int) -> bytes:
+    out = bytearray()
+    for chunk in stream:
+        out += chunk
+        if len(out) >= most:
             break
-        if rest:
-            yield rest
-        if data is None:
-            return
-    yield data
+    return bytes(out)
 
 
 def _legible(data: bytes) -> Iterator[str]:
     """What decoded bytes may be as text: UTF-8, else a character for each byte; with zero bytes, also UTF-16 of either order."""
-    for layer in _unpacked(data):
+    for layer in _unpacked([data]):
         if not layer:
             continue
         try:
@@ -148,6 +230,9 @@ def _joined(text: str) -> str:
 def _substituted(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     """The whole layer with each run of escapes decoded; a decoded character stands for the span of its run."""
     text, starts, ends = layer
+    if isinstance(starts, int):
+        new, n = pattern.subn(lambda m: m[0] if (own := decode(m[0])) is None else own, text)
+        return (new, starts, ends) if n and new != text else None
     out, lo, hi, last = [], [], [], 0
     at = np.arange(len(text)) if starts is None else starts
     to = np.arange(1, len(text) + 1) if ends is None else ends
@@ -180,25 +265,40 @@ def unwrapped(layer: Layer) -> Iterator[Layer]:
         yield new
     for m in chain(BLOB.finditer(text), WRAPPED.finditer(text)):
         a, b = m.span()
+        lo, hi = _span(layer, a, b)
         for new in _blob(m[0]):
-            lo, hi = (a, b) if starts is None else (int(starts[a:b].min()), int(ends[a:b].max()))
-            yield new, np.full(len(new), lo), np.full(len(new), hi)
+            yield new, lo, hi
+
+
+def _span(layer: Layer, a: int, b: int) -> tuple[int, int]:
+    """The span of the document that the characters [a, b) of a layer came from."""
+    _, starts, ends = layer
+    if starts is None:
+        return a, b
+    return (starts, ends) if isinstance(starts, int) else (int(starts[a:b].min()), int(ends[a:b].max()))
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, str]], set[tuple[int, int, str]]]:
     """Base spans, and all spans: those of decoded layers are the span of the text that they came from."""
     base = base_spans(text)
-    found, seen, todo = set(base), set(), [layer for layer in unwrapped((text, None, None))]
+    found, seen = set(base), set()
+    # Depth first, with a layer's own layers taken one after the other: one layer of each depth is held.
+    todo = [unwrapped((text, None, None))]
     while todo:
-        layer = todo.pop()
-        body, starts, ends = layer
-        key = (body, int(starts[0]), int(ends[-1])) if len(body) else ("", 0, 0)
+        layer = next(todo[-1], None)
+        if layer is None:
+            todo.pop()
+            continue
+        body = layer[0]
+        if not body:
+            continue
+        key = (hashlib.sha256(body.encode("utf-8", "surrogatepass")).digest(), *_span(layer, 0, len(body)))
         if key in seen:
             continue
         seen.add(key)
         for a, b, kind in base_spans(body):
-            found.add((int(starts[a:b].min()), int(ends[a:b].max()), kind))
-        todo += unwrapped(layer)
+            found.add((*_span(layer, a, b), kind))
+        todo.append(unwrapped(layer))
     return base, found
 
 
@@ -210,8 +310,9 @@ def secrets(docs: DataFrame) -> DataFrame:
     """A row for each row of docs (doc_id, text): doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_layered.
 
     The counts and base_sha256 are of the secrets in the text itself, spans of all with those of decoded layers
-    (n_layered more), by start, then kind, then end, in code points. A compressed layer of over MAX_UNPACKED bytes is
-    left closed. Null text counts as empty and has none. Rows that
+    (n_layered more), by start, then kind, then end, in code points. A compressed layer is read to its end; beyond
+    WINDOW bytes it is read in windows that share OVERLAP bytes, so that only a secret, or a layer inside it, that is longer
+    than those can be cut at their edge. Null text counts as empty and has none. Rows that
     repeat a doc_id are given as often as they come, a null doc_id stays null, other columns are ignored, no rows give none.
     """
     prepared(docs.sparkSession)
