@@ -60,6 +60,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(columns: list[str]) -> str:
+    """A beginning for names that none of the columns has (names are compared without regard to case)."""
+    mark = "__"
+    while any(c.lower().startswith(mark) for c in columns):
+        mark += "_"
+    return mark
+
+
 def joined_on_hot(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, share: int = 1000) -> DataFrame:
     """rows joined with groups (one row for each value of the keys, `size` rows of `rows` each) on the keys.
 

@@ -97,18 +97,18 @@ def site(source: Column, lang: Column) -> tuple[Column, Column]:
     return host, F.when(rest != "", rest).otherwise(F.concat(F.lit("lang="), F.coalesce(lang.cast("string"), F.lit(""))))
 
 
-def evidence(docs: DataFrame, model: Logistic, carry: list[str]) -> DataFrame:
-    """The carried columns of docs and __own, the log-odds of the text alone."""
+def evidence(docs: DataFrame, model: Logistic, carry: list[str], name: str = "own") -> DataFrame:
+    """The carried columns of docs and, by the name given, the log-odds of the text alone."""
     spark = prepared(docs.sparkSession)
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text"):
             own = sent.value.log_odds(featurise(texts(part)))
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carry], pa.array(own, pa.float64())], [*carry, "__own"])
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carry], pa.array(own, pa.float64())], [*carry, name])
 
     source = docs.select(*dict.fromkeys([*carry, "text"]))
-    return source.mapInArrow(lean(run), StructType([*source.select(*carry).schema.fields, StructField("__own", DoubleType())]))
+    return source.mapInArrow(lean(run), StructType([*source.select(*carry).schema.fields, StructField(name, DoubleType())]))
 
 
 def posteriors(rows: DataFrame) -> tuple[DataFrame, float]:
@@ -133,24 +133,25 @@ def posteriors(rows: DataFrame) -> tuple[DataFrame, float]:
     return settled(means, "posteriors"), mean
 
 
-def classified(docs: DataFrame, labels: DataFrame, carry: list[str], max_labelled: int = MAX_LABELLED, threshold: float = 0.5) -> DataFrame:
-    """The carried columns of each row of docs (doc_id, text, source, lang), __own, __p and __keep (p >= threshold).
+def classified(docs: DataFrame, labels: DataFrame, carry: list[str], max_labelled: int = MAX_LABELLED, threshold: float = 0.5, mark: str = "__") -> DataFrame:
+    """The carried columns of each row of docs (doc_id, text, source, lang), and host, path, own, p and keep (p >= threshold).
 
-    labels: (doc_id, quality 0/1); at most max_labelled of them, by a hash of the id, fit the text classifier; with no
-    labels the evidence is even and every document stays. Null text is empty, null sources and languages are groups of
+    mark is put in front of the names of the last five; no column of docs may begin with it. labels: (doc_id, quality
+    0/1); at most max_labelled of them, by a hash of the id, fit the text classifier; with no labels the evidence is even
+    and every document stays. A p at the threshold keeps its document. Null text is empty, null sources and languages are groups of
     their own; repeated rows count as often as they come; no rows give none.
     """
     x, y = sampled(docs, labels, ["quality"], max_labelled, featurise)
     model = Logistic.fit(x, (y["quality"] > 0).astype(np.float64))
+    own, host_, path_ = (F.col(f"{mark}{c}") for c in ("own", "host", "path"))
     host, path = site(F.col("source"), F.col("lang"))
-    given = docs.select(*dict.fromkeys([*carry, "text"]), host.alias("__host"), path.alias("__path"))
-    p = 1 / (1 + F.exp(-F.col("__own")))
-    every = settled(evidence(given, model, [*carry, "__host", "__path"]), "evidence")  # texts are read by the classifier once
-    means, corpus = posteriors(every.select(F.col("__host").alias("host"), F.col("__path").alias("path"), p.alias("p")))
+    given = docs.select(*dict.fromkeys([*carry, "text"]), host.alias(f"{mark}host"), path.alias(f"{mark}path"))
+    every = settled(evidence(given, model, [*carry, f"{mark}host", f"{mark}path"], f"{mark}own"), "evidence")  # texts are read by the classifier once
+    means, corpus = posteriors(every.select(host_.alias("host"), path_.alias("path"), (1 / (1 + F.exp(-own))).alias("p")))
     logit = lambda c: F.log(c / (1 - c))
-    shift = means.select(F.col("host").alias("__host"), F.col("path").alias("__path"), (logit(F.least(F.greatest("mean", F.lit(1e-6)), F.lit(1 - 1e-6))) - F.lit(float(np.log(corpus / (1 - corpus))))).alias("__shift"))
-    final = 1 / (1 + F.exp(-(F.col("__own") + F.col("__shift"))))
-    return every.join(shift, ["__host", "__path"]).select(*carry, "__host", "__path", "__own", final.alias("__p"), (final >= threshold).alias("__keep"))
+    shift = means.select(F.col("host").alias(f"{mark}host"), F.col("path").alias(f"{mark}path"), (logit(F.least(F.greatest("mean", F.lit(1e-6)), F.lit(1 - 1e-6))) - F.lit(float(np.log(corpus / (1 - corpus))))).alias(f"{mark}shift"))
+    final = 1 / (1 + F.exp(-(own + F.col(f"{mark}shift"))))
+    return every.join(shift, [f"{mark}host", f"{mark}path"]).select(*carry, host_, path_, own, final.alias(f"{mark}p"), (final >= threshold).alias(f"{mark}keep"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, threshold: float = 0.5) -> DataFrame:

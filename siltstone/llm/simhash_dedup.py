@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text"):
             own = texts(part)
-            fps, marks = (np.array([f(t) for t in own], np.uint64).view(np.int64) for f in (lambda t: fingerprint(t, shingle), xxhash.xxh64_intdigest))
+            fps, marks = (np.array([f(t) for t in own], np.uint64).view(np.int64) for f in (lambda t: fingerprint(t, shingle), lambda t: xxhash.xxh64_intdigest(t, 42)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(marks), pa.array(fps)], ["doc_id", "text_hash", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, text_hash long, fp long")
@@ -209,7 +209,7 @@ def simhash_groups(docs: DataFrame, budget: int = 4, shingle: int = 4) -> DataFr
     component_id is the smallest doc_id reachable by links, itself included; kept: doc_id = component_id. Null or empty
     texts have fingerprint zero and link like others. A row with null doc_id is fingerprinted and links, but can't name a
     component; without a named document its component is null, and kept false. Rows that repeat a doc_id are given as
-    often as they come. No rows give none. text_hash: XXH64 of the text (null as empty), which together with doc_id tells
+    often as they come. No rows give none. text_hash: xxhash64 of the text (null as empty), which together with doc_id tells
     rows apart; first: whether the row stands for its component, by doc_id (null last) and then text_hash.
     """
     prepared(docs.sparkSession)
