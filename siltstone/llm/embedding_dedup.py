@@ -1,26 +1,28 @@
 """Near-duplicate embeddings by small-world graphs.
 
 Vectors are compared inside a label (and a number of dimensions). Equal vectors are put together first, with their
-number. A label's vectors are dealt by a hash to shards of bounded size; a unit of work is a pair of shards: a
-hierarchical navigable small-world graph of one is built, and every vector of the other searches it. A beam that is
-full of links is widened; then an audit holds what the beams found against exact products of the same two shards,
+number. A label's vectors are dealt by a hash to shards of bounded size. A hierarchical navigable small-world graph is
+built once for each shard and stored with it; every vector of the shard, and of all shards before it, searches it. A beam
+that is full of links is widened; then an audit holds what the beams found against exact products of the same two shards,
 and the beams of the queries that missed a link are widened again until nothing is missed (a beam as wide as the shard
-sees all of it). Found pairs are verified by cosine in double precision. A unit returns a row for each vector (its links
-there, and its root), never a pair.
+sees all of it). Found pairs are verified by cosine in double precision. A pair of shards gives a link for each vector (to its
+root there), and how many it has, never a pair of vectors.
 """
 
 from __future__ import annotations
 
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepared, settled
+from .common import cut, joined_on_hot, prepared, settled
 from .components import connected_components, roots
 
 SHARD = 8192
+#: Components of all vectors of a shard together, at most; vectors of many dimensions have smaller shards.
+SHARD_NUMBERS = 1 << 22
 #: The products of a search are in single precision; a pair this far below the threshold is still verified in double.
 SLACK = 1e-4
 
@@ -37,6 +39,18 @@ class Graph:
             tops.append(max(1, tops[-1] // (2 * links)))
         self.layers = [self._build(size, beam, batch) for size in tops[::-1]]
 
+    def stored(self) -> list[bytes]:
+        """The order and the layers, as from_stored takes them."""
+        return [x.astype("<i4").tobytes() for x in (self.order, *self.layers)]
+
+    @classmethod
+    def from_stored(cls, x: np.ndarray, parts: list[bytes], links: int = 12) -> Graph:
+        graph = cls.__new__(cls)
+        graph.x, graph.links = x, links
+        graph.order, *layers = (np.frombuffer(p, "<i4").astype(np.int64) for p in parts)
+        graph.v, graph.layers = x[graph.order], [v.reshape(-1, 2 * links) for v in layers]
+        return graph
+
     def _build(self, size: int, beam: int, batch: int) -> np.ndarray:
         """The layer of the first `size` points: a first block by exact products, then batches that search it."""
         m = 2 * self.links
@@ -164,15 +178,16 @@ def unit_rows(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def near_pairs(x: np.ndarray, y: np.ndarray | None, threshold: float, beam: int = 48, audit: float = 1.0) -> tuple[np.ndarray, np.ndarray, dict]:
+def near_pairs(x: np.ndarray, y: np.ndarray | None, threshold: float, beam: int = 48, audit: float = 1.0, graph: Graph | None = None) -> tuple[np.ndarray, np.ndarray, dict]:
     """Index pairs (into x, into y; y None: both into x, first below second) with cosine >= threshold, and what was done.
 
-    audit: share of the queries that are held against exact products; the default is all of them.
+    audit: share of the queries that are held against exact products; the default is all of them. graph: that of y, if
+    there is one already.
     """
     same = y is None
     y = x if same else y
     xf, yf = x.astype(np.float32), y.astype(np.float32)
-    graph, low = Graph(yf), np.float32(threshold - SLACK)
+    graph, low = graph or Graph(yf), np.float32(threshold - SLACK)
     found: dict[int, np.ndarray] = {}
     todo, wide, widened, missed = np.arange(len(x)), beam, 0, 0
     first = True
@@ -210,7 +225,82 @@ def near_pairs(x: np.ndarray, y: np.ndarray | None, threshold: float, beam: int
         code = np.unique(a * len(y) + b)
         a, b = code // len(y), code % len(y)
     ok = np.concatenate([np.einsum("id,id->i", x[a[k : k + (1 << 17)]], y[b[k : k + (1 << 17)]]) >= threshold for k in range(0, len(a), 1 << 17)] or [np.zeros(0, bool)])
-    return a[ok], b[ok], {"widened": widened, "missed": missed}
+    return a[ok], b[ok], {"queries": len(x), "links": int(ok.sum()), "widened": widened, "missed": missed}
+
+
+#: What became of a pair of shards: the links of its vectors, each as (node, root), how many each has, and the audit.
+_NODES = "ids array<bigint>, hashes array<bigint>"
+_DONE = "counts array<bigint>, roots array<int>, queries bigint, links bigint, widened bigint, missed bigint"
+_SHARD = f"label string, dim int, p bigint, i bigint, j bigint, {_NODES}, sizes array<bigint>, v binary, graph array<binary>, {_DONE}"
+_PAIR = f"label string, dim int, i bigint, j bigint, {_NODES}, {_DONE}"
+
+
+def _columns(schema: str, **values) -> pa.Table:
+    """One row of the schema's columns."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<binary>": pa.list_(pa.binary())}
+    return pa.table({c: pa.array([values[c]], kinds[k]) for c, k in (x.split() for x in schema.split(", "))})
+
+
+def _linked(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> dict:
+    """Roots, and numbers of linked vectors, of nodes that stand for so many equal vectors each."""
+    n = len(sizes)
+    count = np.bincount(a, sizes[b], n) + np.bincount(b, sizes[a], n) if len(a) else np.zeros(n)
+    return {"counts": count.astype(np.int64), "roots": roots(n, a, b).astype(np.int32)}
+
+
+def _links(alike: DataFrame, threshold: float, shard: int, beam: int, audit: float) -> DataFrame:
+    """_PAIR for each shard of (label, dim, id, h, n, v) with itself (i = j), and for each two shards of a label (i < j)."""
+    rows_of = F.greatest(F.lit(1), F.least(F.lit(shard), F.floor(F.lit(SHARD_NUMBERS) / F.greatest("dim", F.lit(1)))))
+    shards = alike.groupBy("label", "dim").agg(F.ceil(F.count("*") / rows_of).cast("long").alias("p"))
+    # Dealt by shard: the join's own partitioning, by label, would put all shards of a label into one task.
+    dealt = alike.join(shards, ["label", "dim"]).withColumn("own", F.pmod("h", F.col("p"))).repartition("label", "dim", "own")
+
+    def build(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("id", "ascending"), ("h", "ascending")]).combine_chunks()
+        dim, n = table.column("dim")[0].as_py(), len(table)
+        x = unit_rows(table.column("v").combine_chunks().flatten().to_numpy().reshape(n, dim))
+        graph, sizes = Graph(x.astype(np.float32)), table.column("n").to_numpy()
+        a, b, seen = near_pairs(x, None, threshold, beam, audit, graph)
+        own = {c: table.column(c)[0].as_py() for c in ("label", "p")}
+        k = table.column("own")[0].as_py()
+        return _columns(_SHARD, **own, dim=dim, i=k, j=k, ids=table.column("id").to_numpy(), hashes=table.column("h").to_numpy(), sizes=sizes, v=x.tobytes(), graph=graph.stored(), **_linked(a, b, sizes), **seen)
+
+    def meet(table: pa.Table) -> pa.Table:
+        ask, have = sorted(table.to_pylist(), key=lambda r: r["own"])
+        x, y = (np.frombuffer(r["v"], np.float64).reshape(-1, r["dim"]) for r in (ask, have))
+        a, b, seen = near_pairs(x, y, threshold, beam, audit, Graph.from_stored(y.astype(np.float32), have["graph"]))
+        both = {c: ask[c] + have[c] for c in ("ids", "hashes", "sizes")}
+        return _columns(_PAIR, **{c: ask[c] for c in ("label", "dim", "i", "j")}, **both, **_linked(a, b + len(x), np.array(both["sizes"])), **seen)
+
+    packed = settled(dealt.groupBy("label", "dim", "own").applyInArrow(build, _SHARD), "graphs")
+    # Each shard goes to each of its label's others, the later one of two with its graph; the two make a group of their own.
+    other = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("p") - 1), lambda k: k != F.col("i")))
+    sides = packed.where("p > 1").select("label", "dim", F.col("i").alias("own"), other.alias("other"), "ids", "hashes", "sizes", "v", "graph")
+    keyed = sides.select("label", "dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "ids", "hashes", "sizes", "v", F.when(F.col("own") > F.col("other"), F.col("graph")).alias("graph"))
+    met = keyed.groupBy("label", "dim", "i", "j").applyInArrow(meet, _PAIR)
+    return settled(packed.select(*[x.split()[0] for x in _PAIR.split(", ")]).unionByName(met), "links")
+
+
+def _prepared_vectors(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All rows (vec_id, v, label, usable), and the distinct usable vectors (label, dim, id, h, n, v) of them."""
+    prepared(embeddings.sparkSession)
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label"))
+    bad = F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    some = F.exists("v", lambda c: c != 0)
+    rows = settled(rows.withColumn("usable", F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & ~bad & some, F.lit(False))), "vectors")
+    alike = rows.where("usable").groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
+    return rows, settled(alike.withColumns({"dim": F.size("v"), "h": F.xxhash64("label", "v")}), "distinct")
+
+
+def recall_audit(embeddings: DataFrame, threshold: float = 0.98, shard: int = SHARD, beam: int = 48) -> DataFrame:
+    """(label, dim, i, j, queries, links, missed, widened, recall) for each pair of shards.
+
+    missed: how often an audit found a query whose beam had passed over a link, and it was widened therefore; recall: the share of
+    queries without that. The links themselves are whole after the audit. Odd rows: see embedding_groups.
+    """
+    _, alike = _prepared_vectors(embeddings)
+    share = F.greatest(F.lit(0.0), 1 - F.col("missed") / F.col("queries"))
+    return _links(alike, threshold, shard, beam, 1.0).select("label", "dim", "i", "j", "queries", "links", "missed", "widened", share.alias("recall"))
 
 
 def embedding_groups(embeddings: DataFrame, threshold: float = 0.98, shard: int = SHARD, beam: int = 48, audit: float = 1.0) -> DataFrame:
@@ -220,43 +310,18 @@ def embedding_groups(embeddings: DataFrame, threshold: float = 0.98, shard: int
     are null, empty, zero, or hold null or non-finite components link with nothing, nor do rows without vec_id (theirs
     is component null, kept false). Equal vectors link with each other; rows that repeat a vec_id count as vectors each.
     component_id: the smallest vec_id reachable, itself included; kept: vec_id = component_id. Other columns are
-    ignored; no rows give none.
+    ignored; no rows give none. See recall_audit for what the beams missed before they were widened.
     """
-    spark = prepared(embeddings.sparkSession)
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label"))
-    bad = F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    some = F.exists("v", lambda c: c != 0)
-    rows = settled(rows.withColumn("usable", F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & ~bad & some, F.lit(False))), "vectors")
-    alike = settled(rows.where("usable").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("dim", F.size("v")), "distinct")
-    shards = alike.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard).cast("long").alias("p"))
-    cells = (
-        alike.join(shards, ["label", "dim"])
-        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("p")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("p") - 1)))
-        .select("label", "dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "v")
-    )
-
-    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["own", "rep"], kind="stable")
-        i, j = key[2], key[3]
-        x = unit_rows(np.stack(pdf["v"].to_numpy()).astype(np.float64))
-        cut_ = int((pdf["own"] == i).sum())
-        a, b, _ = near_pairs(x, None, threshold, beam, audit) if i == j else near_pairs(x[:cut_], x[cut_:], threshold, beam, audit) if 0 < cut_ < len(x) else ([], [], {})
-        a, b = np.asarray(a, np.int64), np.asarray(b, np.int64) + (0 if i == j else cut_)
-        n, rep = pdf["n"].to_numpy(), pdf["rep"].to_numpy()
-        count = np.bincount(a, n[b], len(n)) + np.bincount(b, n[a], len(n)) if len(a) else np.zeros(len(n))
-        at = roots(len(n), a, b)
-        return pd.DataFrame({"rep": rep, "count": count.astype(np.int64), "root": rep[at]})
-
-    per_unit = settled(cells.groupBy("label", "dim", "i", "j").applyInPandas(solve, "rep long, count long, root long"), "links")
-    counts = per_unit.groupBy("rep").agg(F.sum("count").alias("count"))
-    comps = connected_components(per_unit.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    node = F.coalesce("root", "rep")
-    named = cut(alike.select("label", "v", "rep", "n").join(counts, "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("label", "v", "rep", F.col("n").alias("own"), "count", node.alias("component_id")))
+    rows, alike = _prepared_vectors(embeddings)
+    done = _links(alike, threshold, shard, beam, audit)
+    node = lambda k: F.struct(F.get("ids", k).alias("id"), F.get("hashes", k).alias("h"))
+    per_unit = done.select("ids", "hashes", F.posexplode(F.arrays_zip("counts", "roots")).alias("k", "x")).select(node(F.col("k")).alias("a"), node(F.col("x.roots")).alias("b"), F.col("x.counts").alias("count"))
+    counts = per_unit.groupBy("a").agg(F.sum("count").alias("count"))
+    comps = connected_components(per_unit.select("a", "b"))
+    own = alike.select("label", "v", "n", F.struct("id", "h").alias("a")).join(counts, "a").join(comps.withColumnRenamed("node", "a"), "a", "left")
+    named = cut(own.select("label", "v", "n", "count", F.coalesce("root.id", "a.id").alias("component_id")))
 
     kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))
-    linked = rows.where("usable").join(named, ["label", "v"]).select("vec_id", (F.col("count") + F.col("own") - 1).alias("n_links"), "component_id")
+    linked = joined_on_hot(rows.where("usable").select("vec_id", "label", "v"), named, ["label", "v"], "n").select("vec_id", (F.col("count") + F.col("n") - 1).alias("n_links"), "component_id")
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", kept)
-
-

@@ -85,10 +85,48 @@ def test_trie_links(spark, unit):
     fps = np.unique(np.concatenate((base, np.array(near, np.uint64), base[:1] ^ np.arange(40, dtype=np.uint64))))
     i, j = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None]) <= 4, 1))
     want = roots(len(fps), i, j)
-    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    place = {int(x): k for k, x in enumerate(fps.view(np.int64))}
-    links = [(place[x.a], place[x.b]) for x in simhash_dedup.links(df, 4, unit).collect()]
-    assert plain_components(len(fps), links) == want.tolist()
+    df = spark.createDataFrame([(int(x), k % 7 == 0, k) for k, x in enumerate(fps.view(np.int64))], "fp long, nameless boolean, id long")
+    links = [(x.a, x.b) for x in simhash_dedup.links(df, 4, unit).collect()]
+    assert links and all(x.nameless == (x.id % 7 == 0) for pair in links for x in pair)
+    assert plain_components(len(fps), [(a.id, b.id) for a, b in links]) == want.tolist()
+
+
+def test_trie_is_walked_and_pruned():
+    """Every link comes from the walk, which sees a small part of all pairs, also of few leaves."""
+    r = np.random.default_rng(4)
+    base = r.integers(0, 2**63, 1500, dtype=np.uint64)
+    fps = np.unique(np.concatenate((base, base[:100] ^ np.uint64(1 << 40), base[:50] ^ np.uint64(7), base[100:120] ^ np.uint64(31 << 20))))
+    near = np.triu(np.bitwise_count(fps[:, None] ^ fps[None]) <= 4, 1)
+    seen: dict[str, int] = {}
+    at = simhash_dedup.trie_links(fps, np.array([[0, len(fps), 0, len(fps)]]), 4, seen)
+    assert at.tolist() == roots(len(fps), *np.nonzero(near)).tolist()
+    # A link between leaves of one component may be passed over, never one that joins two.
+    assert len(np.unique(at)) == len(fps) - np.count_nonzero(at != np.arange(len(fps))) and 0 < seen["links"] <= near.sum()
+    assert 0 < seen["over"] < seen["visited"] < near.size / 4
+    for few in (fps[:1], fps[:2], np.array([5, 6, 7, 2**63 + 5], np.uint64)):
+        seen = {}
+        simhash_dedup.trie_links(few, np.array([[0, len(few), 0, len(few)]]), 4, seen)
+        pairs = np.nonzero(np.triu(np.bitwise_count(few[:, None] ^ few[None]) <= 4, 1))
+        assert seen["visited"] >= min(len(few), 2) and seen["links"] <= len(pairs[0])
+        assert seen["links"] >= len(few) - len(np.unique(roots(len(few), *pairs)))
+
+
+def test_text_hash_is_that_of_the_engine(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, "abc"), (2, ""), (3, None), (4, "\u00e9 " * 500)], "doc_id long, text string")
+    want = {x.doc_id: x.h for x in df.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    assert {x.doc_id: x.text_hash for x in simhash_dedup.simhash_groups(df).collect()} == want
+
+
+def test_first_rows(spark):
+    """One row stands for each component; rows that repeat both id and text stand together, nameless ones are told apart by their texts."""
+    texts = [(None, "one two three four five"), (None, "one two three four five"), (None, "another text of six words here"), (4, "one two three four five six"), (4, "something else in this row"), (9, "Something else in this row"), (9, None), (3, "")]
+    got = simhash_case(spark, [(i, t, 0, 0, "", 0) for i, t in texts])
+    mark = lambda t: xxhash.xxh64((t or "").encode(), 42).intdigest()
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    first = sorted((x.doc_id or 0, x.text_hash) for x in got if x.first)
+    assert first == sorted([(0, signed(mark(texts[0][1])))] * 2 + [(0, signed(mark(texts[2][1]))), (4, signed(mark(texts[3][1]))), (4, signed(mark(texts[4][1]))), (3, signed(mark("")))])
 
 
 def test_embeddings_against_all_pairs(spark):
@@ -112,6 +150,36 @@ def test_embeddings_against_all_pairs(spark):
     assert embedding_dedup.embedding_groups(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_repeated_ids(spark):
+    """An id that is given to two vectors is two vectors: neither has the links of the other."""
+    e = [[float(k == i) for k in range(4)] for i in range(4)]
+    df = spark.createDataFrame([(5, e[0], 1), (5, e[1], 1), (7, e[0], 1), (9, e[1], 1), (9, e[1], 1), (4, e[1], 2)], "vec_id long, embedding array<float>, label int")
+    got = sorted((x.vec_id, x.n_links, x.component_id, x.kept) for x in embedding_dedup.embedding_groups(df).collect())
+    assert got == [(4, 0, 4, True), (5, 1, 5, True), (5, 2, 5, True), (7, 1, 5, False), (9, 2, 5, False), (9, 2, 5, False)]
+
+
+def test_recall_audit(spark):
+    """The audit's figures are those of all pairs, and a graph is built once for each shard."""
+    r = np.random.default_rng(6)
+    base = r.standard_normal((30, 16))
+    x = np.concatenate([base + r.standard_normal((30, 16)) * 0.02 for _ in range(8)])
+    df = spark.createDataFrame([(k, v, 1) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = embedding_dedup.recall_audit(df, shard=64, beam=4).collect()
+    shards = {g.i for g in got}
+    assert len(shards) > 2 and sorted((g.i, g.j) for g in got) == sorted((i, j) for i in shards for j in shards if i <= j)
+    assert sum(g.links for g in got) == np.triu(u @ u.T >= 0.98, 1).sum()
+    assert all(0 <= g.recall <= 1 for g in got) and sum(g.queries for g in got if g.i == g.j) == len(x)
+
+
+def test_stored_graph():
+    x = embedding_dedup.unit_rows(np.random.default_rng(2).standard_normal((900, 24))).astype(np.float32)
+    graph = embedding_dedup.Graph(x)
+    again = embedding_dedup.Graph.from_stored(x, graph.stored())
+    for a, b in zip(graph.search(x[:50], 32), again.search(x[:50], 32), strict=True):
+        assert (a == b).all()
+
+
 def test_graph_recall():
     x = embedding_dedup.unit_rows(np.random.default_rng(1).standard_normal((1500, 24))).astype(np.float32)
     ids, _ = embedding_dedup.Graph(x).search(x[:200], 64)
@@ -120,6 +188,11 @@ def test_graph_recall():
 
 
 def edits(a, b):
+    """Edit distance; what the two have in common at either end doesn't count, and is passed over first."""
+    k = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    a, b = a[k:], b[k:]
+    k = next((k for k, (x, y) in enumerate(zip(a[::-1], b[::-1], strict=False)) if x != y), min(len(a), len(b)))
+    a, b = a[: len(a) - k], b[: len(b) - k]
     d = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         d, prev = [i], d
@@ -128,7 +201,7 @@ def edits(a, b):
     return d[-1]
 
 
-def plain_lines(rows, min_chars=20):
+def plain_lines(rows, per_edit=5):
     seen, out = [], {}
     for doc, text in sorted(rows, key=lambda x: x[0]):
         kept = []
@@ -137,7 +210,7 @@ def plain_lines(rows, min_chars=20):
             if not bare:
                 kept.append(line)
                 continue
-            if not any(bare == s or (min(len(s), len(bare)) >= min_chars and abs(len(s) - len(bare)) <= 1 and edits(s, bare) <= 1) for s in seen):
+            if not any(bare == s or (max(len(s), len(bare)) >= per_edit and abs(len(s) - len(bare)) <= 1 and edits(s, bare) <= 1) for s in seen):
                 kept.append(line)
             seen.append(bare)
         out[doc] = "\n".join(kept)
@@ -146,7 +219,7 @@ def plain_lines(rows, min_chars=20):
 
 def test_line_dedup_against_all_pairs(spark):
     r = random.Random(4)
-    lines = ["".join(r.choice("abé x") for _ in range(r.choice([5, 18, 19, 20, 21, 40]))) for _ in range(40)]
+    lines = ["".join(r.choice("abé x") for _ in range(r.choice([1, 2, 3, 4, 5, 6, 9, 20, 21, 40]))) for _ in range(60)]
 
     def changed(s):
         k = r.randrange(len(s))
@@ -158,8 +231,22 @@ def test_line_dedup_against_all_pairs(spark):
     got = line_dedup.line_dedup(df).collect()
     assert {x.doc_id: x.text for x in got} == plain_lines(rows)
     assert all(x.row.row == "extra" and x.row.k == 3 for x in got)
+    every = line_dedup.line_dedup(df, per_edit=0).collect()
+    assert {x.doc_id: x.text for x in every} == plain_lines(rows, per_edit=0)
     exact = line_dedup.line_dedup(df, max_edits=0).collect()
-    assert {x.doc_id: x.text for x in exact} == plain_lines(rows, min_chars=10**9)
+    assert {x.doc_id: x.text for x in exact} == plain_lines(rows, per_edit=10**9)
+
+
+def test_line_variants_come_in_bounded_batches():
+    """A line of a million characters, and many short ones: no batch is larger than BATCH, and none is tiny."""
+    import pyarrow as pa
+
+    long, at = "ab" * 500_000, {"d": 1, "k": 2, "i": 3}
+    kinds = [pa.binary(), pa.struct([("d", pa.int64()), ("k", pa.int64()), ("i", pa.int32())]), pa.string(), pa.int32()]
+    rows = [(b"h", at, long, 1), *[(b"s", at, "short", 15)] * 1000]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["h", "at", "line", "roles"])
+    sizes = [x.num_rows for x in line_dedup._variant_rows([batch])]
+    assert max(sizes) < 2 * line_dedup.BATCH and sum(sizes) == 500_001 + 1000 * 11 and len(sizes) <= 9
 
 
 def test_line_dedup_odd_rows(spark):
