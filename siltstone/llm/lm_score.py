@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +31,8 @@ CLASSES, WITHIN, HIDDEN = 32, 32, 16
 #: The least vocabulary.
 VOCABULARY = CLASSES * WITHIN
 BUCKETS = 64
-#: Counts of so many of the words in buckets are sent to the workers; those of all the others are joined.
-FREQUENT = 1 << 17
+#: Counts of so many of the words in buckets are sent to the workers, by 64-bit hashes of the words; those of all the others are joined.
+FREQUENT = 1 << 19
 SIDES = (-2, -1, 1, 2)
 CHUNK = 16384
 BLOCK = 4096
@@ -80,14 +81,11 @@ class Network:
     def side(self) -> int:
         return self.top.shape[1]
 
-    def _by_class(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        """Order of tokens by class, and the slots that they fill in a table of a row block for each class."""
+    def _by_class(self, tokens: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+        """Order of tokens by class, and the rows of each class that occurs in it."""
         c = (tokens // self.side).astype(np.int16)
-        order = np.argsort(c, kind="stable")
-        n = np.bincount(c, minlength=self.side)
-        most = int(n.max())
-        c = c[order].astype(np.int64)
-        return order, c, np.arange(len(c)) - (np.cumsum(n) - n)[c], most
+        edges = np.concatenate(([0], np.cumsum(np.bincount(c, minlength=self.side)))).tolist()
+        return np.argsort(c, kind="stable"), [(k, slice(a, b)) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         h = np.take(self.embed[0], context[0], axis=0)
@@ -99,33 +97,36 @@ class Network:
         """log P of each token given its context (sides, n); with `learn` also the gradient of their mean."""
         n = len(tokens)
         h = self.hidden(context)
-        order, c, slot, most = self._by_class(tokens)
+        order, classes = self._by_class(tokens)
         top = h @ self.top
         top -= top.max(1, keepdims=True)
-        p_top = np.exp(top)
+        rows, cls_ = np.arange(n), tokens // self.side
+        log_p = top[rows, cls_]
+        p_top = np.exp(top, out=top)
         z = p_top.sum(1)
-        cls_ = tokens // self.side
-        log_p = top[np.arange(n), cls_] - np.log(z)
-        block = np.zeros((self.side, most, HIDDEN + 1), np.float32)
-        block[c, slot] = h[order]
-        low = np.matmul(block, self.low)
-        low -= low.max(2, keepdims=True)
-        p_low = np.exp(low)
-        z_low = p_low.sum(2)
+        log_p -= np.log(z)
+        own, low = h[order], np.empty((n, self.side), np.float32)
+        for c, at in classes:
+            np.matmul(own[at], self.low[c], out=low[at])
+        low -= low.max(1, keepdims=True)
         word = (tokens % self.side)[order]
-        log_p[order] += low[c, slot, word] - np.log(z_low[c, slot])
+        picked = low[rows, word]
+        p_low = np.exp(low, out=low)
+        z_low = p_low.sum(1)
+        log_p[order] += picked - np.log(z_low)
         if not learn:
             return log_p
         p_top /= z[:, None]
-        p_top[np.arange(n), cls_] -= 1
-        p_low /= z_low[:, :, None]
-        p_low[c, slot, word] -= 1
-        empty = np.ones((self.side, most), bool)
-        empty[c, slot] = False
-        p_low[empty] = 0
-        g_low = np.matmul(block.transpose(0, 2, 1), p_low) / n
+        p_top[rows, cls_] -= 1
+        p_low /= z_low[:, None]
+        p_low[rows, word] -= 1
+        g_low, back = np.zeros_like(self.low), np.empty_like(own)
+        for c, at in classes:
+            np.matmul(own[at].T, p_low[at], out=g_low[c])
+            np.matmul(p_low[at], self.low[c].T, out=back[at])
+        g_low /= n
         d = p_top @ self.top.T
-        d[order] += np.matmul(p_low, self.low.transpose(0, 2, 1))[c, slot]
+        d[order] += back
         d = (d * (1 - h * h))[:, :-1] / n
         g_embed = np.zeros_like(self.embed)
         for k in range(len(SIDES)):
@@ -194,7 +195,28 @@ def vocabulary(counts: DataFrame) -> tuple[dict[bytes, int], np.ndarray, np.ndar
     return ids, other, n, held
 
 
-def shares(counts: DataFrame, ids: dict[bytes, int], held: np.ndarray, frequent: int) -> tuple[dict[bytes, float], DataFrame]:
+class Shares:
+    """log P of a word given its bucket, by the word's hash, in 16 bytes a word."""
+
+    def __init__(self, words: list[bytes], share: np.ndarray) -> None:
+        mark = self.marks(words)
+        by = np.argsort(mark)
+        self.mark, self.share = mark[by], share[by]
+
+    @staticmethod
+    def marks(words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """NaN for words that are not among them."""
+        if not len(self.mark):
+            return np.full(len(words), np.nan)
+        mark = self.marks(words)
+        at = np.minimum(np.searchsorted(self.mark, mark), len(self.mark) - 1)
+        return np.where(self.mark[at] == mark, self.share[at], np.nan)
+
+
+def shares(counts: DataFrame, ids: dict[bytes, int], held: np.ndarray, frequent: int) -> tuple[Shares, DataFrame]:
     """log P of a word given its bucket: those of up to `frequent` words, and (word, share) of all the rarer ones."""
     above, least = 0, None
     for n, words in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
@@ -205,7 +227,9 @@ def shares(counts: DataFrame, ids: dict[bytes, int], held: np.ndarray, frequent:
     often = counts.where(F.col("n") >= least) if least is not None else counts.limit(0)
     log = np.log(np.maximum(held, 1))
     table = often.toArrow()
-    sent = {w: math.log(n) - float(log[bucket(w)]) for w, n in zip(table.column("word").to_pylist(), table.column("n").to_pylist(), strict=True) if w not in ids}
+    every = [(w, n) for w, n in zip(table.column("word").to_pylist(), table.column("n").to_pylist(), strict=True) if w not in ids]
+    words = [w for w, _ in every]
+    sent = Shares(words, np.log(np.fromiter((n for _, n in every), np.float64, len(every))) - log[np.fromiter(map(bucket, words), np.int64, len(words))])
     rest = counts if least is None else counts.where(F.col("n") < least)
     by_bucket = F.array(*[F.lit(float(x)) for x in log])
     return sent, rest.select("word", (F.log("n") - F.get(by_bucket, (F.crc32("word") % BUCKETS).cast("int"))).alias("share"))
@@ -268,7 +292,7 @@ def pseudo_likelihood(docs: DataFrame, rate: float = 0.1, frequent: int = FREQUE
             tokens, starts, codes, distinct = tokenised(texts(part), ids_, other_)
             around = contexts(tokens, starts, side * side)
             log_p = np.concatenate([*[net_.pass_(tokens[k : k + CHUNK], around[:, k : k + CHUNK]) for k in range(0, len(tokens), CHUNK)], np.zeros(0)])
-            share = np.fromiter((0.0 if w in ids_ else often_.get(w, np.nan) for w in distinct), np.float64, len(distinct))
+            share = np.where(np.fromiter((w in ids_ for w in distinct), bool, len(distinct)), 0.0, often_.of(distinct))
             rare = np.isnan(share)
             at = np.flatnonzero(rare[codes])
             log_p += np.where(rare, 0, share)[codes]
