@@ -4,8 +4,9 @@ P(grade <= k) = logistic(theta_k - w x) for grades 0..K with one weight vector w
 hashed words and beginnings of words (by their share in the text), and the weights are kept sparse by an L1 step.
 The expected severity is the sum over k of P(grade > k).
 
-Labels that only say toxic or not are graded first: words that stand out in toxic texts make a lexicon, and the toxic texts
-are ranked by the share of it in them, the upper half getting the next grade.
+Labels that only say toxic or not are graded first: words that stand out in the toxic texts of one half of the sample make a
+lexicon, and the toxic texts of the other half are ranked by the share of it in them, the upper half getting the next grade;
+so no text is graded by a lexicon that it had a part in.
 """
 
 from __future__ import annotations
@@ -54,13 +55,17 @@ def grades(x: Sparse, toxic: np.ndarray, levels: int = 2) -> np.ndarray:
     y = (toxic > 0).astype(np.int64)
     if not y.any() or y.all() or levels < 2:
         return y
-    size = 1 << BITS
-    ones = Sparse(x.index, np.ones(len(x.index)), x.starts)
-    rate = [(ones.tdot(c.astype(float), size) + 0.5) / (c.sum() + 1) for c in (y == 1, y == 0)]
-    lexicon = (np.log(rate[0] / rate[1]) > 2) & (ones.tdot((y == 1).astype(float), size) >= 5)
-    share = Sparse(x.index, np.expm1(x.value), x.starts).dot(lexicon.astype(float))
-    cuts = np.quantile(share[y == 1], np.arange(1, levels) / levels)
-    return np.where(y == 1, 1 + np.searchsorted(cuts, share, "right"), 0)
+    size, fold, out = 1 << BITS, np.arange(len(y)) % 2, y.copy()
+    ones, much = Sparse(x.index, np.ones(len(x.index)), x.starts), Sparse(x.index, np.expm1(x.value), x.starts)
+    for k in (0, 1):
+        seen = [(y == c) & (fold != k) for c in (1, 0)]
+        rate = [(ones.tdot(m.astype(float), size) + 0.5) / (m.sum() + 1) for m in seen]
+        lexicon = (np.log(rate[0] / rate[1]) > 2) & (ones.tdot(seen[0].astype(float), size) >= 5)
+        own = (y == 1) & (fold == k)
+        if own.any():
+            share = much.dot(lexicon.astype(float))[own]
+            out[own] = 1 + np.searchsorted(np.quantile(share, np.arange(1, levels) / levels), share, "right")
+    return out
 
 
 def _logistic(z: np.ndarray) -> np.ndarray:
@@ -76,43 +81,52 @@ class CumulativeLink:
         """P(grade > k) for k = 0..K-1, a column each."""
         return _logistic(x.dot(self.weights)[:, None] - self.thresholds)
 
+    @staticmethod
+    def loss(x: Sparse, y: np.ndarray, params: np.ndarray, k: int) -> tuple[float, np.ndarray]:
+        """Mean negative log-likelihood of grades y, and its gradient, for params: k weights, the first threshold, log gaps of the others."""
+        n, rows = len(x), np.arange(len(x))
+        theta = _thetas(params, k)
+        below = np.concatenate((np.zeros((n, 1)), _logistic(theta - x.dot(params[:k])[:, None]), np.ones((n, 1))), 1)
+        lo, hi = below[rows, y], below[rows, y + 1]
+        p = np.maximum(hi - lo, 1e-12)
+        dlo, dhi = lo * (1 - lo), hi * (1 - hi)
+        gt = np.zeros(len(theta) + 2)
+        np.add.at(gt, y + 1, -dhi / p / n)
+        np.add.at(gt, y, dlo / p / n)
+        tail = np.cumsum(gt[1:-1][::-1])[::-1]
+        return float(-np.log(p).mean()), np.concatenate((x.tdot((dhi - dlo) / p / n, k), tail[:1], tail[1:] * np.exp(params[k + 1 :])))
+
     @classmethod
-    def fit(cls, x: Sparse, y: np.ndarray, top: int, steps: int = 400, l1: float = 3e-4, rate: float = 0.1) -> CumulativeLink:
-        """Full-batch proximal Adam on the negative log-likelihood of y in 0..top; no rows or one grade give no weights."""
+    def fit(cls, x: Sparse, y: np.ndarray, top: int, steps: int = 400, l1: float = 3e-4, rate: float = 0.1, patience: int = 20, least: float = 2e-3) -> CumulativeLink:
+        """Full-batch proximal Adam on the negative log-likelihood of y in 0..top, until it falls by less than the share `least`
+        in `patience` steps; no rows or one grade give no weights."""
         size, n = 1 << BITS, len(x)
         share = np.array([((y > k).sum() + 0.5) / (n + 1) for k in range(top)])
         first = -np.log(share / (1 - share))
         theta = np.maximum.accumulate(first + 1e-3 * np.arange(top))
-        w = np.zeros(size)
+        weights = np.zeros(size)
         if not n or y.min() == y.max():
-            return cls(w, theta)
+            return cls(weights, theta)
         used = np.unique(x.index)
-        own = Sparse(np.searchsorted(used, x.index), x.value, x.starts)
-        w, gaps = np.zeros(len(used)), np.log(np.maximum(np.diff(theta), 1e-3))
-        params, m, v = np.concatenate((w, theta[:1], gaps)), np.zeros(len(used) + top), np.zeros(len(used) + top)
-        rows, k = np.arange(n), len(used)
+        own, k = Sparse(np.searchsorted(used, x.index), x.value, x.starts), len(used)
+        params = np.concatenate((np.zeros(k), theta[:1], np.log(np.maximum(np.diff(theta), 1e-3))))
+        m, v, losses = np.zeros(k + top), np.zeros(k + top), []
         for t in range(1, steps + 1):
-            theta = params[k] + np.concatenate(([0.0], np.cumsum(np.exp(params[k + 1 :]))))
-            below = np.concatenate((np.zeros((n, 1)), _logistic(theta - own.dot(params[:k])[:, None]), np.ones((n, 1))), 1)
-            lo, hi = below[rows, y], below[rows, y + 1]
-            p = np.maximum(hi - lo, 1e-12)
-            dlo, dhi = lo * (1 - lo), hi * (1 - hi)
-            gz = (dhi - dlo) / p / n  # of the loss by w x
-            gt = np.zeros(top + 2)
-            np.add.at(gt, y + 1, -dhi / p / n)
-            np.add.at(gt, y, dlo / p / n)
-            gt = gt[1:-1]
-            tail = np.cumsum(gt[::-1])[::-1]
-            grad = np.concatenate((own.tdot(gz, k), tail[:1], tail[1:] * np.exp(params[k + 1 :])))
+            loss, grad = cls.loss(own, y, params, k)
+            losses.append(loss + l1 * float(np.abs(params[:k]).sum()))
+            if t > patience and losses[-1 - patience] - losses[-1] < least * losses[-1 - patience]:
+                break
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
             scale = rate / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
             params = params - scale * m / (1 - 0.9**t)
             shrink = np.minimum(scale[:k] * l1, 10.0)
             params[:k] = np.sign(params[:k]) * np.maximum(0, np.abs(params[:k]) - shrink)
-        theta = params[k] + np.concatenate(([0.0], np.cumsum(np.exp(params[k + 1 :]))))
-        weights = np.zeros(size)
         weights[used] = params[:k]
-        return cls(weights, theta)
+        return cls(weights, _thetas(params, k))
+
+
+def _thetas(params: np.ndarray, k: int) -> np.ndarray:
+    return params[k] + np.concatenate(([0.0], np.cumsum(np.exp(params[k + 1 :]))))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, levels: int = 2, max_labelled: int = MAX_LABELLED, threshold: float = 0.5) -> DataFrame:
