@@ -52,8 +52,9 @@ def token_normalize(t, spark):
 
 @query(f"SELECT doc_id, len({S.tokens('text')})::BIGINT AS n_search_tokens, len({S.tokens('text', 1)})::BIGINT AS n_answer_tokens, len(list_filter(string_split({S.norm('text')}, ' '), lambda x: x <> ''))::BIGINT AS n_tokens FROM documents")
 def token_counts(t, spark):
-    x = F.col("text")
-    return t("documents").select("doc_id", F.size(T.token_set(x)).cast("long").alias("n_search_tokens"), F.size(T.token_set(x, 1)).cast("long").alias("n_answer_tokens"), T.token_count(x).alias("n_tokens"))
+    own = C.settled_columns(t("documents").select("doc_id", "text"), words=F.filter(F.split(T.normal_token(F.col("text")), " "), lambda x: x != ""))
+    own = C.settled_columns(own.drop("text"), tokens=F.array_distinct("words"))
+    return own.select("doc_id", F.size(F.filter("tokens", lambda x: F.length(x) >= 2)).cast("long").alias("n_search_tokens"), F.size("tokens").cast("long").alias("n_answer_tokens"), F.size("words").cast("long").alias("n_tokens"))
 
 
 def _any(x: str, parts) -> str:
@@ -154,7 +155,7 @@ def repeated_lines(t, spark):
 @query(f"WITH l AS ({_LINES}), r AS (SELECT doc, line FROM l WHERE length(line) BETWEEN 5 AND 120 GROUP BY doc, line HAVING count(*) >= 2) SELECT page AS doc_id, count(*)::BIGINT AS n FROM l ANTI JOIN r USING (doc, line) WHERE line <> '' GROUP BY page")
 def repeated_line_strip(t, spark):
     pages = t("documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), "text")
-    lines = pages.select("doc", "page", F.explode(F.split("text", r"[\n\r]+", -1)).alias("line")).select("doc", "page", F.lower(T.for_embedding(F.col("line"))).alias("line")).distinct()
+    lines = C.page_lines(pages).distinct()
     return lines.where("line <> ''").join(C.repeated_lines(pages), ["doc", "line"], "left_anti").groupBy(F.col("page").alias("doc_id")).agg(F.count("*").alias("n"))
 
 
