@@ -34,20 +34,26 @@ def short_gate(windows: DataFrame, least: int = 12) -> DataFrame:
 def first_wins(rows: DataFrame, keys: list[str | Column], order: list[str | Column]) -> DataFrame:
     """The first row of each key; rows of which a key is null all stay.
 
-    Each task keeps its own first row of a key before the shuffle; rows with a null key are not shuffled at all.
+    Each task keeps its own first row of a key before the shuffle. Rows with a null key go along, each as a group of its own,
+    so that the rows are worked out once.
     """
     cols = [F.col(k) if isinstance(k, str) else k for k in keys]
     null = F.lit(False)
     for k in cols:
         null = null | k.isNull()
-    keyed = rows.where(~null).withColumn("__n", F.row_number().over(Window.partitionBy(*cols).orderBy(*order))).where("__n = 1").drop("__n")
-    return keyed.unionByName(rows.where(null))
+    alone = rows.withColumn("__id", F.monotonically_increasing_id()).withColumn("__alone", F.when(null, F.col("__id"))).drop("__id")
+    return alone.withColumn("__n", F.row_number().over(Window.partitionBy(*cols, "__alone").orderBy(*order))).where("__n = 1").drop("__n", "__alone")
 
 
 def repeated_lines(pages: DataFrame, least: int = 2) -> DataFrame:
     """(doc, line, pages): normalised lines of 5 to 120 characters on at least so many pages of (doc, page, text)."""
-    lines = pages.select("doc", "page", F.explode(F.split("text", r"[\n\r]+", -1)).alias("line")).select("doc", "page", F.lower(T.for_embedding(F.col("line"))).alias("line"))
-    return lines.where(F.length("line").between(5, 120)).distinct().groupBy("doc", "line").agg(F.count("*").alias("pages")).where(F.col("pages") >= least)
+    return page_lines(pages).where(F.length("line").between(5, 120)).distinct().groupBy("doc", "line").agg(F.count("*").alias("pages")).where(F.col("pages") >= least)
+
+
+def page_lines(pages: DataFrame) -> DataFrame:
+    """(doc, page, line): normalised lines of (doc, page, text), each worked out once."""
+    lines = pages.select("doc", "page", F.explode(F.split("text", r"[\n\r]+", -1)).alias("line"))
+    return settled_columns(lines, line=F.lower(T.for_embedding(F.col("line"))))
 
 
 def grouped_blocks(blocks: DataFrame, keys: list[str], order: str, lang: Column) -> DataFrame:
