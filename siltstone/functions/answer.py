@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import any_of, boilerplate_line, clean_answer, folded, pretty_table, rewritten, sentences, squeezed, token_set, without_boilerplate
+from .text import any_of, boilerplate_line, bound, clean_answer, folded, guarded, pretty_table, rewritten, sentences, squeezed, token_set, without_boilerplate
 
 # Unit rewrites, in the order in which they apply.
 UNIT_RULES = [
@@ -18,6 +18,11 @@ UNIT_RULES = [
     (r"\bnot\s+more\s+than\b", "<="), (r"\bnot\s+less\s+than\b", ">="), (r"\bat\s+or\s+below\b", "<="), (r"\bat\s+or\s+above\b", ">="), (r"(\d)\s+to\s+(\d)", "$1-$2"),
     (r"(\d)\s*(?:~|−)\s*(\d)", "$1-$2"), (r"(\d)\s*°\s*c\b", "$1 c"), (r"(\d)\s*c\b", "$1 c"), (r"\bcelsius\b", "c"),
 ]
+#: Parts that each rule's matches hold, in lower case; a text without them is passed over.
+UNIT_NEEDS = (
+    (), ("cent",), ("percent",), ("p", "m"), ("million",), ("mg", "kg"), ("g", "kg"), ("kg", "t"), ("100", "kg"), ("i", "u", "g"), ("u", "g"), ("skb", "g"), ("fau", "g"), ("nmau", "g"), ("xylh", "g"), ("agi", "g"),
+    ("humidity",), ("rh",), ("shelf",), ("not", "more"), ("not", "less"), ("below",), ("above",), ("to",), (), ("°",), ("c",), ("celsius",),
+)
 INTENTS = (
     ("dosage", ("dosage", "dose", "ppm", "recommended", "suggested", "application rate")),
     ("activity", ("activity", "enzyme unit", "u/g", "fau/g", "skb/g", "agi/g", "xylh/g", "nmau/g")),
@@ -38,18 +43,19 @@ SPAN_UNITS = ("ppm", "mg/kg", "months", "temperature")
 
 
 def unit_string(text: Column) -> Column:
-    return squeezed(rewritten(text, [(f"(?i){p}", r) for p, r in UNIT_RULES]))
+    rules = zip(UNIT_RULES, UNIT_NEEDS, strict=True)
+    return squeezed(reduce(lambda c, x: guarded(c, f"(?i){x[0][0]}", x[0][1], x[1]) if x[1] else rewritten(c, [(f"(?i){x[0][0]}", x[0][1])]), rules, text))
 
 
 def answer_norm(text: Column) -> Column:
     units = unit_string(F.replace(folded(text), F.lit("’"), F.lit("'")))
-    return squeezed(rewritten(units, [(r"[^a-z0-9%/\-.\s]", " "), (r"(?<!\d)\.(?!\d)", " ")]))
+    return squeezed(rewritten(units, [(r"[^a-z0-9%/\-.\s]", " "), (r"\.(?<!\d\.)(?!\d)", " ")]))
 
 
 def intent(question: Column) -> Column:
     """By parts of the normalised question, first table entry wins."""
-    q = answer_norm(question)
-    return reduce(lambda c, e: c.when(any_of(q, e[1]), e[0]), INTENTS[1:], F.when(any_of(q, INTENTS[0][1]), INTENTS[0][0])).otherwise("generic")
+    of = lambda q: reduce(lambda c, e: c.when(any_of(q, e[1]), e[0]), INTENTS[1:], F.when(any_of(q, INTENTS[0][1]), INTENTS[0][0])).otherwise("generic")
+    return bound(answer_norm(question), of)
 
 
 def allergens(norm: Column) -> Column:
@@ -58,14 +64,16 @@ def allergens(norm: Column) -> Column:
 
 def metal_limits(norm: Column) -> Column:
     """`metal value mg/kg` for each distinct limit, by metal, then by place."""
-    body = F.replace(unit_string(norm), F.lit(","), F.lit("."))
+    none = F.array().cast("array<string>")
 
-    def of(metal: str) -> Column:
+    def of(body: Column, metal: str) -> Column:
         pattern = rf"(?i){metal}[^.\n;]{{0,80}}?(<=|>=|<|>)?\s*(\d+(?:\.\d+)?)\s*mg/kg"
         pairs = F.arrays_zip(F.regexp_extract_all(body, F.lit(pattern), 1).alias("s"), F.regexp_extract_all(body, F.lit(pattern), 2).alias("v"))
-        return F.transform(pairs, lambda p: F.concat(F.lit(f"{metal} "), p["s"], p["v"], F.lit(" mg/kg")))
+        found = F.transform(pairs, lambda p: F.concat(F.lit(f"{metal} "), p["s"], p["v"], F.lit(" mg/kg")))
+        return F.when(F.contains(F.lower(body), F.lit(metal)), found).otherwise(none)
 
-    return F.array_distinct(F.flatten(F.array(*map(of, METALS))))
+    every = lambda body: F.array_distinct(F.flatten(F.array(*[of(body, m) for m in METALS])))
+    return bound(F.replace(unit_string(norm), F.lit(","), F.lit(".")), every)
 
 
 def _found(text: Column, pattern: str, form) -> Column:
