@@ -79,8 +79,8 @@ def _kw(x: str) -> str:
 
 @query(S.over_spec(f"k, {_kw('text')} AS flags"))
 def keyword_embedder(t, spark):
-    v = D.keyword_vector(T.token_set(F.col("text"), 1), F.col("text"), KEYWORDS, 7)
-    return spec(t, spark).select("k", F.array_join(F.transform(v, lambda x: x.cast("int").cast("string")), "").alias("flags"))
+    own = _with_vector(spec(t, spark).select("k", "text"), "text")
+    return own.select("k", F.array_join(F.transform("vector", lambda x: x.cast("int").cast("string")), "").alias("flags"))
 
 
 def _has(words) -> str:
