@@ -54,8 +54,11 @@ def canonical_code(code: Column) -> Column:
 
 
 def _codes(norm: Column, tokens: Column, token: str, phrases: list[tuple[str, int]]) -> Column:
-    found = [F.filter(tokens, lambda t: t.rlike(token)), *[F.regexp_extract_all(norm, F.lit(p), g) for p, g in phrases]]
-    return F.array_sort(F.array_distinct(F.transform(F.flatten(F.array(*found)), canonical_code)))
+    # every code has digits or "max"; what begins a code is asked for before the edge of a word, which is dear
+    first = lambda p: F.lit(r"(?=[hatgofsl])" + p)
+    found = [F.filter(tokens, lambda t: t.rlike(r"\d|max") & t.rlike(token)), *[F.regexp_extract_all(norm, first(p), g) for p, g in phrases]]
+    every = F.array_sort(F.array_distinct(F.transform(F.flatten(F.array(*found)), canonical_code)))
+    return F.when(norm.rlike(r"\d") | F.contains(norm, F.lit("max")), every).when(norm.isNotNull(), F.array().cast("array<string>"))
 
 
 def doc_codes(norm: Column) -> Column:
@@ -97,7 +100,7 @@ def canonical_doc_id(doc_id: Column) -> Column:
 
 
 def dosages(norm: Column) -> dict[str, Column]:
-    return {k: F.nullif(F.regexp_extract(norm, p, 1), F.lit("")) for k, p in DOSAGES.items()}
+    return {k: F.when(F.contains(norm, F.lit("ppm")), F.nullif(F.regexp_extract(norm, p, 1), F.lit(""))) for k, p in DOSAGES.items()}
 
 
 def stem(file_name: Column) -> Column:
