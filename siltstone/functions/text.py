@@ -181,7 +181,7 @@ def content_id(*parts: Column) -> Column:
 
 def boilerplate_line(line: Column, mode: str = "hybrid") -> Column:
     """Lines of addresses and contacts: by known signature words, by contacts alone, or by either."""
-    some = any_of(F.lower(line), ("http", "www.", "@", "+", "tel", "phone", "mail", "website"))  # no contact is without one
+    some = lambda low: any_of(low, ("http", "www.", "@", "+", "tel", "phone", "mail", "website"))  # noqa: E731  # no contact is without one
 
     def found(norm: Column, contacts: Column) -> Column:
         padded = F.concat(F.lit(" "), norm, F.lit(" "))
@@ -192,7 +192,7 @@ def boilerplate_line(line: Column, mode: str = "hybrid") -> Column:
 
     # most lines end at one of the two tests
     counted = lambda n: F.when(n == 0, F.lit(False)).otherwise(bound(normal_token(line), lambda norm: found(norm, n)))
-    return F.when(~some, F.lit(False)).otherwise(bound(F.regexp_count(line, F.lit(unicode(CONTACT))), counted))
+    return F.when(~bound(F.lower(line), some), F.lit(False)).otherwise(bound(F.regexp_count(line, F.lit(unicode(CONTACT))), counted))
 
 
 def without_signature(text: Column) -> Column:

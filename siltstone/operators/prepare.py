@@ -63,15 +63,20 @@ def fold(order: Column, keys: tuple[str, ...] = tuple(METADATA), prefix: str = "
 
 
 def extracted(doc_id: Column, norm: Column) -> dict[str, Column]:
-    """Metadata of a chunk's normal form (of document id, file name and text)."""
-    codes = E.doc_codes(norm)
-    codes, family = F.when(F.size(codes) > 0, codes), E.family(norm)
+    """Metadata of a chunk's normal form (of document id, file name and text), of which _named has settled codes and family."""
+    codes, family = F.when(F.size("__codes") > 0, F.col("__codes")), F.col("__family")
     return {
         "product_family": family, "family_canonical": family, "model_codes": codes, "model_codes_canonical": codes,
         "doc_id_canonical": E.canonical_doc_id(doc_id), "section_canonical": E.section(norm), **E.dosages(norm),
     }
 
 
+def _named(rows: DataFrame) -> DataFrame:
+    """rows with their normal form, and what several fields of the metadata read of it, each worked out once."""
+    normal = C.settled_columns(rows, norm=_norm())
+    return C.settled_columns(normal, __codes=E.doc_codes(F.col("norm")), __family=E.family(F.col("norm")))
+
+
 def _norm() -> Column:
     return T.normal_token(F.concat_ws(" ", "doc_id", "file_name", "text"))
 
@@ -168,7 +173,7 @@ def chunk_blocks(blocks: DataFrame, config: Preparation = Preparation()) -> Data
     window = F.array_join(F.slice("w", F.col("start") + 1, F.lit(config.size)), " ")
     cut = C.settled_columns(at, text=F.when(fits, F.col("whole")).otherwise(window)).withColumn("text_raw", F.when(fits, F.col("whole_raw")).otherwise(F.col("text")))
     named = cut.withColumn("chunk_id", T.content_id(F.col("doc_id"), page, F.col("chunk_type"), F.when(fits, F.col("text")).otherwise(F.concat_ws(":", F.col("start").cast("string"), "text"))))
-    named = C.settled_columns(named, norm=_norm())
+    named = _named(named)
     md = metadata(**{k: F.col(f"m_{k}") for k in MERGED}, **extracted(F.col("doc_id"), F.col("norm")), units=T.units(F.col("text")), window_start=F.when(~fits, F.col("start")))
     return C.settled_columns(named, metadata=md).select(*COLUMNS).unionByName(facts.select(*COLUMNS))
 
@@ -238,7 +243,7 @@ def direct_chunks(blocks: DataFrame, config: Preparation = Preparation()) -> Dat
     worded = C.settled_columns(clean.where(F.length("whole") >= config.least_chars), w=T.words(F.col("whole"))).withColumn("total", F.size("w")).where("total > 0")
     at = worded.withColumn("start", F.explode(T.window_starts(F.col("total"), config.size, config.overlap))).withColumn("own", F.slice("w", F.col("start") + 1, F.lit(config.size))).withColumn("n", F.size("own"))
     rows = C.settled_columns(C.short_gate(at, config.least_words).drop("w"), text=F.array_join("own", " "))
-    rows = C.settled_columns(rows, norm=_norm())
+    rows = _named(rows)
     name = T.content_id(F.col("doc_id"), F.col("page").cast("string"), F.lit("paragraph"), F.concat_ws(":", "block_type", F.col("start").cast("string"), "text"))
     md = metadata(source_block_type=F.col("block_type"), window_start=F.col("start"), boilerplate_removed=F.col("b.removed"), boilerplate_removed_chars=F.col("b.removed_chars"), **extracted(F.col("doc_id"), F.col("norm")))
     shaped = rows.select(
