@@ -18,6 +18,14 @@ def settled_columns(rows: DataFrame, /, **columns: Column) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c not in columns], box.alias("__box")).select("*", "__box.*").drop("__box")
 
 
+def spread(rows: DataFrame, each: int = 3) -> DataFrame:
+    """The same rows, dealt evenly over all cores, `each` tasks a core.
+
+    For narrow tables from which long texts are made: they lie in so few files and row groups that most cores would stay idle.
+    """
+    return rows.repartition(each * max(1, rows.sparkSession.sparkContext.defaultParallelism))
+
+
 def token_windows(docs: DataFrame, size: int = 420, overlap: int = 60) -> DataFrame:
     """(doc_id, start, n, total, text): overlapping windows of the words of (doc_id, text); texts without words give none."""
     split = docs.select("doc_id", T.words(F.col("text")).alias("w")).withColumn("total", F.size("w")).where("total > 0")

@@ -18,7 +18,7 @@ from .registry import query
 
 
 def spec(t, spark):
-    t("part").createOrReplaceTempView("part")
+    C.spread(t("part")).createOrReplaceTempView("part")
     return spark.sql(S.SPEC)
 
 

@@ -32,5 +32,11 @@ def test_lines_are_normalised_once(spark, sf):
     assert plan(registry.QUERIES["repeated_lines"](spark, sf)).count("technical") <= 2  # the rule and what guards it
 
 
+def test_sheets_are_dealt_over_all_cores(spark, sf):
+    """One small file is one task, however much text is made from its rows."""
+    assert all("RoundRobinPartitioning" in plan(registry.QUERIES[q](spark, sf)) for q in ("lexical_score", "doc_specific_score", "structured_score", "field_intent_score", "cross_doc_signature_dedup"))
+    assert C.spread(spark.range(100, numPartitions=1)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_every_unit_rule_has_its_parts():
     assert len(A.UNIT_NEEDS) == len(A.UNIT_RULES)
