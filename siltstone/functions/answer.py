@@ -64,6 +64,10 @@ def allergens(norm: Column) -> Column:
 
 def metal_limits(norm: Column) -> Column:
     """`metal value mg/kg` for each distinct limit, by metal, then by place."""
+    return _limits(unit_string(norm))
+
+
+def _limits(units: Column) -> Column:
     none = F.array().cast("array<string>")
 
     def of(body: Column, metal: str) -> Column:
@@ -73,7 +77,7 @@ def metal_limits(norm: Column) -> Column:
         return F.when(F.contains(F.lower(body), F.lit(metal)), found).otherwise(none)
 
     every = lambda body: F.array_distinct(F.flatten(F.array(*[of(body, m) for m in METALS])))
-    return bound(F.replace(unit_string(norm), F.lit(","), F.lit(".")), every)
+    return bound(F.replace(units, F.lit(","), F.lit(".")), every)
 
 
 def _found(text: Column, pattern: str, form) -> Column:
@@ -89,8 +93,7 @@ def _dosage(norm: Column) -> Column:
     return unit_string(F.coalesce(_found(norm, cue + spread, both), _found(norm, spread, both), _found(norm, other, lambda g: F.concat(F.lit("dosage: "), g(1), F.lit(" "), g(2)))))
 
 
-def _activity(norm: Column) -> Column:
-    body = unit_string(norm)
+def _activity(body: Column) -> Column:
     form = lambda g: F.concat(F.lit("activity: "), g(1), F.lit(" "), g(2))
     near = rf"[^.\n]{{0,80}}?{NUMBER}\s*{ACTIVITY_UNITS}"
     return unit_string(F.coalesce(_found(body, "activity" + near, form), _found(body, r"(?:enzyme\s+activity|declared\s+activity|units?)" + near, form)))
@@ -123,32 +126,56 @@ def with_presentable(rows: DataFrame, question: str, text: str, to: str) -> Data
 
     Each step is a column of its own: what several steps read is worked out once.
     """
-    t, q = F.col(text), F.col(question)
+    step = unheard(rows, text).withColumn("__asked", F.when(F.col("__heavy"), token_set(F.col(question), 1)))
+    return step.withColumn(to, presentable(F.col(text))).drop("__c", "__heavy", "__all", "__asked")
+
+
+def unheard(rows: DataFrame, text: str) -> DataFrame:
+    """What with_presentable works out of a text whatever is asked: __c, the text without boilerplate; __heavy, whether half of its
+    sentences or more are boilerplate; __all, the sentences to choose from then."""
+    t = F.col(text)
     step = rows.withColumn("__c", without_boilerplate(t)).withColumn("__c", F.when(squeezed(F.col("__c.text")) != "", F.col("__c.text")).otherwise(t))
     step = step.withColumn("__parts", sentences(F.col("__c"))).withColumn("__noisy", F.size(F.filter("__parts", lambda p: boilerplate_line(p))))
     heavy = (F.size("__parts") > 0) & (F.col("__noisy") * 2 >= F.size("__parts"))
-    step = step.withColumn("__heavy", heavy).withColumn("__asked", F.when(F.col("__heavy"), token_set(q, 1))).withColumn("__all", F.when(F.col("__heavy"), sentences(t)))
-    step = step.withColumn("__c", F.when(F.col("__heavy"), best_span(F.col("__asked"), F.col("__all"), t)).otherwise(F.col("__c")))
-    return step.withColumn(to, clean_answer(F.col("__c"))).drop("__c", "__parts", "__noisy", "__heavy", "__asked", "__all")
+    return step.withColumn("__heavy", heavy).withColumn("__all", F.when(F.col("__heavy"), sentences(t))).drop("__parts", "__noisy")
+
+
+def presentable(text: Column) -> Column:
+    """Of unheard's columns and the question's tokens, __asked."""
+    return clean_answer(F.when(F.col("__heavy"), best_span(F.col("__asked"), F.col("__all"), text)).otherwise(F.col("__c")))
 
 
 def with_structured(rows: DataFrame, question: str, passage: str, answer: str = "answer", confidence: str = "confidence") -> DataFrame:
     """Adds the answer and its confidence for the question's intent; the presentable passage at 0.6 where nothing is found."""
     step = rows.withColumn("__t", pretty_table(F.col(passage))).withColumn("__q", F.col(question)).withColumn("__kind", intent(F.col("__q"))).withColumn("__n", answer_norm(F.col("__t")))
-    norm, kind = F.col("__n"), F.col("__kind")
-    step = step.withColumn("__list", F.when(kind == "metals", metal_limits(norm)).when(kind == "allergen", allergens(norm)))
+    step = step.withColumn("__u", F.when(F.col("__kind").isin("metals", "activity"), unit_string(F.col("__n"))))
+    step = step.withColumn("__list", listed()).withColumn("__found", found())
+    sure = confidence_of(F.col("__found"), F.col("__kind"))
+    plain = with_presentable(step.withColumn(confidence, sure).withColumn("__open", F.when(F.col("__found").isNull(), F.col("__t"))), "__q", "__open", "__plain")
+    return plain.withColumn(answer, F.coalesce("__found", "__plain")).drop("__t", "__q", "__kind", "__n", "__list", "__found", "__open", "__plain", "__u")
+
+
+def listed() -> Column:
+    """The metals' limits or the allergens, by __kind, of a passage's normal form __n and its unit form __u."""
+    kind = F.col("__kind")
+    return F.when(kind == "metals", _limits(F.col("__u"))).when(kind == "allergen", allergens(F.col("__n")))
+
+
+def found() -> Column:
+    """What __kind extracts from a passage (__t, its forms __n and __u, and __list); null if nothing."""
+    norm, kind, some = F.col("__n"), F.col("__kind"), F.size("__list") > 0
     state = F.when(norm.rlike(r"\bfree from\b|\ballergen[-\s]*free\b|\bdoes not contain\b"), "free_from").otherwise("contains")
-    some = F.size("__list") > 0
-    rule = F.get(F.filter(sentences(F.col("__t")), lambda s: any_of(answer_norm(s), REGULATIONS)), F.lit(0))
-    found = (
-        F.when(kind == "dosage", _dosage(norm)).when(kind == "activity", _activity(norm)).when((kind == "metals") & some, F.array_join("__list", "; "))
+    # no rule of the normal form makes such a part, so a passage without any has no such sentence
+    rule = F.when(any_of(folded(F.col("__t")), REGULATIONS), F.get(F.filter(sentences(F.col("__t")), lambda s: any_of(answer_norm(s), REGULATIONS)), F.lit(0)))
+    return (
+        F.when(kind == "dosage", _dosage(norm)).when(kind == "activity", _activity(F.col("__u"))).when((kind == "metals") & some, F.array_join("__list", "; "))
         .when((kind == "allergen") & some, F.concat(F.lit("allergens "), state, F.lit(": "), F.array_join("__list", ", ")))
         .when(kind == "storage", _storage(norm)).when(kind == "regulatory", unit_string(rule))
     )
-    step = step.withColumn("__found", found)
-    sure = F.when(F.col("__found").isNull(), 0.6).when(kind.isin("dosage", "activity", "metals"), 0.95).when(kind == "regulatory", 0.85).otherwise(0.90)
-    plain = with_presentable(step.withColumn(confidence, sure).withColumn("__open", F.when(F.col("__found").isNull(), F.col("__t"))), "__q", "__open", "__plain")
-    return plain.withColumn(answer, F.coalesce("__found", "__plain")).drop("__t", "__q", "__kind", "__n", "__list", "__found", "__open", "__plain")
+
+
+def confidence_of(found_: Column, kind: Column) -> Column:
+    return F.when(found_.isNull(), 0.6).when(kind.isin("dosage", "activity", "metals"), 0.95).when(kind == "regulatory", 0.85).otherwise(0.90)
 
 
 def numeric_atoms(norm: Column) -> Column:

@@ -134,6 +134,24 @@ def with_context(results: DataFrame, chunks: DataFrame, width: int) -> DataFrame
     return every.withColumn("rank", behind).select(*RESULT)
 
 
+def answers(passages: DataFrame, questions: DataFrame, question: str = "question", passage: str = "text") -> DataFrame:
+    """Every passage with every one of a stated set of questions, its answer and confidence, as answer.with_structured gives them for a pair.
+
+    A passage is read once for all questions and once for each intent among them; only one that is mostly boilerplate and holds
+    nothing of what is asked is read again for each question.
+    """
+    q = questions.withColumn("__kind", A.intent(F.col(question))).withColumn("__asked", T.token_set(F.col(question), 1))
+    p = C.settled_columns(passages, __t=T.pretty_table(F.col(passage)))
+    p = C.settled_columns(p, __n=A.answer_norm(F.col("__t")))
+    p = C.settled_columns(A.unheard(p, "__t"), __u=A.unit_string(F.col("__n")), __light=F.when(~F.col("__heavy"), T.clean_answer(F.col("__c")))).drop("__c")
+    each = C.settled_columns(p.crossJoin(F.broadcast(q.select("__kind").distinct())), __list=A.listed())
+    each = C.settled_columns(each, __found=A.found()).drop("__n", "__u", "__list")
+    pairs = each.join(F.broadcast(q), "__kind")  # a stated set
+    span = F.when(F.col("__heavy"), T.clean_answer(A.best_span(F.col("__asked"), F.col("__all"), F.col("__t"))))
+    own = pairs.withColumn("answer", F.coalesce("__found", "__light", span)).withColumn("confidence", A.confidence_of(F.col("__found"), F.col("__kind")))
+    return own.drop("__t", "__kind", "__asked", "__heavy", "__all", "__light", "__found")
+
+
 def api_rows(questions: DataFrame, results: DataFrame, shown: int = 3) -> DataFrame:
     """(query_id, rank, text, score, retrieval_score, answer_score): the answers shown for each valid question, its ten first results re-scored."""
     valid = questions.where(F.length(F.btrim("question")).between(1, 2000)).select("query_id", F.btrim("question").alias("question"))

@@ -303,8 +303,7 @@ ans AS (SELECT query_id, k, coalesce(found, body) AS answer, CASE WHEN found IS
 
 @query(f"WITH spec AS ({S.SPEC}), questions AS ({S.QUESTIONS}), {_ANSWERS} SELECT * FROM ans")
 def structured_answer(t, spark):
-    pairs = spec(t, spark).select("k", "text").crossJoin(F.broadcast(questions(spark)))
-    return A.with_structured(pairs, "question", "text").select("query_id", "k", "answer", "confidence")
+    return V.answers(spec(t, spark).select("k", "text"), questions(spark)).select("query_id", "k", "answer", "confidence")
 
 
 _TOP = _HYBRID[: _HYBRID.rindex("SELECT query_id, k AS chunk_id")].rstrip()

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone.functions import answer as A
 from siltstone.operators import chunking as C
 from siltstone.operators import embed as M
 from siltstone.operators import prepare as P
@@ -91,6 +92,18 @@ def test_search(spark, chunks):
     assert [r.rank for r in shown] == [1, 2] and shown[0].text == "dosage: 5-40 ppm" and shown[0].answer_score == 0.95
 
 
+def test_answers_read_a_passage_once(spark):
+    signed = "Tel: 123 456 www.x.org, mail a@b.org. Phone: www.y.org, mail us. Lipase it is. "
+    texts = ["Dosage 5-40 ppm. Lead: <5 mg/kg. Directive 1829/2003 applies.", signed, "| Activity | 100 u/g |", "Contains milk. Store below 25 C, 24 months", "Plain words here", "", None]
+    asked = spark.createDataFrame(list(enumerate(["dosage?", "activity", "lead limit", "allergens", "shelf life", "which directive", "tell me about lipase", "plain words", "", None])), "query_id int, question string")
+    passages = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    out = V.answers(passages, asked).select("k", "query_id", "answer", "confidence")
+    pairs = A.with_structured(passages.crossJoin(asked), "question", "text").select("k", "query_id", "answer", "confidence")
+    assert sorted(out.collect(), key=repr) == sorted(pairs.collect(), key=repr) and out.count() == 70
+    below = out._jdf.queryExecution().optimizedPlan().toString().split("Join")  # the last joins' rows, the passages, come with their normal form
+    assert "__n" not in below[0] and below[-1].count("celsius") >= 1
+
+
 def test_first_wins_keeps_one_a_task(spark):
     rows = spark.range(10).select("id", F.when(F.col("id") > 3, F.col("id") % 2).alias("k"))
     out = C.first_wins(rows, ["k"], ["id"])
