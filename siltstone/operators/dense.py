@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 SENT = 64 << 20
 #: Bytes of vectors, and of queries, in a row of that join.
 PACKED = 8 << 20
-#: Vectors that are multiplied at once.
-STEP = 2048
+#: Vectors that are multiplied at once, and the queries that they are multiplied with: a worker's tables of scores have no more cells,
+#: whatever the number of queries.
+STEP, ASKED = 2048, 128
 #: Scores are rounded to so many digits, so that ties don't depend on the order of sums.
 DIGITS = 12
 
@@ -48,13 +49,15 @@ class _Best:
 
     def see(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         for lo in range(0, len(ids), STEP):
-            own = ids[lo : lo + STEP]
-            for a in range(0, len(self.ids), STEP):
-                s = np.concatenate((self.s[a : a + STEP], np.round(self.q[a : a + STEP] @ vectors[lo : lo + STEP].T, DIGITS)), 1)
-                i = np.concatenate((self.i[a : a + STEP], np.broadcast_to(own, (len(s), len(own)))), 1)
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            for a in range(0, len(self.ids), ASKED):
+                own, new, best = ids[lo : lo + STEP], np.round(self.q[a : a + ASKED] @ vectors[lo : lo + STEP].T, DIGITS), self.s[a : a + ASKED]
+                if best.shape[1] == self.k > 0:  # vectors that are below every query's last place can't come in
+                    near = (~(new < best[:, -1:])).any(0)
+                    own, new = own[near], new[:, near]
+                s = np.concatenate((best, new), 1)
+                i = np.concatenate((self.i[a : a + ASKED], np.broadcast_to(own, (len(s), len(own)))), 1)
                 by = np.lexsort((i, -s), axis=1)[:, : self.k]
-                if a == 0:
-                    held: list[tuple[np.ndarray, np.ndarray]] = []
                 held.append((np.take_along_axis(i, by, 1), np.take_along_axis(s, by, 1)))
             self.i, self.s = (np.concatenate(x) for x in zip(*held, strict=True))
 

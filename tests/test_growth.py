@@ -1,12 +1,16 @@
 """What keeps a query's work in proportion to its input."""
 
 import re
+import tracemalloc
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from siltstone.functions import answer as A
 from siltstone.functions import text as T
 from siltstone.operators import chunking as C
+from siltstone.operators import dense as D
+from siltstone.operators import evaluation as V
 from siltstone.plans import registry
 
 
@@ -40,3 +44,20 @@ def test_sheets_are_dealt_over_all_cores(spark, sf):
 
 def test_every_unit_rule_has_its_parts():
     assert len(A.UNIT_NEEDS) == len(A.UNIT_RULES)
+
+
+def test_scores_held_do_not_grow_with_the_queries():
+    r = np.random.default_rng(3)
+    q, v = D._unit(r.normal(size=(2048, 8))), D._unit(np.round(r.normal(size=(5000, 8)), 1))
+    v[4000:] = v[:1000]  # ties go by id
+    v[17] = np.nan
+    best = D._Best(np.arange(2048), q, 5)
+    tracemalloc.start()
+    for lo in range(0, 5000, 2500):
+        best.see(np.arange(lo, lo + 2500), v[lo : lo + 2500])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20
+    s = np.round(q @ v.T, D.DIGITS)
+    by = np.lexsort((np.broadcast_to(np.arange(5000), s.shape), -s), axis=1)[:, :5]
+    assert (best.i == by).all() and (best.s == np.take_along_axis(s, by, 1)).all()
