@@ -79,8 +79,14 @@ def with_previous(runs: DataFrame, keys: list[str], order: list[str], values: li
     return runs.withColumns({f"delta_{v}": F.col(v) - F.lag(v).over(w) for v in values})
 
 
-def opening(question: Column) -> Column:
-    return F.get(F.filter(F.split(T.normal_token(question), " "), lambda x: x != ""), F.lit(0))
+def opening(question: Column, head: int = 200) -> Column:
+    """The first word of a text's normal form; null if it has none.
+
+    The normal form goes character by character, so where its first `head` characters give two words, the first is whole and
+    stands; any other text is normalised whole.
+    """
+    words = lambda x: F.filter(F.split(T.normal_token(x), " "), lambda w: w != "")
+    return T.bound(words(F.substring(question, 1, head)), lambda ws: F.get(F.when(F.size(ws) > 1, ws).otherwise(words(question)), F.lit(0)))
 
 
 def style_shares(questions: DataFrame, column: str) -> DataFrame:

@@ -61,3 +61,12 @@ def test_scores_held_do_not_grow_with_the_queries():
     s = np.round(q @ v.T, D.DIGITS)
     by = np.lexsort((np.broadcast_to(np.arange(5000), s.shape), -s), axis=1)[:, :5]
     assert (best.i == by).all() and (best.s == np.take_along_axis(s, by, 1)).all()
+
+
+def test_opening_reads_on_where_the_head_does_not_settle_it(spark):
+    texts = ["One two", "  !!", "", "x" * 300 + " y", "." * 250 + "Late word", "ab" + "\u0301" * 300 + "c d", "w" * 199 + "\u00e9t\u00e9", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    plain = F.get(F.filter(F.split(T.normal_token(F.col("text")), " "), lambda x: x != ""), F.lit(0))
+    out = rows.select("id", V.opening(F.col("text")).alias("a"), plain.alias("b"), V.opening(F.col("text"), 3).alias("c")).collect()
+    assert all(r.a == r.b == r.c for r in out) and [r.a for r in out][:3] == ["one", None, None]
+    assert "substring" in plan(rows.select(V.opening(F.col("text"))))
