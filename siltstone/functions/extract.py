@@ -53,20 +53,26 @@ def canonical_code(code: Column) -> Column:
     return rewritten(F.regexp_replace(normal_token(code), "[ -]", ""), [("^asoft", "soft"), ("^afresh", "fresh")])
 
 
-def _codes(norm: Column, tokens: Column, token: str, phrases: list[tuple[str, int]]) -> Column:
-    # every code has digits or "max"; what begins a code is asked for before the edge of a word, which is dear
+def _codes(norm: Column, found: Column, phrases: list[tuple[str, int]]) -> Column:
+    # what begins a code is asked for before the edge of a word, which is dear
     first = lambda p: F.lit(r"(?=[hatgofsl])" + p)
-    found = [F.filter(tokens, lambda t: t.rlike(r"\d|max") & t.rlike(token)), *[F.regexp_extract_all(norm, first(p), g) for p, g in phrases]]
-    every = F.array_sort(F.array_distinct(F.transform(F.flatten(F.array(*found)), canonical_code)))
-    return F.when(norm.rlike(r"\d") | F.contains(norm, F.lit("max")), every).when(norm.isNotNull(), F.array().cast("array<string>"))
+    every = F.flatten(F.array(found, *[F.regexp_extract_all(norm, first(p), g) for p, g in phrases]))
+    return F.array_sort(F.array_distinct(F.transform(every, canonical_code)))
+
+
+#: What every code of a normal form holds, asked for by its digits: two of them behind a letter that ends a code's name.
+_CODED = r"\d\d(?<=[fbgxohtl][- ]{0,3}\d\d)"
 
 
 def doc_codes(norm: Column) -> Column:
-    return _codes(norm, F.split(norm, " "), DOC_TOKEN_CODE, [(MAX_CODE, 0), (SOFT_CODE, 1), (NUMBER_CODE, 0), (GO_CODE, 0)])
+    tokens = F.regexp_extract_all(norm, F.lit(rf"(?=[hatgofslm])(?<![^ ])(?:{DOC_TOKEN_CODE[1:-1]})(?![^ ])"), 0)
+    every = _codes(norm, tokens, [(MAX_CODE, 0), (SOFT_CODE, 1), (NUMBER_CODE, 0), (GO_CODE, 0)])
+    return F.when(norm.rlike(_CODED) | F.contains(norm, F.lit("max")), every).when(norm.isNotNull(), F.array().cast("array<string>"))
 
 
 def query_codes(norm: Column, tokens: Column) -> Column:
-    return _codes(norm, tokens, QUERY_TOKEN_CODE, [(MAX_CODE, 0), (SOFT_CODE, 1), (QUERY_NUMBER_CODE, 0)])
+    """Codes of a normal form and of tokens, which may be those of a longer text."""
+    return _codes(norm, F.filter(tokens, lambda t: t.rlike(r"\d|max") & t.rlike(QUERY_TOKEN_CODE)), [(MAX_CODE, 0), (SOFT_CODE, 1), (QUERY_NUMBER_CODE, 0)])
 
 
 def family(norm: Column) -> Column:

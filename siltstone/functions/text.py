@@ -65,7 +65,10 @@ def rewritten(text: Column, rules: list[tuple[str, str]]) -> Column:
 
 def guarded(text: Column, pattern: str, replacement: str, needs: tuple[str, ...]) -> Column:
     """The rule applied where the lower-case text holds all of the parts, without which the pattern can't match."""
-    has = lambda x: reduce(lambda a, b: a & b, [F.contains(F.lower(x), F.lit(n)) for n in needs])
+    plain, cased = [n for n in needs if n.upper() == n.lower()], [n for n in needs if n.upper() != n.lower()]  # the first need no lower-case copy
+    every = lambda x, parts: reduce(lambda a, b: a & b, [F.contains(x, F.lit(n)) for n in parts])
+    low = lambda x: bound(F.lower(x), lambda y: every(y, cased)) if len(cased) > 1 else every(F.lower(x), cased)
+    has = lambda x: every(x, plain) & low(x) if plain and cased else every(x, plain) if plain else low(x)
     return bound(text, lambda x: F.when(has(x), F.regexp_replace(x, unicode(pattern), replacement)).otherwise(x))
 
 
@@ -93,7 +96,8 @@ def cleanup(text: Column) -> Column:
 
 def for_embedding(text: Column) -> Column:
     named = guarded(F.replace(text, F.lit("："), F.lit(":")), r"(?i)\b(?:[a-z]{0,2})?\s*technical\s+data\s+sheet\b", " ", ("technical",))
-    return squeezed(guarded(named, r"(\d),(\d)", "$1.$2", (",",)))
+    pairs = lambda x: F.when(x.rlike(unicode(r",(?=\d)(?<=\d,)")), F.regexp_replace(x, unicode(r"(\d),(\d)"), "$1.$2")).otherwise(x)  # noqa: E731  # asks for the comma first
+    return squeezed(bound(named, pairs))
 
 
 @cache
@@ -209,7 +213,7 @@ def without_boilerplate(text: Column, mode: str = "hybrid", least: int = 10) ->
 
     def chosen(new: Column) -> Column:
         fewer = F.length(text) - F.length(new)
-        ok = (new != "") & (token_count(new) >= max(1, least)) & (fewer > 0)
+        ok = (fewer > 0) & (new != "") & (token_count(new) >= max(1, least))  # the dear test last: most texts lose nothing
         return F.when(ok, F.struct(new.alias("text"), F.lit(True).alias("removed"), fewer.cast("long").alias("removed_chars"))).otherwise(F.struct(text.alias("text"), F.lit(False).alias("removed"), F.lit(0).cast("long").alias("removed_chars")))
 
     return bound(kept, chosen)
@@ -249,5 +253,10 @@ def window_starts(n: Column, size: int, overlap: int) -> Column:
     return F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step)), lambda s: (s == 0) | (s - step + size < n))
 
 
+def words_of(squeezed_: Column) -> Column:
+    """Words of a text of which all white space is single spaces."""
+    return F.filter(F.split(squeezed_, " "), lambda x: x != "")
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(text, unicode(r"\s+")), lambda x: x != "")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,22 @@ def settled_columns(rows: DataFrame, /, **columns: Column) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c not in columns], box.alias("__box")).select("*", "__box.*").drop("__box")
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """Rows that several steps read, worked out once: written to the folder of spark.checkpoint.dir, which all machines share, and read again.
+
+    Without such a folder, where Spark runs in one process, a temporary one is taken.
+    """
+    spark = rows.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="shared-")
+    path = f"{folder.rstrip('/')}/rows-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def spread(rows: DataFrame, each: int = 3) -> DataFrame:
     """The same rows, dealt evenly over all cores, `each` tasks a core.
 

@@ -240,7 +240,7 @@ def direct_chunks(blocks: DataFrame, config: Preparation = Preparation()) -> Dat
     block. across_docs drops a document's repeated windows.
     """
     clean = C.settled_columns(_clean(blocks.where("block_ord is not null"), config), whole=T.for_embedding(F.col("b.text")))
-    worded = C.settled_columns(clean.where(F.length("whole") >= config.least_chars), w=T.words(F.col("whole"))).withColumn("total", F.size("w")).where("total > 0")
+    worded = C.settled_columns(clean.where(F.length("whole") >= config.least_chars), w=T.words_of(F.col("whole"))).withColumn("total", F.size("w")).where("total > 0")
     at = worded.withColumn("start", F.explode(T.window_starts(F.col("total"), config.size, config.overlap))).withColumn("own", F.slice("w", F.col("start") + 1, F.lit(config.size))).withColumn("n", F.size("own"))
     rows = C.settled_columns(C.short_gate(at, config.least_words).drop("w"), text=F.array_join("own", " "))
     rows = _named(rows)

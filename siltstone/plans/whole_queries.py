@@ -69,8 +69,8 @@ def prep_report(t, spark):
 def jsonl_roundtrip(t, spark):
     """Chunks written as JSON objects and read back by the schema."""
     made = P.direct_chunks(_blocks(t, "doc_id"))
-    lines = made.select(F.to_json(F.struct(*made.columns), {"ignoreNullFields": "false"}).alias("line"))
-    back = lines.select(F.from_json("line", P.CHUNK).alias("c")).select("c.*")
+    lines = C.settled_columns(made, line=F.to_json(F.struct(*made.columns), {"ignoreNullFields": "false"})).select("line")
+    back = C.settled_columns(lines, c=F.from_json("line", P.CHUNK)).select("c.*")  # a line is written and read once, not for each field
     return back.select("doc_id", F.col("metadata.window_start").alias("start"), "chunk_id", "lang")
 
 

@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from siltstone.functions import answer as A
+from siltstone.functions import extract as E
 from siltstone.functions import text as T
 from siltstone.operators import chunking as C
 from siltstone.operators import dense as D
@@ -70,3 +71,26 @@ def test_opening_reads_on_where_the_head_does_not_settle_it(spark):
     out = rows.select("id", V.opening(F.col("text")).alias("a"), plain.alias("b"), V.opening(F.col("text"), 3).alias("c")).collect()
     assert all(r.a == r.b == r.c for r in out) and [r.a for r in out][:3] == ["one", None, None]
     assert "substring" in plan(rows.select(V.opening(F.col("text"))))
+
+
+def test_guards_without_letters_take_no_lower_copy(spark):
+    rows = spark.createDataFrame([("A,1 b",)], "t string")
+    assert "lower" not in plan(rows.select(T.guarded(F.col("t"), ",", ";", (",",)))) and "lower" in plan(rows.select(T.guarded(F.col("t"), "(?i)b", "c", ("b", "1"))))
+    texts = ["1,2,3", "a, 5", "5 ,1", "١,٢", "1,2 3,4,", ",", "", None]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string")
+    assert [r.x for r in rows.select(T.for_embedding(F.col("t")).alias("x")).collect()] == ["1.2,3", "a, 5", "5 ,1", "١.٢", "1.2 3.4,", ",", "", None]
+
+
+def test_codes_are_found_behind_their_guard(spark):
+    texts = ["hcf 600", "a soft - 305 x", "l55", "xl55 max63", "go-12 go 1", "tg max x", "12 34 of 20", "af110 af220", "gox  90", "fresh 101 maxx", "", None]
+    rows = spark.createDataFrame([(x,) for x in texts], "n string")
+    tokens = F.filter(F.split("n", " "), lambda t: t.rlike(E.DOC_TOKEN_CODE))
+    every = F.flatten(F.array(tokens, *[F.regexp_extract_all("n", F.lit(p), g) for p, g in ((E.MAX_CODE, 0), (E.SOFT_CODE, 1), (E.NUMBER_CODE, 0), (E.GO_CODE, 0))]))
+    out = rows.select(E.doc_codes(F.col("n")).alias("a"), F.array_sort(F.array_distinct(F.transform(every, E.canonical_code))).alias("b")).collect()
+    assert [r.a for r in out] == [r.b for r in out] and out[0].a == ["hcf600"] and out[6].a == []
+    # codes of a longer text than the normal form count as well
+    assert spark.createDataFrame([("sheet", ["hcf600"])], "n string, t array<string>").select(E.query_codes(F.col("n"), F.col("t")).alias("a")).first().a == ["hcf600"]
+
+
+def test_a_json_line_is_read_once(spark, sf):
+    assert plan(registry.QUERIES["jsonl_roundtrip"](spark, sf)).count("from_json(") == 1
