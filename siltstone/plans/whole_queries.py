@@ -61,7 +61,7 @@ def prepared_chunks(t, spark):
  (SELECT count(*) FROM g)::BIGINT AS chunks_generated, (SELECT count(*) FROM g WHERE k = 1)::BIGINT AS chunks_after_dedup, '' AS errors""")
 def prep_report(t, spark):
     blocks = _blocks(t, "source")
-    chunks = P.chunk_blocks(P.normalize_blocks(blocks))
+    chunks = C.stored(P.chunk_blocks(P.normalize_blocks(blocks)).drop("text_raw", "lang"))  # read twice, and no count asks for these two
     return P.report(blocks, chunks, P.deduplicated(chunks)).withColumn("errors", F.array_join("extraction_errors", ",")).drop("extraction_errors")
 
 
@@ -141,7 +141,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, dr
 def search_with_context(t, spark):
     """Product sheets as chunks, keyword vectors, the stated questions: ranks, then neighbours, of which pages of one chunk have none."""
     blocks = spec(t, spark).select("doc_id", "file_name", F.lit(1).alias("page"), F.lit("paragraph").alias("block_type"), "text", F.lit(None).cast("array<array<string>>").alias("rows"), F.col("k").cast("long").alias("block_ord"))
-    chunks = P.direct_chunks(blocks)
+    chunks = C.stored(P.direct_chunks(blocks))  # for vectors, candidates and neighbours
     vec = lambda c: D.keyword_vector(T.token_set(F.col(c), 1), F.col(c), KEYWORDS, 7)
     asked = questions(spark).select(F.col("query_id").cast("long").alias("query_id"), "question", vec("question").alias("vector"))
     rows = V.search(chunks, chunks.select("chunk_id", vec("text").alias("vector")), asked, 10)

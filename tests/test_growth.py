@@ -94,3 +94,8 @@ def test_codes_are_found_behind_their_guard(spark):
 
 def test_a_json_line_is_read_once(spark, sf):
     assert plan(registry.QUERIES["jsonl_roundtrip"](spark, sf)).count("from_json(") == 1
+
+
+def test_chunks_that_are_read_twice_are_made_once(spark, sf):
+    assert plan(registry.QUERIES["prep_report"](spark, sf)).count("documents.parquet") == 1  # the pages; chunks come from the shared folder
+    assert "part.parquet" not in plan(registry.QUERIES["search_with_context"](spark, sf))
